@@ -1,9 +1,11 @@
 """The queries that this subpackage registers, and the SQL of those that SQL can express."""
 
-from . import simhash_bk
+from . import packing, sharding, simhash_bk
 
 QUERIES = {
+    "op5_harmonic_packing": packing.op5,
     "op6_simhash_bk_tree": simhash_bk.op6,
+    "op10_jump_hash_shards": sharding.op10,
 }
 
 ORACLES: dict[str, str] = {}

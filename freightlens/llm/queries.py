@@ -1,9 +1,10 @@
 """The queries that this subpackage registers, and the SQL of those that SQL can express."""
 
-from . import packing, pii, quality, sharding, simhash_bk
+from . import decontaminate, packing, pii, quality, sharding, simhash_bk
 
 QUERIES = {
     "op3_line_field_quality": quality.op3,
+    "op4_pigeonhole_decontamination": decontaminate.op4,
     "op5_harmonic_packing": packing.op5,
     "op6_simhash_bk_tree": simhash_bk.op6,
     "op8_semi_markov_pii": pii.op8,

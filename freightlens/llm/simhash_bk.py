@@ -194,15 +194,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id.
+    """Keep one document of each group: the one with the smallest doc_id, with all its columns.
 
-    Rows whose doc_id is null and repeated rows: the first by doc_id, then by
-    text, stays; a group of which no row has an id keeps one row.
+    doc_id is the key: of rows that repeat one, one stays. Rows without a
+    doc_id are in no group that could name another and all stay.
     """
     groups = near_duplicates(docs, words, radius)
-    kept = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,9 @@ def documents_like(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns, in this order; columns that lack become null."""
     have = set(df.columns)
     return df.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in columns])
+
+
+def worker_memory() -> dict:
+    """A dict that lives as long as this Python worker, which Spark uses for one task after another."""
+    name = "freightlens_worker_memory"
+    return vars(sys.modules.setdefault(name, ModuleType(name)))

@@ -1,6 +1,6 @@
 """The queries that this subpackage registers, and the SQL of those that SQL can express."""
 
-from . import decontaminate, packing, pii, quality, sharding, simhash_bk
+from . import decontaminate, language_id, packing, pii, quality, sharding, simhash_bk
 
 QUERIES = {
     "op3_line_field_quality": quality.op3,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_harmonic_packing": packing.op5,
     "op6_simhash_bk_tree": simhash_bk.op6,
     "op8_semi_markov_pii": pii.op8,
+    "op9_cross_parsing_language": language_id.op9,
     "op10_jump_hash_shards": sharding.op10,
 }
 

@@ -30,7 +30,7 @@ TRAIN_DOCS = 4000
 TRAIN_LINES = 400
 STEPS = 200
 #: Texts are scored in runs of about this many characters.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 400_000
 
 LOWER, UPPER, DIGIT, BLANK, STOP, COMMA, BAR, BANG, SIGN, WIDE, REST, BREAK = range(12)
 
@@ -45,10 +45,22 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_POWERS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_POWERS = (np.arange(1, 65, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
 WIDTH = 22
 
 
+def runs(texts: list[str]) -> Iterator[list[str]]:
+    """Successive texts in runs of about ``RUN_CHARS`` characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= RUN_CHARS):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of all lines, lengths of all lines, lines of each text); a line ends at a line feed."""
     body = "\n".join(texts) + "\n"
@@ -71,11 +83,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     words = per_line(np.ones(len(first)))
     # a hash of each word, for repetitions
-    at = np.arange(len(data), dtype=np.int64)
     if len(first):
-        begin = np.repeat(first, np.diff(np.concatenate([first, [len(data)]])))
-        place = at[first[0] :] - begin
-        mixed = np.where(word[first[0] :], (data[first[0] :].astype(np.uint64) + np.uint64(7)) * _POWERS[place & 63], np.uint64(0))
+        begin = np.repeat(first.astype(np.int32), np.diff(np.concatenate([first, [len(data)]])))
+        place = (np.arange(first[0], len(data), dtype=np.int32) - begin) & 63
+        mixed = (data[first[0] :] + np.uint32(7)) * _POWERS[place] * word[first[0] :]
         hashes = np.add.reduceat(mixed, first - first[0])
         again = np.zeros(len(first), bool)
         for back in (1, 2, 3):
@@ -84,10 +95,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         capital = kind[first] == UPPER
         bare = (last == first) & (kind[first] == SIGN)
     else:
-        hashes, again = np.empty(0, np.uint64), np.zeros(0, bool)
+        hashes, again = np.empty(0, np.uint32), np.zeros(0, bool)
         signed = capital = bare = np.zeros(0, bool)
     per_word = 1 / np.maximum(words, 1)
-    line_hash = np.zeros(lines, np.uint64)
+    line_hash = np.zeros(lines, np.uint32)
     np.add.at(line_hash, line_of, hashes)
     doc_of = np.repeat(np.arange(len(texts)), per_text)
     same = np.zeros(lines, bool)
@@ -147,8 +158,9 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, ridge: float =
     width = 3 * WIDTH + 1
     if not texts:
         return np.zeros(width), np.zeros((2, 2))
-    x, _, per_text = line_features(texts)
-    x = with_neighbours(x, per_text).astype(np.float64)
+    parts = [line_features(run) for run in runs(texts)]
+    per_text = np.concatenate([p[2] for p in parts])
+    x = with_neighbours(np.concatenate([p[0] for p in parts]), per_text)
     y = np.repeat(np.array(labels, dtype=np.float64), per_text)
     inner = np.ones(len(y), bool)
     inner[np.cumsum(per_text) - 1] = False
@@ -172,6 +184,11 @@ def score_texts(texts: list[str], weights: np.ndarray, moves: np.ndarray) -> np.
     return np.clip(np.add.reduceat(p * weight, begin) / np.add.reduceat(weight, begin), 0, 1)
 
 
+def score_all(texts: list[str], weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """``score_texts`` run by run."""
+    return np.concatenate([np.empty(0), *(score_texts(run, weights, moves) for run in runs(texts))])
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most ``limit`` labelled documents, taken in the order of a hash of their id.
 
@@ -197,16 +214,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores, at = [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < RUN_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                scores.append(score_texts(texts[at:end], weights, moves))
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+            scores = score_all([t or "" for t in batch.column(1).to_pylist()], weights, moves)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, score double")
 
@@ -229,7 +238,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(["" if t is None else t for t in texts], weights, moves) if len(texts) else [], dtype="float64")
+        return pd.Series(score_all(["" if t is None else t for t in texts], weights, moves))
 
     return docs.where(quality(F.col("text").cast("string")) >= threshold)
 

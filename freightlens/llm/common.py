@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from collections.abc import Callable
 from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +52,11 @@ def worker_memory() -> dict:
     """A dict that lives as long as this Python worker, which Spark uses for one task after another."""
     name = "freightlens_worker_memory"
     return vars(sys.modules.setdefault(name, ModuleType(name)))
+
+
+def remembered(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once for each key while this Python worker lives."""
+    memory = worker_memory()
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]

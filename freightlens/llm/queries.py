@@ -1,8 +1,9 @@
 """The queries that this subpackage registers, and the SQL of those that SQL can express."""
 
-from . import decontaminate, edit_embedding, language_id, packing, pii, quality, sharding, simhash_bk
+from . import decontaminate, edit_embedding, language_id, licenses, packing, pii, quality, sharding, simhash_bk
 
 QUERIES = {
+    "op1_license_scan": licenses.op1,
     "op2_edit_embedding_fingerprints": edit_embedding.op2,
     "op3_line_field_quality": quality.op3,
     "op4_pigeonhole_decontamination": decontaminate.op4,

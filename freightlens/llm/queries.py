@@ -1,6 +1,6 @@
 """The queries that this subpackage registers, and the SQL of those that SQL can express."""
 
-from . import decontaminate, edit_embedding, language_id, licenses, packing, pii, quality, sharding, simhash_bk
+from . import decontaminate, edit_embedding, language_id, licenses, packing, pii, quality, sharding, simhash_bk, suffix_merge
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pigeonhole_decontamination": decontaminate.op4,
     "op5_harmonic_packing": packing.op5,
     "op6_simhash_bk_tree": simhash_bk.op6,
+    "op7_transform_merge_dedup": suffix_merge.op7,
     "op8_semi_markov_pii": pii.op8,
     "op9_cross_parsing_language": language_id.op9,
     "op10_jump_hash_shards": sharding.op10,

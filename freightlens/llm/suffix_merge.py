@@ -6,9 +6,10 @@ corpus. Four steps, each a distributed one:
 1. Every 100-byte window has an anchor, its 32-byte stretch with the least hash.
    Equal windows have equal anchors at equal places, so only anchors that occur
    twice can hold a repetition. Successive windows with one anchor are one
-   segment; segments meet by anchor hash, and those alone in their group are done.
-2. The other segments' bytes are cut from the documents and meet again by anchor
-   hash. Equal segments count once, with all their occurrences.
+   segment; segments meet by anchor hash, as hashes without their bytes. Of equal
+   segments (equal anchor and content hashes, 64 bits each) all but the earliest go.
+2. Where a group holds different segments, the earliest of each kind is cut from
+   its document, and these strings meet again by anchor hash.
 3. The different segments of a group go into shards, each with a
    Burrows-Wheeler transform of its own. The transforms are merged by refining
    their interleave: each round sorts the interleave by the transforms' symbols,
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width, table
+from .common import remembered, shuffle_width, table
 
 WINDOW = 100
 ANCHOR = 32
@@ -45,27 +46,44 @@ BATCH_BYTES = 600_000
 #: Windows whose anchors are sought at a time.
 PIECE = 1 << 20
 PLACE_BITS = 22
-COUNT_BITS = 7
-TEXT_BITS = 20
+# A place is text hash, first window and number of windows in one number.
+TEXT_BITS, START_BITS, COUNT_BITS = 20, 36, 7
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def anchor_hashes(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
-    """A hash of every ``size`` successive bytes (a power of two)."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _MIX
-    h ^= h >> np.uint64(29)
-    step = 1
-    while step < size:
-        h = h[:-step] * np.uint64(pow(_BASE, step, 1 << 64)) + h[step:]
+    """A hash of every ``size`` successive bytes."""
+    part = (data.astype(np.uint64) + np.uint64(1)) * _MIX
+    part ^= part >> np.uint64(29)
+    whole, done, step = None, 0, 1
+    while True:
+        if size & step:  # put the stretch of ``step`` bytes before those done
+            whole = part if whole is None else part[: len(part) - done] * np.uint64(pow(_BASE, done, 1 << 64)) + whole[step:]
+            done += step
+        if 2 * step > size:
+            break
+        part = part[:-step] * np.uint64(pow(_BASE, step, 1 << 64)) + part[step:]
         step *= 2
-    h *= _MIX
-    h ^= h >> np.uint64(32)
-    return h
+    whole *= _MIX
+    whole ^= whole >> np.uint64(32)
+    return whole
 
 
-def _piece_segments(data: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least ``size`` of them."""
+    size = 1 << max(12, size - 1).bit_length()
+
+    def make(base: int) -> np.ndarray:
+        out = np.ones(size, dtype=np.uint64)
+        out[1:] = np.uint64(base)
+        return np.multiply.accumulate(out)
+
+    return remembered(("substring powers", size), lambda: (make(_BASE), make(pow(_BASE, -1, 1 << 64))))
+
+
+def _piece_segments(data: np.ndarray, window: int, size: int) -> tuple[np.ndarray, ...]:
     hashes = anchor_hashes(data, size)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     packed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -77,21 +95,29 @@ def _piece_segments(data: np.ndarray, window: int, size: int) -> tuple[np.ndarra
         packed = np.minimum(packed[: step - span], packed[span - step :])
     place = (packed & mask).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return hashes[place[first]], first, np.diff(np.concatenate([first, [len(place)]]))
+    counts = np.diff(np.concatenate([first, [len(place)]]))
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    letters = (data.astype(np.uint64) + np.uint64(1)) * _MIX
+    letters ^= letters >> np.uint64(31)
+    np.cumsum(letters * up[: len(data)], out=sums[1:])
+    content = (sums[first + counts + (window - 1)] - sums[first]) * down[first]
+    content = (content ^ counts.astype(np.uint64)) * _MIX
+    content ^= content >> np.uint64(32)
+    return hashes[place[first]], content, first, counts
 
 
-def segments(data: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of the stretches of windows with one anchor.
+def segments(data: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(anchor hash, content hash, first window, number of windows) of the stretches of windows with one anchor.
 
     A stretch that crosses the end of a piece of ``PIECE`` windows is two segments.
     """
     found = [_piece_segments(data[at : at + PIECE + window - 1], window, size) for at in range(0, len(data) - window + 1, PIECE)]
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return (
-        np.concatenate([h for h, _, _ in found]), np.concatenate([f + i * PIECE for i, (_, f, _) in enumerate(found)]),
-        np.concatenate([c for _, _, c in found]),
-    )
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for i, part in enumerate(found):
+        part[2][:] += i * PIECE
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
 def _chains(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +134,7 @@ def _chains(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(STRIDE):
         code = code << np.uint64(9) | letters[i : total + i]
     code[ends.ravel()] = 0
-    before = np.arange(total, dtype=np.int64) - STRIDE
+    before = np.arange(total, dtype=np.int32) - np.int32(STRIDE)
     phase = np.arange(STRIDE)
     before[(begin[:, None] + phase).ravel()] = (begin[:, None] + lengths[:, None] + (phase - lengths[:, None]) % STRIDE).ravel()
     return code, before, begin
@@ -116,7 +142,7 @@ def _chains(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shard_transform(symbols: np.ndarray, before: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows in suffix order, transform) of one shard; ``rounds`` is over the symbols of its longest chain."""
-    rows = np.arange(len(symbols))
+    rows = np.arange(len(symbols), dtype=np.int32)
     for _ in range(rounds):
         rows = before[rows]
         rows = rows[np.argsort(symbols[rows], kind="stable")]
@@ -134,7 +160,7 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
     symbols = np.empty(len(shard), dtype=transforms[0].dtype)
     for _ in range(rounds):
         for s, own in enumerate(transforms):
-            symbols[shard == s] = own
+            np.place(symbols, shard == s, own)
         order = np.argsort(symbols, kind="stable")
         shard = shard[order]
         inner, letters = block[order], symbols[order]
@@ -176,7 +202,7 @@ def repeated_windows(strings: list[bytes], counts: list[int], ranks: np.ndarray,
 
 
 class Groups:
-    """Segments by anchor, one group after another; gives the windows to remove."""
+    """Different segments by anchor, one group after another; gives the windows to remove."""
 
     def __init__(self) -> None:
         self.strings: list[bytes] = []
@@ -185,19 +211,17 @@ class Groups:
         self.size = 0
 
     def add(self, rows: list[tuple], out: list[tuple]) -> None:
-        """One group: rows of (doc_id, text hash, first window, bytes)."""
-        found: dict[bytes, set[tuple]] = {}
+        """One group: rows of (doc_id, text hash, first window, bytes), the earliest of each kind of segment."""
+        found: dict[bytes, tuple] = {}
         for doc, own, start, string in rows:
-            found.setdefault(string, set()).add((doc, own, start))
-        for string, places in found.items():
-            least = min(places)
-            n = len(string) - WINDOW + 1
-            out += [(*p, n) for p in places if p != least]
-            if len(found) > 1:
-                self.strings.append(string)
-                self.counts.append(n)
-                self.holders.append(least)
-                self.size += len(string)
+            found[string] = min(found.get(string, (doc, own, start)), (doc, own, start))
+        if len(found) < 2:
+            return
+        for string, place in found.items():
+            self.strings.append(string)
+            self.counts.append(len(string) - WINDOW + 1)
+            self.holders.append(place)
+            self.size += len(string)
         if self.size >= BATCH_BYTES:
             self.flush(out)
 
@@ -227,14 +251,22 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                found, sizes = [], []
-                for body in some.column(2):
-                    found.append(segments(np.frombuffer(body.as_py(), np.uint8)))
-                    sizes.append(len(found[-1][0]))
-                keys, own = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
-                anchors, starts, counts = (np.concatenate([f[i] for f in found]) for i in range(3))
-                place = (starts.astype(np.int64) << (COUNT_BITS + TEXT_BITS)) | (counts.astype(np.int64) << TEXT_BITS) | own
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(keys.astype(np.int64)), pa.array(place)], names=["anchor", "key", "place"])
+                found = [segments(np.frombuffer(body.as_py(), np.uint8)) for body in some.column(2)]
+                sizes = [len(f[0]) for f in found]
+                keys, own = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), sizes).astype(np.int64) for i in (0, 1))
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                anchors, content, starts, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+                place = (own << (START_BITS + COUNT_BITS)) | (starts.astype(np.int64) << COUNT_BITS) | counts
+                # a segment that its document had before goes; it gets a group of its own, so none is swamped by one periodic text
+                order = np.lexsort((starts, content, anchors, doc))
+                again = np.zeros(len(order), dtype=bool)
+                a, b = order[:-1], order[1:]
+                again[b] = (doc[a] == doc[b]) & (anchors[a] == anchors[b]) & (content[a] == content[b])
+                alone = (keys.view(np.uint64) ^ place.view(np.uint64) * _MIX) * np.uint64(_BASE)
+                anchors = np.where(again, alone, anchors)
+                place = np.where(again, place | np.int64(-(1 << 63)), place)
+                columns = (anchors.view(np.int64), content.view(np.int64), keys, place)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "key", "place"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, anchor, rows = Groups(), None, []
@@ -259,17 +291,20 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         yield table_of(out)
 
     width = shuffle_width(docs.sparkSession)
-    alone = Window.partitionBy("anchor")
-    places = docs.mapInArrow(cut, "anchor long, key long, place long").withColumn("n", F.count(F.lit(1)).over(alone)).where("n > 1")
-    places = places.select(
-        "anchor", "key", F.expr(f"place & {(1 << TEXT_BITS) - 1}").alias("own"), F.shiftright("place", COUNT_BITS + TEXT_BITS).alias("start"),
-        F.expr(f"shiftright(place, {TEXT_BITS}) & {(1 << COUNT_BITS) - 1}").alias("n"),
+    kind, group = Window.partitionBy("anchor", "content").orderBy("key", "place"), Window.partitionBy("anchor")
+    places = docs.mapInArrow(cut, "anchor long, content long, key long, place long").repartition(width, "anchor")
+    places = places.withColumn("nth", F.rank().over(kind)).withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
+    places = places.where("mixed OR nth > 1 OR place < 0").select(
+        "anchor", "key", "mixed", F.expr("nth > 1 OR place < 0").alias("gone"),
+        F.expr(f"shiftright(place, {START_BITS + COUNT_BITS}) & {(1 << TEXT_BITS) - 1}").alias("own"),
+        F.expr(f"shiftright(place, {COUNT_BITS}) & {(1 << START_BITS) - 1}").alias("start"), F.expr(f"place & {(1 << COUNT_BITS) - 1}").alias("windows"),
     )
-    strings = places.join(docs, ["key", "own"]).select(
-        "anchor", "key", "own", "start", F.substring("body", (F.col("start") + 1).cast("int"), (F.col("n") + WINDOW - 1).cast("int")).alias("string")
+    strings = places.where("NOT gone AND mixed").join(docs, ["key", "own"]).select(
+        "anchor", "key", "own", "start", F.substring("body", (F.col("start") + 1).cast("int"), (F.col("windows") + WINDOW - 1).cast("int")).alias("string")
     )
     dealt = strings.repartition(width, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(settle, "key long, own long, start long, windows long")
+    merged = dealt.mapInArrow(settle, "key long, own long, start long, windows long")
+    return places.where("gone").select("key", "own", "start", "windows").unionByName(merged)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:

@@ -125,9 +125,9 @@ def slug(x: Column, longest: int = 60) -> Column:
 
 def paragraphs(x: Column) -> Column:
     """Non-empty trimmed paragraphs."""
-    return F.filter(F.transform(F.split(x, "\n\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def id_list(x: Column) -> Column:
     """Numbers of a comma-separated list; other parts are dropped."""
-    return F.transform(F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p.rlike(r"^\d{1,18}$")), lambda p: p.cast("long"))
+    return F.transform(F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,18}$")), lambda p: p.cast("long"))

@@ -58,8 +58,8 @@ def plain_value(raw: str) -> str | None:
     raise ValueError(f"unknown value {raw[:60]}")
 
 
-@F.udf("struct<fields:map<string,string>,error:string>")
-def _row(columns: str, values: str):  # noqa: ANN202
+def parse_row(columns: str, values: str) -> tuple[dict | None, str | None]:
+    """Fields by column, or what is wrong with the line."""
     names, raw = [c.strip() for c in columns.split(",")], split_values(values)
     if len(names) != len(raw):
         return None, f"{len(names)} columns, {len(raw)} values"
@@ -71,9 +71,10 @@ def _row(columns: str, values: str):  # noqa: ANN202
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
     """Every INSERT line: ``line`` number, ``table``, ``fields`` and ``error``."""
+    parse = F.udf(parse_row, "struct<fields:map<string,string>,error:string>")
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     found = text.where(F.col("value").rlike(INSERT)).select(
-        "line", F.lower(F.regexp_extract("value", INSERT, 1)).alias("table"), _row(F.regexp_extract("value", INSERT, 2), F.regexp_extract("value", INSERT, 3)).alias("row")
+        "line", F.lower(F.regexp_extract("value", INSERT, 1)).alias("table"), parse(F.regexp_extract("value", INSERT, 2), F.regexp_extract("value", INSERT, 3)).alias("row")
     )
     return found.select("line", "table", "row.fields", "row.error")
 

@@ -20,8 +20,13 @@ corpus. Four steps, each a distributed one:
 4. Of each interval the earliest occurrence stays, all others go; the removed
    windows are joined back to the documents.
 
-A symbol is four successive bytes; each segment is read in its four phases, so
-25 rounds make a window.
+A symbol is five successive bytes; each segment is read in its five phases, so
+20 rounds make a window.
+
+A very common passage gives a group with a different segment for every text around it.
+Such a group's segments are cut into single windows that meet by a hash of their bytes, in
+groups of equal windows whose first row stays; no group needs more memory than
+``GROUP_SEGMENTS`` segments take.
 """
 
 from __future__ import annotations
@@ -39,10 +44,12 @@ from .common import remembered, shuffle_width, table
 
 WINDOW = 100
 ANCHOR = 32
-STRIDE = 4
+STRIDE = 5
 SHARDS = 2
-#: Segment bytes that are merged together; a group of segments is never split.
-BATCH_BYTES = 600_000
+#: Segment bytes that are merged together, at least; a group of segments is never split.
+BATCH_BYTES = 100_000
+#: A group with more different segments than this is settled window by window.
+GROUP_SEGMENTS = 4096
 #: Windows whose anchors are sought at a time.
 PIECE = 1 << 20
 PLACE_BITS = 22
@@ -202,28 +209,36 @@ def repeated_windows(strings: list[bytes], counts: list[int], ranks: np.ndarray,
 
 
 class Groups:
-    """Different segments by anchor, one group after another; gives the windows to remove."""
+    """Segments by anchor, each group in the order of its places; gives the windows to remove."""
 
     def __init__(self) -> None:
+        self.anchor: int | None = None
+        self.found: dict[bytes, tuple] = {}
         self.strings: list[bytes] = []
         self.counts: list[int] = []
         self.holders: list[tuple] = []
         self.size = 0
 
-    def add(self, rows: list[tuple], out: list[tuple]) -> None:
-        """One group: rows of (doc_id, text hash, first window, bytes), the earliest of each kind of segment."""
-        found: dict[bytes, tuple] = {}
-        for doc, own, start, string in rows:
-            found[string] = min(found.get(string, (doc, own, start)), (doc, own, start))
-        if len(found) < 2:
-            return
-        for string, place in found.items():
-            self.strings.append(string)
-            self.counts.append(len(string) - WINDOW + 1)
-            self.holders.append(place)
-            self.size += len(string)
-        if self.size >= BATCH_BYTES:
-            self.flush(out)
+    def add(self, anchor: int, place: tuple, string: bytes, out: list[tuple]) -> None:
+        """One segment at (doc_id, text hash, first window); an equal one that came before keeps its place."""
+        if anchor != self.anchor:
+            self.close(out)
+            self.anchor = anchor
+        first = self.found.setdefault(string, place)
+        if first != place:
+            out.append((*place, len(string) - WINDOW + 1))
+
+    def close(self, out: list[tuple]) -> None:
+        """The group is whole: different segments are to be merged."""
+        if len(self.found) > 1:
+            for string, place in self.found.items():
+                self.strings.append(string)
+                self.counts.append(len(string) - WINDOW + 1)
+                self.holders.append(place)
+                self.size += len(string)
+            if self.size >= BATCH_BYTES:
+                self.flush(out)
+        self.found = {}
 
     def flush(self, out: list[tuple]) -> None:
         """Merge what is held."""
@@ -245,7 +260,7 @@ class Groups:
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """Runs of windows that also start earlier: ``key, own, start, windows``; ``docs`` has ``key, own, body``."""
+    """For each document with any, the ``runs`` (start, windows) that also start earlier; ``docs`` has ``key, own, body``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,42 +284,47 @@ def removed_windows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "key", "place"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, anchor, rows = Groups(), None, []
+        groups = Groups()
 
         def table_of(out: list[tuple]) -> pa.RecordBatch:
             columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["key", "own", "start", "windows"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()], strict=True)], names=["key", "own", "start", "windows"])
 
         for batch in batches:
             out: list[tuple] = []
-            for mine, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if mine != anchor:
-                    if len(rows) > 1:
-                        groups.add(rows, out)
-                    anchor, rows = mine, []
-                rows.append(row)
+            for anchor, key, own, start, string in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                groups.add(anchor, (key, own, start), string, out)
             yield table_of(out)
         out = []
-        if len(rows) > 1:
-            groups.add(rows, out)
+        groups.close(out)
         groups.flush(out)
         yield table_of(out)
 
     width = shuffle_width(docs.sparkSession)
     kind, group = Window.partitionBy("anchor", "content").orderBy("key", "place"), Window.partitionBy("anchor")
     places = docs.mapInArrow(cut, "anchor long, content long, key long, place long").repartition(width, "anchor")
-    places = places.withColumn("nth", F.rank().over(kind)).withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
-    places = places.where("mixed OR nth > 1 OR place < 0").select(
-        "anchor", "key", "mixed", F.expr("nth > 1 OR place < 0").alias("gone"),
-        F.expr(f"shiftright(place, {START_BITS + COUNT_BITS}) & {(1 << TEXT_BITS) - 1}").alias("own"),
-        F.expr(f"shiftright(place, {COUNT_BITS}) & {(1 << START_BITS) - 1}").alias("start"), F.expr(f"place & {(1 << COUNT_BITS) - 1}").alias("windows"),
+    places = places.withColumn("nth", F.rank().over(kind)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(group))
+    gone = (F.col("nth") > 1) | (F.col("place") < 0)
+    places = places.where(gone | (F.col("kinds") > 1)).select(
+        "key", F.expr(f"shiftright(place, {START_BITS + COUNT_BITS}) & {(1 << TEXT_BITS) - 1}").alias("own"), gone.alias("gone"),
+        F.expr(f"shiftright(place, {COUNT_BITS}) & {(1 << START_BITS) - 1}").alias("start"), F.expr(f"cast(place & {(1 << COUNT_BITS) - 1} as int)").alias("windows"),
+        "anchor", (F.col("kinds") > GROUP_SEGMENTS).alias("crowded"),
+    )
+    of_doc = places.groupBy("key", "own").agg(
+        F.collect_list(F.when(F.col("gone"), F.struct("start", "windows"))).alias("gone"),
+        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "windows", "crowded"))).alias("parts"),
     )
-    strings = places.where("NOT gone AND mixed").join(docs, ["key", "own"]).select(
-        "anchor", "key", "own", "start", F.substring("body", (F.col("start") + 1).cast("int"), (F.col("windows") + WINDOW - 1).cast("int")).alias("string")
+    single = F.transform(F.sequence(F.lit(0), F.col("part.windows") - 1), lambda i: F.struct((F.col("part.start") + i).alias("start"), F.lit(1).alias("windows")))
+    parts = (
+        of_doc.where(F.size("parts") > 0).join(docs, ["key", "own"]).select("key", "own", "body", F.explode("parts").alias("part"))
+        .select("key", "own", "body", "part", F.explode(F.when(F.col("part.crowded"), single).otherwise(F.array(F.struct("part.start", "part.windows")))).alias("at"))
+        .select("key", "own", "at.start", "part", F.substring("body", (F.col("at.start") + 1).cast("int"), F.col("at.windows") + WINDOW - 1).alias("string"))
+        .select(F.when(F.col("part.crowded"), F.xxhash64("part.anchor", "string")).otherwise(F.col("part.anchor")).alias("anchor"), "key", "own", "start", "string")
     )
-    dealt = strings.repartition(width, "anchor").sortWithinPartitions("anchor")
-    merged = dealt.mapInArrow(settle, "key long, own long, start long, windows long")
-    return places.where("gone").select("key", "own", "start", "windows").unionByName(merged)
+    dealt = parts.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "own", "start")
+    merged = dealt.mapInArrow(settle, "key long, own long, start long, windows int")
+    late = merged.groupBy("key", "own").agg(F.collect_list(F.struct("start", "windows")).alias("late"))
+    return of_doc.select("key", "own", "gone").join(late, ["key", "own"], "left").select("key", "own", F.concat("gone", F.coalesce("late", F.array())).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -322,7 +342,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"),
         F.expr(f"xxhash64(coalesce(cast(text as string), '')) & {(1 << TEXT_BITS) - 1}").alias("own"), body.alias("body"),
     )
-    runs = removed_windows(rows).groupBy("key", "own").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +367,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names[: len(types)])
 
-    return rows.join(runs, ["key", "own"], "left").select("key", "body", "runs").mapInArrow(apply, schema)
+    return rows.join(removed_windows(rows), ["key", "own"], "left").select("key", "body", "runs").mapInArrow(apply, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

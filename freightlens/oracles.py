@@ -163,4 +163,13 @@ ORACLES: dict[str, str] = {
     "line_metrics": _with(f"select id, round({_KM.format('x', 'y', '(x+0.1)', '(y+0.1)')}+{_KM.format('(x+0.1)', '(y+0.1)', '(x+0.3)', '(y+0.1)')}+{_KM.format('(x+0.3)', '(y+0.1)', '(x+0.3)', '(y+0.4)')},2) km, round(x+0.175,4) mid_lon, round(y+0.15,4) mid_lat, x min_lon, round(y+0.4,2) max_lat, 2::bigint thin from (select id, round(lon,2) x, round(lat,2) y from district)", "district"),
     "chart_series": _with(f"select '['||string_agg('{{\"label\":\"'||strftime(\"month\",'%m.%y')||'\",\"value\":'||cast(volume as decimal(20,2))||'}}', ',' order by \"month\")||']' series from ({_SERIES.format('')})", "flow"),
     "kmeans_assign": "select cluster::int cluster, count(*) vectors from (select v.vec_id, row_number() over (order by c.vec_id)-1 cluster from embeddings v, embeddings c where false union all select vec_id, arg_min(k, g) from (select v.vec_id, c.k, list_sum(list_transform(range(1, len(v.embedding)+1), lambda i: (v.embedding[i]::double-c.embedding[i]::double)*(v.embedding[i]::double-c.embedding[i]::double))) g from embeddings v, (select embedding, row_number() over (order by vec_id)-1 k from (select * from embeddings order by vec_id limit 4)) c) group by 1) group by 1",
+    "api_districts": _with("select id, \"name\", region_id, area_sq_km::double area_sq_km, population, lon, lat, population::double/area_sq_km::double density from district order by \"name\" limit 50", "district"),
+    "api_objects": _with("select f.id, f.\"name\", f.\"type\", d.\"name\" district, capacity_tons::double capacity from facility f join district d on f.district_id=d.id where contains(lower(f.\"name\"),'street 1') or contains(lower(coalesce(address,'')),'street 1') order by f.\"name\", f.id limit 20 offset 20", "facility", "district"),
+    "api_nearby": _with(f"select id, \"name\", round(km,3) distance_km from (select *, {_KM.format('37.6', '55.7', 'lon', 'lat')} km from facility) where km<=25 order by km, id limit 30", "facility"),
+    "api_roads": _with("select id, \"name\", road_class, district_id, lanes, speed_limit_kmh from road where road_class='arterial' order by \"name\", id limit 50", "road"),
+    "api_incidents": _with("select i.id, incident_type, severity, affects_cargo, r.\"name\" road, reported_at from incident i left join road r on road_id=r.id where resolved_at is null and severity>=3 and affects_cargo order by reported_at desc, i.id desc limit 50", "incident", "road"),
+    "api_routes": _with("select id, origin_id, destination_id, route_type, distance_km::bigint distance_km, trucks from route where route_type='transit' order by id limit 500", "route"),
+    "api_flows": _with("select id, period_date, district_id, category, direction, volume_tons::double volume, vehicle_count from flow where direction='R' and period_date between date '1996-01-01' and date '1996-12-31' order by period_date desc, id limit 100", "flow"),
+    "api_etl_runs": _with("select r.id, s.\"name\" \"source\", status, records_loaded, records_errors from run r left join source s on r.source_id=s.id order by r.id desc limit 50", "run", "source"),
+    "api_traffic_current": _with(f"select r.id road_id, r.\"name\", l.\"level\", {_STATE.format('l.\"level\"')} state, case when l.\"level\">=9 then 'crit' when l.\"level\">=7 then 'alert' when l.\"level\">=5 then 'warn' else 'ok' end tone from road r join ({_LATEST}) l on l.road_id=r.id where district_id=7", "road", "condition"),
 }

@@ -131,3 +131,20 @@ def paragraphs(x: Column) -> Column:
 def id_list(x: Column) -> Column:
     """Numbers of a comma-separated list; other parts are dropped."""
     return F.transform(F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,18}$")), lambda p: p.cast("long"))
+
+
+def icon(code: Column, known: dict[str, str], default: str) -> Column:
+    """Symbol of a code, or the default."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), F.lit(default))
+
+
+def file_size(size: Column) -> Column:
+    """Bytes in the unit that suits."""
+    x = size.cast("double")
+    return F.when(x >= 1 << 20, F.concat(thousands(x / (1 << 20), 1), F.lit(" MB"))).when(x >= 1 << 10, F.concat(thousands(x / (1 << 10), 1), F.lit(" KB"))).otherwise(F.concat(thousands(x), F.lit(" B")))
+
+
+def age_days(at: Column, now: Column) -> Column:
+    """Whole days since an instant."""
+    return F.datediff(now, at)

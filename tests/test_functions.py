@@ -102,3 +102,9 @@ def test_search_takes_wildcards_literally(spark):
 def test_latest_breaks_ties_by_key(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "a", 7), (4, "b", 1)], "id int, g string, t int")
     assert sorted(r.id for r in P.latest(df, "g", "t").collect()) == [3, 4]
+
+
+def test_helpers(spark):
+    assert one(spark, d.icon(F.lit("a"), {"a": "A"}, "?")) == "A" and one(spark, d.icon(F.lit("b"), {"a": "A"}, "?")) == "?"
+    assert [one(spark, d.file_size(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2,0 KB", "3,0 MB"]
+    assert one(spark, d.age_days(F.to_date(F.lit("2025-01-01")), F.to_date(F.lit("2025-01-31")))) == 30

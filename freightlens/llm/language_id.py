@@ -9,7 +9,8 @@ remembered while a worker lives.
 
 The labelled text is a bounded sample: ``DOCS_PER_LANG`` documents of at most
 ``LONGEST_DOC`` characters for each language, of which ``CHARS_PER_LANG``
-characters enter the automaton.
+characters enter the automaton (fewer if there are very many languages, so that
+all automata together stay within ``CHARS_IN_ALL``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from .common import id_crc32, table, worker_memory
 DOCS_PER_LANG = 64
 LONGEST_DOC = 20_000
 CHARS_PER_LANG = 60_000
+#: All automata together hold so many characters at most, of the most frequent languages.
+CHARS_IN_ALL = 1_500_000
+MOST_LANGS = 300
 UNKNOWN = "und"
 #: Words that a worker remembers; longer words than this are parsed each time.
 WORDS_KEPT = 200_000
@@ -172,7 +176,7 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, longest: int = LONGEST
         F.col("lang").isNotNull() & (F.coalesce(id_crc32() % 3, F.lit(0)) != 1)
     )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     near = known.join(F.broadcast(counts), "lang").where(place < F.lit(float(8 * per_lang * (1 << 31))) / F.col("n"))
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
     rows = (
@@ -182,6 +186,7 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, longest: int = LONGEST
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         texts.setdefault(row["lang"], []).extend(words_of(row["text"]))
+    chars = min(chars, CHARS_IN_ALL // max(1, len(texts)))
     return Model({lang: f" {' '.join(words)} "[: chars + 1] for lang, words in texts.items() if words})
 
 

@@ -10,7 +10,8 @@ Features are counts of character classes, word shapes and repetitions, taken
 for all lines of a batch at once. The labels of documents are the only
 supervision: a labelled document's lines all carry its label. The weights are
 fitted by gradient ascent of the conditional likelihood on a bounded sample of
-labelled rows (``TRAIN_DOCS`` documents of at most ``TRAIN_LINES`` lines).
+labelled rows (``TRAIN_DOCS`` documents of at most ``TRAIN_LINES`` lines and
+``TRAIN_CHARS`` characters).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import id_crc32, table
 THRESHOLD = 0.3
 TRAIN_DOCS = 4000
 TRAIN_LINES = 400
+TRAIN_CHARS = 50_000
 STEPS = 200
 #: Texts are scored in runs of about this many characters.
 RUN_CHARS = 400_000
@@ -193,8 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: in
     """Fit on at most ``limit`` labelled documents, taken in the order of a hash of their id.
 
     Only rows whose crc32(doc_id as text) mod 5 isn't 0 are used; of repeated
-    labels the lowest counts; null labels and texts of over ``lines`` lines
-    aren't used.
+    labels the lowest counts; null labels and texts of over ``lines`` lines or
+    TRAIN_CHARS characters aren't used.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality IS NOT NULL").where(id_crc32() % 5 != 0)
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: in
     )
     rows = (
         docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id").where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < lines)
+        .join(F.broadcast(chosen), "doc_id").where(F.length("text") <= TRAIN_CHARS).where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < lines)
         .orderBy("doc_id", "text").limit(limit).collect()
     )
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])

@@ -310,13 +310,11 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         F.expr(f"shiftright(place, {COUNT_BITS}) & {(1 << START_BITS) - 1}").alias("start"), F.expr(f"cast(place & {(1 << COUNT_BITS) - 1} as int)").alias("windows"),
         "anchor", (F.col("kinds") > GROUP_SEGMENTS).alias("crowded"),
     )
-    of_doc = places.groupBy("key", "own").agg(
-        F.collect_list(F.when(F.col("gone"), F.struct("start", "windows"))).alias("gone"),
-        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "windows", "crowded"))).alias("parts"),
-    )
+    # one list for both uses, so that the plan below it runs once
+    of_doc = places.groupBy("key", "own").agg(F.collect_list(F.struct("gone", "start", "windows", "anchor", "crowded")).alias("all"))
     single = F.transform(F.sequence(F.lit(0), F.col("part.windows") - 1), lambda i: F.struct((F.col("part.start") + i).alias("start"), F.lit(1).alias("windows")))
     parts = (
-        of_doc.where(F.size("parts") > 0).join(docs, ["key", "own"]).select("key", "own", "body", F.explode("parts").alias("part"))
+        of_doc.join(docs, ["key", "own"]).select("key", "own", "body", F.explode(F.filter("all", lambda x: ~x["gone"])).alias("part"))
         .select("key", "own", "body", "part", F.explode(F.when(F.col("part.crowded"), single).otherwise(F.array(F.struct("part.start", "part.windows")))).alias("at"))
         .select("key", "own", "at.start", "part", F.substring("body", (F.col("at.start") + 1).cast("int"), F.col("at.windows") + WINDOW - 1).alias("string"))
         .select(F.when(F.col("part.crowded"), F.xxhash64("part.anchor", "string")).otherwise(F.col("part.anchor")).alias("anchor"), "key", "own", "start", "string")
@@ -324,7 +322,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     dealt = parts.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "own", "start")
     merged = dealt.mapInArrow(settle, "key long, own long, start long, windows int")
     late = merged.groupBy("key", "own").agg(F.collect_list(F.struct("start", "windows")).alias("late"))
-    return of_doc.select("key", "own", "gone").join(late, ["key", "own"], "left").select("key", "own", F.concat("gone", F.coalesce("late", F.array())).alias("runs"))
+    early = F.transform(F.filter("all", lambda x: x["gone"]), lambda x: F.struct(x["start"].alias("start"), x["windows"].alias("windows")))
+    return of_doc.join(late, ["key", "own"], "left").select("key", "own", F.concat(early, F.coalesce("late", F.array())).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:

@@ -52,6 +52,9 @@ SPLITTER = regex.compile(
 )
 
 PLAIN = re.compile("[!-~]+").fullmatch
+# The vocabulary's symbols of bytes: a printable Latin-1 character stands for itself, the others count on from 256.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Words(dict):
@@ -59,23 +62,26 @@ class Words(dict):
 
     def __init__(self, path: str, most: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work already
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.merges = self.tokenizer.model.tokenize
+        self.merges = Tokenizer.from_file(path).model.tokenize
         self.most = most
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii():
-            parts = SPLITTER.findall(word.lower())
+            low = word.lower()
+            if low.isalpha():
+                parts = (low,)
+            elif low[:-1].isalpha() and "!" <= low[-1] <= "/":  # most words that end a phrase
+                parts = (low[:-1], low[-1])
+            else:
+                parts = SPLITTER.findall(low)
         else:
             parts = SPLITTER.findall("".join(c.lower() for c in unicodedata.normalize("NFC", word)))
         found = b""
         for part in parts:
             own = self.get(part)
             if own is None:
-                # of printable ASCII, the bytes' symbols are the characters themselves
-                ids = [t.id for t in self.merges(part)] if PLAIN(part) else self.tokenizer.encode(part, add_special_tokens=False).ids
-                own = self[part] = array("I", ids).tobytes()
+                symbols = part if PLAIN(part) else part.encode().decode("latin-1").translate(SYMBOLS)
+                own = self[part] = array("I", [t.id for t in self.merges(symbols)]).tobytes()
             found += own
         self[word] = found
         return found

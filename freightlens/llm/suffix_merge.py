@@ -264,24 +264,31 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made = []
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
                 found = [segments(np.frombuffer(body.as_py(), np.uint8)) for body in some.column(2)]
                 sizes = [len(f[0]) for f in found]
                 keys, own = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), sizes).astype(np.int64) for i in (0, 1))
-                doc = np.repeat(np.arange(len(sizes)), sizes)
                 anchors, content, starts, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-                place = (own << (START_BITS + COUNT_BITS)) | (starts.astype(np.int64) << COUNT_BITS) | counts
-                # a segment that its document had before goes; it gets a group of its own, so none is swamped by one periodic text
-                order = np.lexsort((starts, content, anchors, doc))
-                again = np.zeros(len(order), dtype=bool)
+                made.append((anchors, content, keys, (own << (START_BITS + COUNT_BITS)) | (starts.astype(np.int64) << COUNT_BITS) | counts))
+            if not made:
+                continue
+            anchors, content, keys, place = (np.concatenate(c) for c in zip(*made, strict=True))
+            if len(place):
+                # of equal segments in the batch all but the earliest go at once, each to a group of its own: no anchor
+                # gets more rows from a batch than it has different segments there
+                order = np.lexsort((place, keys, content, anchors))
                 a, b = order[:-1], order[1:]
-                again[b] = (doc[a] == doc[b]) & (anchors[a] == anchors[b]) & (content[a] == content[b])
+                new = np.flatnonzero(np.concatenate([[True], (anchors[a] != anchors[b]) | (content[a] != content[b])]))
+                first = np.repeat(order[new], np.diff(np.concatenate([new, [len(order)]])))
+                gone = np.zeros(len(order), dtype=bool)
+                gone[order] = (keys[order] != keys[first]) | (place[order] != place[first])
                 alone = (keys.view(np.uint64) ^ place.view(np.uint64) * _MIX) * np.uint64(_BASE)
-                anchors = np.where(again, alone, anchors)
-                place = np.where(again, place | np.int64(-(1 << 63)), place)
-                columns = (anchors.view(np.int64), content.view(np.int64), keys, place)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "key", "place"])
+                anchors = np.where(gone, alone, anchors)
+                place = np.where(gone, place | np.int64(-(1 << 63)), place)
+            columns = (anchors.view(np.int64), content.view(np.int64), keys, place)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "key", "place"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()

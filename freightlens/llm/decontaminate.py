@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table, worker_memory
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Items of fewer folded bytes aren't searched: they are no passages.
 LEAST_BYTES = 24
 #: Folded bytes of the items of one block.

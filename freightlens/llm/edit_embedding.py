@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,8 +162,8 @@ def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS) -
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, mark) for mark in batch.column(0).to_pylist() for key in bands(mark, number)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.string())], names=["band", "fingerprint"])
+            rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), mark) for mark in batch.column(0).to_pylist() for key in bands(mark, number)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.string())], names=["band", "fingerprint"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, members, root = None, [], []
@@ -185,7 +186,7 @@ def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS) -
                 members.append(mark)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())], names=["a", "b"])
 
-    dealt = marks.select("fingerprint").mapInArrow(banded, "band string, fingerprint string")
+    dealt = marks.select("fingerprint").mapInArrow(banded, "band long, fingerprint string")
     dealt = dealt.repartition(shuffle_width(docs.sparkSession), "band").sortWithinPartitions("band", "fingerprint")
     label = components(dealt.mapInArrow(verify, "a string, b string")).withColumnRenamed("node", "fingerprint")
     labelled = marks.join(label, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))

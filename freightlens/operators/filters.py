@@ -85,6 +85,11 @@ def paged(df: DataFrame, order: list[Column], size: int, page: int) -> DataFrame
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def html_page(df: DataFrame, order: list[Column], size: int, raw: object) -> DataFrame:
+    """A page by its raw number: no number means the first, one out of range the last."""
+    return paged(df, order, size, page_of(df.count(), size, int_param(raw, 1)))
+
+
 def envelope(df: DataFrame, size: int, page: int) -> DataFrame:
     """Count, pages, and numbers of the neighbouring pages, for a page of at most 500 rows."""
     size = max(1, min(size, 500))

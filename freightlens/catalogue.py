@@ -51,7 +51,7 @@ def filter_threshold(m: Freight) -> DataFrame:
 
 
 def filter_range(m: Freight) -> DataFrame:
-    rows = m.flow.where(F.col("period_date").between(F.to_date(F.lit("1996-02-01")), F.to_date(F.lit("1996-03-15"))))
+    rows = m.flow_lines.where(F.col("period_date").between(F.to_date(F.lit("1996-02-01")), F.to_date(F.lit("1996-03-15"))))
     return rows.select("id", "period_date", F.col("volume_tons").cast("double").alias("volume"))
 
 
@@ -126,7 +126,7 @@ def route_ratios(m: Freight) -> DataFrame:
 
 
 def flow_loads(m: Freight) -> DataFrame:
-    return m.flow.select("id", d.quotient(F.col("volume_tons"), F.col("vehicle_count")).alias("load"))
+    return m.flow_lines.select("id", d.quotient(F.col("volume_tons"), F.col("vehicle_count")).alias("load"))
 
 
 def congestion_states(m: Freight) -> DataFrame:

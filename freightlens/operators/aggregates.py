@@ -40,7 +40,7 @@ def dashboard(m: Freight) -> DataFrame:
     parts = [
         m.facility.agg(F.count(F.lit(1)).alias("facilities"), amount("capacity_tons").alias("capacity_tons"), F.count("lon").alias("located")),
         m.road.agg(F.count(F.lit(1)).alias("roads"), amount("length_km").alias("road_km")),
-        m.flow.agg(amount("volume_tons").alias("volume_tons"), F.coalesce(F.sum("vehicle_count"), F.lit(0)).alias("vehicles"), F.min("period_date").alias("first_day"), F.max("period_date").alias("last_day")),
+        m.flow_lines.agg(amount("volume_tons").alias("volume_tons"), F.coalesce(F.sum("vehicle_count"), F.lit(0)).alias("vehicles"), F.min("period_date").alias("first_day"), F.max("period_date").alias("last_day")),
         m.incident.agg(F.count(F.lit(1)).alias("incidents"), F.count_if(F.col("resolved_at").isNull()).alias("open_incidents"), F.count_if(F.col("affects_cargo")).alias("cargo_incidents")),
         m.run.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("records_loaded"), F.lit(0)).alias("records")),
     ]
@@ -57,7 +57,7 @@ def district_profiles(m: Freight) -> DataFrame:
     """Measures of every district: each fact is reduced to its district before the joins, so nothing fans out."""
     objects = m.facility.groupBy("district_id").agg(F.count(F.lit(1)).alias("objects"), F.sum("capacity_tons").cast("double").alias("capacity"))
     roads = m.road.where("district_id IS NOT NULL").groupBy("district_id").agg(F.count(F.lit(1)).alias("roads"), F.sum("length_km").cast("double").alias("road_km"))
-    flows = m.flow.groupBy("district_id").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"))
+    flows = m.flow_core.groupBy("district_id").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"))
     of_road = m.road.where("district_id IS NOT NULL").select(F.col("id").alias("road_id"), "district_id")
     levels = m.condition.join(of_road, "road_id").groupBy("district_id").agg(F.sum("level").alias("s"), F.count("level").alias("n"))
     levels = levels.select("district_id", (F.floor((200 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 100.0).alias("congestion"))
@@ -71,7 +71,8 @@ def flow_timeseries(m: Freight, district: int | None = None, category: str | Non
     """Monthly volume, vehicles and mean speed (one decimal)."""
     from freightlens.operators.filters import equal_if_given
 
-    rows = equal_if_given(m.flow, district_id=district, category=category, direction=direction).where("period_date IS NOT NULL")
+    base = m.flow if category else m.flow_core if district else m.flow_lines  # no more joins than the filters need
+    rows = equal_if_given(base, district_id=district, category=category, direction=direction).where("period_date IS NOT NULL")
     by = rows.groupBy(F.trunc("period_date", "MM").alias("month")).agg(
         F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"), F.sum("avg_speed_kmh").alias("s"), F.count("avg_speed_kmh").alias("n"),
     )
@@ -87,7 +88,7 @@ def flow_by_category(m: Freight, limit: int = 10) -> DataFrame:
 def flow_by_direction(m: Freight) -> DataFrame:
     """Volume and rows by direction, with labels."""
     label = F.element_at(F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair]), F.col("direction"))
-    return m.flow.groupBy("direction").agg(F.sum("volume_tons").cast("double").alias("volume"), F.count(F.lit(1)).alias("flows")).withColumn("label", label)
+    return m.flow_lines.groupBy("direction").agg(F.sum("volume_tons").cast("double").alias("volume"), F.count(F.lit(1)).alias("flows")).withColumn("label", label)
 
 
 def objects_by_type(m: Freight) -> DataFrame:
@@ -142,7 +143,7 @@ def coverage(m: Freight) -> DataFrame:
     def counted(name: str, df: DataFrame, place: str | None) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("total"), (F.count(place) if place else F.lit(0)).cast("long").alias("located")).withColumn("table", F.lit(name))
 
-    parts = [("facility", m.facility, "lon"), ("road", m.road, "district_id"), ("route", m.route, None), ("incident", m.incident, "road_id"), ("district", m.district, "lon"), ("flow", m.flow, None)]
+    parts = [("facility", m.facility, "lon"), ("road", m.road, "district_id"), ("route", m.route, None), ("incident", m.incident, "road_id"), ("district", m.district, "lon"), ("flow", m.flow_lines, None)]
     return reduce(DataFrame.unionByName, [counted(*p) for p in parts])
 
 
@@ -245,7 +246,7 @@ def constraint_checks(m: Freight) -> DataFrame:
     parts = [
         m.condition.agg(F.count_if(~F.col("level").between(0, 10)).alias("found")).withColumn("rule", F.lit("level 0 to 10")),
         m.incident.agg(F.count_if(~F.col("severity").between(1, 5)).alias("found")).withColumn("rule", F.lit("severity 1 to 5")),
-        m.flow.agg(F.count_if(~F.col("direction").isin(*DIRECTIONS)).alias("found")).withColumn("rule", F.lit("known direction")),
+        m.flow_lines.agg(F.count_if(~F.col("direction").isin(*DIRECTIONS)).alias("found")).withColumn("rule", F.lit("known direction")),
         m.incident.agg(F.count_if(F.col("resolved_at") < F.col("reported_at")).alias("found")).withColumn("rule", F.lit("end after start")),
         m.route.agg(F.count_if(F.col("origin_id") == F.col("destination_id")).alias("found")).withColumn("rule", F.lit("two different ends")),
     ]

@@ -82,20 +82,28 @@ class Freight:
         )
 
     @cached_property
-    def flow(self) -> DataFrame:
-        lines, orders = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey")
-        customers, parts = self.table("customer").select("c_custkey", "c_nationkey"), self.table("part").select("p_partkey", "p_type")
-        return (
-            lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("period_date"),
-                F.col("c_nationkey").cast("int").alias("district_id"), null_if(F.col("l_partkey") % 23 == 0, F.col("p_type")).alias("category"),
-                F.col("l_returnflag").alias("direction"), F.col("l_extendedprice").cast("decimal(14,2)").alias("volume_tons"),
-                F.col("l_quantity").cast("long").alias("vehicle_count"), (30 + F.col("l_linenumber") * 5).cast("int").alias("avg_speed_kmh"),
-            )
+    def flow_lines(self) -> DataFrame:
+        """Flows without district and category: the stored lines alone, no join."""
+        return self.table("lineitem").select(
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("period_date"),
+            F.col("l_returnflag").alias("direction"), F.col("l_extendedprice").cast("decimal(14,2)").alias("volume_tons"),
+            F.col("l_quantity").cast("long").alias("vehicle_count"), (30 + F.col("l_linenumber") * 5).cast("int").alias("avg_speed_kmh"), "l_orderkey", "l_partkey",
         )
 
+    @cached_property
+    def flow_core(self) -> DataFrame:
+        """Flows with their district; orders and customers are reduced to district by order first."""
+        orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("district_id"))
+        return self.flow_lines.join(orders.join(customers, "o_custkey").drop("o_custkey"), "l_orderkey")
+
+    @cached_property
+    def flow(self) -> DataFrame:
+        """Flows with district and category. Every line has its order, customer and part, so the shorter views have the same rows."""
+        parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type"))
+        category = null_if(F.col("l_partkey") % 23 == 0, F.col("p_type")).alias("category")
+        return self.flow_core.join(parts, "l_partkey").select("id", "period_date", "district_id", category, "direction", "volume_tons", "vehicle_count", "avg_speed_kmh")
+
     @cached_property
     def road(self) -> DataFrame:
         u = F.col("user_id")

@@ -55,7 +55,7 @@ def test_index_is_a_permutation(spark, sf_dir):
 def test_forecast_needs_four_months(spark, sf_dir):
     m = Freight(spark, sf_dir)
     assert M.forecast(m, horizon=99).count() == 12 and M.forecast(m, horizon=1).count() == 3
-    m.flow = m.flow.where("period_date < date'1995-04-01'")
+    m.flow_lines = m.flow_lines.where("period_date < date'1995-04-01'")
     assert M.forecast(m).count() == 0
 
 

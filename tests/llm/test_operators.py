@@ -363,6 +363,11 @@ def test_base_patterns(spark):
     assert [(r.n_email, r.n_ip, r.base) for r in rows] == [(1, 0, "email:5:13"), (0, 0, ""), (0, 1, "ip:19:29")]
 
 
+def test_ip_parts_with_very_many_zeros():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}7.1.2.3 and 1.2.3.{zeros}256") == [("ip", 0, 6007)]
+
+
 def test_field_on_fresh_examples():
     weights = pii.train()
     right = total = 0

@@ -38,6 +38,8 @@ SEED = 20
 BANDS = 16
 #: Share of equal samples from which two documents are near (see ``near_groups``).
 LIKENESS = 0.8
+#: A band of more fingerprints is verified part by part.
+BLOCK = 1024
 
 
 def make_walk() -> tuple[list[list[int]], np.ndarray]:
@@ -148,14 +150,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fingerprint string")
 
 
-def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS) -> DataFrame:
+def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS, block: int = BLOCK) -> DataFrame:
     """Group documents linked by fingerprints that share a band and are at least ``least`` alike.
 
     One row for each row of ``docs``: ``doc_id``, ``fingerprint`` and
     ``component_id``, the smallest doc_id of its group. Equal texts, empty and
     null ones among them, have equal fingerprints, which stand for all their
-    documents. Every pair of different fingerprints in a band is verified, block by block;
-    a band hands on links to one member of each local group, not all pairs.
+    documents. Every pair of different fingerprints in a band is verified. A band of more
+    than ``block`` fingerprints is dealt into parts of about that many; each two parts meet in a task's
+    cell of their own, so no task holds more than two parts. A cell hands on links
+    to one member of each local group, not all pairs.
     """
     found = cut_lineage(fingerprints(docs))
     marks = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
@@ -166,7 +170,7 @@ def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS) -
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.string())], names=["band", "fingerprint"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, members, root = None, [], []
+        cell, members, root = None, [], []
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -175,19 +179,27 @@ def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS) -
 
         for batch in batches:
             links = []
-            for key, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key != band:
-                    band, members, root = key, [], []
-                root.append(len(members))
-                for i, other in enumerate(members):
-                    if top(i) != top(len(members)) and likeness(mark, other) >= least:
-                        root[top(len(members))] = top(i)
+            for *key, part, mark in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if key != cell:
+                    cell, members, root = key, [], []
+                root.append(new := len(members))
+                alone = key[1] == key[2]
+                for i, (other_part, other) in enumerate(members):
+                    if (alone or part != other_part) and top(i) != top(new) and likeness(mark, other) >= least:
+                        root[top(new)] = top(i)
                         links.append((mark, other))
-                members.append(mark)
+                members.append((part, mark))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())], names=["a", "b"])
 
-    dealt = marks.select("fingerprint").mapInArrow(banded, "band long, fingerprint string")
-    dealt = dealt.repartition(shuffle_width(docs.sparkSession), "band").sortWithinPartitions("band", "fingerprint")
+    banded_marks = cut_lineage(marks.select("fingerprint").mapInArrow(banded, "band long, fingerprint string"))
+    crowded = banded_marks.groupBy("band").count().where(F.col("count") > block)
+    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("low"), F.greatest("part", other).alias("high")))
+    dealt = (
+        banded_marks.join(crowded, "band", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int"))
+        .select("band", F.explode(met).alias("cell"), "part", "fingerprint").select("band", "cell.low", "cell.high", "part", "fingerprint")
+        .repartition(shuffle_width(docs.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "part", "fingerprint")
+    )
     label = components(dealt.mapInArrow(verify, "a string, b string")).withColumnRenamed("node", "fingerprint")
     labelled = marks.join(label, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     least_id = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))

@@ -83,6 +83,24 @@ def test_near_groups(spark):
     assert found == {**{i: i for i in range(6)}, **{10 + i: i for i in range(6)}, 20: 0, 21: 21, 22: 21}
 
 
+def test_crowded_bands_lose_no_link(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(1500)) for _ in range(4)]
+    texts = [t[:at] + "xyz" + t[at:] for t in base for at in r.sample(range(1500), 12)]
+    marks = [edit_embedding.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks[:i]):
+            if set(edit_embedding.bands(a)) & set(edit_embedding.bands(b)) and edit_embedding.likeness(a, b) >= edit_embedding.LIKENESS:
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if x == old else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1, 3, 1024):
+        found = {x.doc_id: x.component_id for x in edit_embedding.near_groups(docs, block=block).collect()}
+        assert found == dict(enumerate(root)), block
+    assert 4 <= len(set(root)) < len(texts) / 2
+
+
 # 3 quality
 
 

@@ -52,10 +52,16 @@ class Freight:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._schemas: dict[str, T.StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A stored table."""
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A stored table; its footer is read for the schema once, however many views use it."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name in self._schemas:
+            return self.spark.read.schema(self._schemas[name]).parquet(path)
+        found = self.spark.read.parquet(path)
+        self._schemas[name] = found.schema
+        return found
 
     @cached_property
     def district(self) -> DataFrame:

@@ -11,6 +11,12 @@ shuffled to; they aren't broadcast, as all shards together grow with the input.
 
 A shard hands on a star of links for each of its local groups, not all pairs;
 the stars of all shards are joined by ``components``.
+
+Near duplicates of training text (``near_duplicates``) are another matter: texts
+of which the sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+Their fingerprints lie some ten bits apart, up to seventeen or so, which blocks of 64
+bits can't cover: eighteen blocks would have three or four bits each. So candidates
+come from MinHash bands instead, and each is decided on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -32,11 +38,40 @@ SHINGLE_WORDS = 3
 SEED = 42
 BLOCK_BITS = 8
 BLOCKS = 64 // BLOCK_BITS
+#: Near duplicates of training text: words of a shingle, and the least Jaccard similarity.
+NEAR_WORDS = 5
+NEAR_LEAST = 0.8
+#: Bands and hashes a band: of pairs of exactly the least similarity, all but 1 in 20,000 share a band.
+BANDS = 25
+BAND_HASHES = 5
+#: Shingles of one part of a crowded band; a task holds two parts.
+PART_SHINGLES = 2_000_000
 
 _PLACE = (np.arange(8) * 256).astype(np.int64)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_HASHES), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, words: int = NEAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the text's runs of ``words`` words; a shorter text is one run."""
+    tokens = text.encode().lower().split() if text else []
+    if not tokens:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(tokens[i:] for i in range(min(words, len(tokens)))), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Signed keys of the MinHash bands of a set of shingles; the empty set has keys too."""
+    least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(own.tobytes(), band) for band, own in enumerate(least.reshape(BANDS, BAND_HASHES))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
 def simhash(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The unsigned fingerprint of one text; no words (or null): zero."""
     tokens = text.encode().lower().split() if text else []
@@ -174,7 +209,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """Group documents whose fingerprints are linked by chains of at most ``radius`` bits.
 
     Returns one row for each row of ``docs``: ``doc_id``, ``fp`` (signed) and
@@ -186,20 +221,154 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     """
     found = cut_lineage(fingerprints(docs, words, seed))
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    label = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = fps.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.join(least, "label").select("fp", "component_id")
+    classes = _classes(fps, links(fps.select("fp"), radius), "fp")
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def _classes(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Each node (``name``, with its ``first_id``) and the least first_id of what ``pairs`` links it to."""
+    label = components(pairs).withColumnRenamed("node", name)
+    labelled = nodes.join(label, name, "left").select(name, "first_id", F.coalesce("label", name).alias("label"))
+    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return labelled.join(least, "label").select(name, "component_id")
+
+
+def cells_of(owns: np.ndarray, sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(cell, own) of a band's distinct texts: they are dealt into parts, and each two parts meet in one cell.
+
+    Equal lists of texts get equal cells, so a group that shares many bands is compared once.
+    """
+    part = (np.cumsum(np.maximum(sizes, 1)) - 1) // most
+    name = xxhash.xxh64_intdigest(owns.tobytes())
+    parts = np.unique(part).tolist()
+    out = []
+    for a, b in combinations(parts, 2) if len(parts) > 1 else [(parts[0], parts[0])]:
+        cell = np.uint64(xxhash.xxh64_intdigest(f"{name} {a} {b}")).astype(np.int64).item()
+        out += [(cell, own) for own in owns[(part == a) | (part == b)].tolist()]
+    return out
+
+
+def similar_stars(owns: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (own, first of its group) that join all sets with a Jaccard similarity of ``least`` at least."""
+    sizes = np.array([len(s) for s in sets])
+    together = np.concatenate(sets)
+    where = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(together, kind="stable")
+    together, where = together[order], where[order]
+    group = np.arange(len(sets))
+    for i, own in enumerate(sets):
+        if not (group != group[0]).any():
+            break
+        starts, ends = np.searchsorted(together, own), np.searchsorted(together, own, "right")
+        both = [where[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        common = np.bincount(np.concatenate(both), minlength=len(sets)) if both else np.zeros(len(sets), int)
+        near = np.unique(group[common + 1e-9 >= least * (sizes + sizes[i] - common)])
+        if len(near) > 1:
+            group[np.isin(group, near)] = near[0]
+    return [(owns[i], owns[g]) for i, g in enumerate(group.tolist()) if g != i]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[tuple]]:
+    """Rows of each run of equal values of a column."""
+    own: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own and own[-1][column] != row[column]:
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
+def similar_links(docs: DataFrame, marks: DataFrame, words: int, least: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Links ``a``, ``b`` of texts that join all found to be similar.
+
+    ``docs`` has ``own`` and ``text``, ``marks`` one row for each ``own`` with its band ``keys`` and number of shingles ``size``.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * 3
+
+        def crowded(cols: list[np.ndarray], last: bool) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+            key, own, size = cols
+            if not len(key):
+                return [], cols
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+            done = len(starts) if last else len(starts) - 1
+            out: list[tuple[int, int]] = []
+            for i in np.flatnonzero(ends[:done] - starts[:done] > 1):
+                out += cells_of(own[starts[i] : ends[i]], size[starts[i] : ends[i]], part_shingles)
+            return out, [] if last else [c[starts[-1] :] for c in cols]
+
+        def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            both = np.array(rows, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["cell", "own"])
+
+        for batch in batches:
+            new = [batch.column(i).to_numpy().astype(np.int64, copy=False) for i in range(3)]
+            rows, kept = crowded([np.concatenate([k, n]) for k, n in zip(kept, new, strict=True)], False)
+            if rows:
+                yield batch_of(rows)
+        rows, _ = crowded(kept, True)
+        if rows:
+            yield batch_of(rows)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64))
+        hashed = (
+            pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(2)], pa.binary())], names=["cell", "own", "set"])
+            for b in small
+        )
+        for rows in _runs(hashed):
+            pairs = similar_stars([own for _, own, _ in rows], [np.frombuffer(s, np.uint64) for *_, s in rows], least)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])], names=["a", "b"])
+
+    width = shuffle_width(docs.sparkSession)
+    dealt = marks.select(F.explode("keys").alias("key"), "own", "size").repartition(width, "key").sortWithinPartitions("key", "own")
+    cells = dealt.mapInArrow(meet, "cell long, own long").distinct()
+    texts = docs.groupBy("own").agg(F.first("text").alias("text"))  # copies are one before they are shuffled
+    met = cells.join(texts, "own").select("cell", "own", "text").repartition(width, "cell").sortWithinPartitions("cell", "own")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
+    """Group documents linked by chains of texts of which the sets of word shingles are similar.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``words``-word
+    shingles (ASCII lower case, split at ASCII white space; a shorter text is one
+    shingle) is ``least`` at least and they share a MinHash band. Shingles are compared
+    by 64 bits of hash, equal texts are told by 64 bits of hash. Returns one row for
+    each row of ``docs``: ``doc_id`` and ``component_id``, the smallest
+    non-null doc_id of the group. Null texts and texts without words are one group.
+    Repeated rows are returned as often as they come. A row with a null doc_id takes
+    part and gets the group's id (null only if the whole group has no id). Other
+    columns are ignored. An empty table gives no rows.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column(2)]
+            columns = [pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "own", "keys", "size"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    found = cut_lineage(texts.mapInArrow(each, "doc_id long, own long, keys array<long>, size long"))
+    marks = found.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    classes = _classes(marks.select("own", "first_id"), similar_links(texts.select("own", "text"), marks, words, least), "own")
+    return found.select("doc_id", "own").join(classes, "own").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
     """Keep one document of each group: the one with the smallest doc_id, with all its columns.
 
     doc_id is the key: of rows that repeat one, one stays. Rows without a
     doc_id are in no group that could name another and all stay.
     """
-    groups = near_duplicates(docs, words, radius)
+    groups = near_duplicates(docs, words, least)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
@@ -207,5 +376,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: in
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: fingerprint and component of every document."""
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = fingerprint_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

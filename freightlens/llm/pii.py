@@ -4,7 +4,8 @@ The field scores whole candidate segments, not single tokens: digit counts,
 check sums, shapes, octets and cue words belong to a span as a whole. Dynamic
 programming over the tokens of a zone then chooses boundaries and kinds
 together; a segment has at most ``LONGEST`` tokens. Every entity has an at-sign
-(plain or spelled out) or at least seven digits, so zones without these hold
+(plain or spelled out), at least seven digits, or is four numbers joined by dots
+(plain, bracketed or spaced), of any number of digits; zones without these hold
 none and only the others are decoded. The field is trained here, by
 conditional likelihood, on written-out examples of every kind, of spellings
 that the base patterns miss and of numbers that are no personal data.
@@ -45,9 +46,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _DIGITS_ZONE = re.compile(r"\+?[(\[]?[0-9](?:[ ().\[\]-]{0,3}[0-9]){6,}")
+_DOTTED_ZONE = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3,}(?![0-9])")
 _AFTER_AT = re.compile(r"@[^\s@]{0,120}")
 _BEFORE_AT = 80
-_SPELLED_ZONE = re.compile(r"[\w.%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[\w-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63})+")
+# a bracketed at-sign, or a bare one whose dots are spelled: " at " and "." alone are prose
+_SPELLED_ZONE = re.compile(
+    r"[\w.%+-]{1,64} ?(?:(?:\(at\)|\[at\]) ?[\w-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63}| at ?[\w-]{1,63}(?: ?\. ?[\w-]{1,63})* ?(?:\(dot\)|\[dot\]| dot ) ?[\w-]{1,63})"
+    r"(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63})*"
+)
+_SPELLED_SIGNS = ("(at)", "[at]", "(dot)", "[dot]", " dot ")
 _SPELLED_AT = re.compile(r"\(at\)|\[at\]| at ")
 _SPELLED_DOT = re.compile(r" ?[\[(]?dot\b")
 _OCTETS = re.compile(r"([0-9]{1,3})(?:\.|\[\.\]| \. )([0-9]{1,3})(?:\.|\[\.\]| \. )([0-9]{1,3})(?:\.|\[\.\]| \. )([0-9]{1,3})")
@@ -116,10 +123,12 @@ def zones(text: str) -> list[tuple[int, int]]:
             begin -= 1
         found.append((begin, _AFTER_AT.match(text, at).end()))
         at = text.find("@", at + 1)
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    if any(sign in text for sign in _SPELLED_SIGNS):
         found += [m.span() for m in _SPELLED_ZONE.finditer(text)]
     if _DIGIT.search(text):
         found += [m.span() for m in _DIGITS_ZONE.finditer(text)]
+        if "." in text:
+            found += [m.span() for m in _DOTTED_ZONE.finditer(text)]
     out: list[list[int]] = []
     for s, e in sorted(found):
         if out and s < out[-1][1]:

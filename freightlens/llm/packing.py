@@ -16,6 +16,7 @@ some ninety classes, goes to sequences by first fit.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -57,12 +58,23 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def added_tokens(path: str) -> tuple[re.Pattern, dict[str, bytes]]:
+    """A splitter at the added tokens of a tokenizer's file, and the id of each as bytes."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens are taken as they stand in the raw text only")
+    added = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+    return re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")"), added
+
+
 class Words(dict):
     """The ids of words and of their parts, made when first asked for; it starts anew when it holds too many."""
 
     def __init__(self, path: str, most: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work already
         self.merges = Tokenizer.from_file(path).model.tokenize
+        self.added = added_tokens(path)
         self.most = most
 
     def __missing__(self, word: str) -> bytes:
@@ -93,17 +105,25 @@ def id_bytes(path: str, words_kept: int = WORDS_KEPT) -> Callable[[str], bytes]:
     No token of the vocabulary crosses a blank or the parts that its splitter
     makes, and blanks have no ids, so the ids of a text are those of its words'
     parts one after another. Each distinct word and part is encoded once while
-    it is kept, which spares most of the work of encoding whole texts.
+    it is kept, which spares most of the work of encoding whole texts. The
+    file's added tokens are found in the raw text first, as the tokenizer does;
+    what stands between two of them is encoded by itself.
     """
     memory = worker_memory()
     if (path, words_kept) not in memory:
         memory[path, words_kept] = Words(path, words_kept)
     seen = memory[path, words_kept]
+    literals, added = seen.added
+
+    def plain(text: str) -> bytes:
+        return b"".join(map(seen.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(text: str) -> bytes:
         if len(seen) > seen.most:
             seen.clear()
-        return b"".join(map(seen.__getitem__, text.replace("\n", " ").split(" ")))
+        if not any(literal in text for literal in added):
+            return plain(text)
+        return b"".join(added[part] if i % 2 else plain(part) for i, part in enumerate(literals.split(text)))
 
     return encode
 

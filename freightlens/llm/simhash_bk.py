@@ -14,8 +14,8 @@ the stars of all shards are joined by ``components``.
 
 Near duplicates of training text (``near_duplicates``) are another matter: texts
 of which the sets of five-word shingles have a Jaccard similarity of 0.8 at least.
-Their fingerprints lie some ten bits apart, up to seventeen or so, which blocks of 64
-bits can't cover: eighteen blocks would have three or four bits each. So candidates
+At 0.8 the fingerprints of sets of one size are expected about ten bits apart (an
+estimate, not measured), too far for pigeonhole blocks of 64 bits. So candidates
 come from MinHash bands instead, and each is decided on the shingles themselves.
 """
 

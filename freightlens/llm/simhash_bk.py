@@ -14,9 +14,10 @@ the stars of all shards are joined by ``components``.
 
 Near duplicates of training text (``near_duplicates``) are another matter: texts
 of which the sets of five-word shingles have a Jaccard similarity of 0.8 at least.
-At 0.8 the fingerprints of sets of one size are expected about ten bits apart (an
-estimate, not measured), too far for pigeonhole blocks of 64 bits. So candidates
-come from MinHash bands instead, and each is decided on the shingles themselves.
+At 0.8 the fingerprints of sets of one size are expected about ten bits apart (by
+calculation), too far for pigeonhole blocks of 64 bits. So MinHash bands
+take the shards' place, the SimHashes (with BK-trees where a band is crowded)
+pick whom to compare in a band, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .banding import BKTree, Forest, banded_classes
 from .common import cut_lineage, shuffle_width, table
 from .components import components
 
@@ -44,8 +46,9 @@ NEAR_LEAST = 0.8
 #: Bands and hashes a band: of pairs of exactly the least similarity, all but 1 in 20,000 share a band.
 BANDS = 25
 BAND_HASHES = 5
-#: Shingles of one part of a crowded band; a task holds two parts.
-PART_SHINGLES = 2_000_000
+#: Pairs whose SimHashes of shingles differ in more bits aren't compared: at the least similarity about
+#: 10 bits differ, with a deviation of 3 (by calculation), so 24 bits miss less than one pair in 100,000.
+NEAR_RADIUS = 24
 
 _PLACE = (np.arange(8) * 256).astype(np.int64)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -72,6 +75,14 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def mark_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of hashes: a bit is set if it is in over half of them; none: zero."""
+    # counts of each byte value at each of the eight places, then of each bit
+    seen = np.bincount((np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
+    ones = seen.reshape(8, 256) @ _BITS
+    return int(np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The unsigned fingerprint of one text; no words (or null): zero."""
     tokens = text.encode().lower().split() if text else []
@@ -82,11 +93,7 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> i
     else:
         grams = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
-    # counts of each byte value at each of the eight places, then of each bit
-    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
-    ones = seen.reshape(8, 256) @ _BITS
-    return int(np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view("<u8")[0])
+    return mark_of(np.array([digest(g, seed) for g in grams], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -100,64 +107,16 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
 
 
-class BKTree:
-    """A BK-tree of integers under Hamming distance."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        """Insert a value; one that is there already changes nothing."""
-        at = 0
-        while self.values:
-            d = (self.values[at] ^ value).bit_count()
-            if not d:
-                return
-            below = self.children[at].get(d)
-            if below is None:
-                self.children[at][d] = len(self.values)
-                break
-            at = below
-        self.values.append(value)
-        self.children.append({})
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Positions of all values at most ``radius`` bits from ``value``."""
-        found, open_ = [], [0] if self.values else []
-        while open_:
-            at = open_.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            children = self.children[at]
-            if children:
-                open_.extend(children[k] for k in range(d - radius, d + radius + 1) if k in children)
-        return found
-
-
 def shard_stars(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (value, smallest value of its local group) of one shard's distinct values."""
-    if len(values) == 2:
-        a, b = sorted(values)
-        return [(b, a)] if 0 < (a ^ b).bit_count() <= radius else []
-    tree = BKTree()
-    parent: list[int] = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    """Links (value, smallest value of its local group) of one shard's distinct values, found in its BK-tree."""
+    tree, forest = BKTree(), Forest()
     for value in sorted(set(values)):
         near = tree.within(value, radius)
         tree.add(value)
-        parent.append(new := len(parent))
+        new = forest.add()
         for i in near:
-            a, b = root(i), root(new)
-            parent[max(a, b)] = min(a, b)
-    return [(v, tree.values[r]) for i, v in enumerate(tree.values) if (r := root(i)) != i]
+            forest.join(i, new)
+    return [(v, tree.values[r]) for i, v in enumerate(tree.values) if (r := forest.root(i)) != i]
 
 
 def _masks(radius: int) -> list[int]:
@@ -221,128 +180,37 @@ def fingerprint_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     """
     found = cut_lineage(fingerprints(docs, words, seed))
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    classes = _classes(fps, links(fps.select("fp"), radius), "fp")
+    label = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    classes = _classes(fps, label, "fp")
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _classes(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Each node (``name``, with its ``first_id``) and the least first_id of what ``pairs`` links it to."""
-    label = components(pairs).withColumnRenamed("node", name)
+def _classes(nodes: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """Each node (``name``, with its ``first_id``) and the least first_id of its ``label``; nodes without one are alone."""
     labelled = nodes.join(label, name, "left").select(name, "first_id", F.coalesce("label", name).alias("label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return labelled.join(least, "label").select(name, "component_id")
-
-
-def cells_of(owns: np.ndarray, sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(cell, own) of a band's distinct texts: they are dealt into parts, and each two parts meet in one cell.
-
-    Equal lists of texts get equal cells, so a group that shares many bands is compared once.
-    """
-    part = (np.cumsum(np.maximum(sizes, 1)) - 1) // most
-    name = xxhash.xxh64_intdigest(owns.tobytes())
-    parts = np.unique(part).tolist()
-    out = []
-    for a, b in combinations(parts, 2) if len(parts) > 1 else [(parts[0], parts[0])]:
-        cell = np.uint64(xxhash.xxh64_intdigest(f"{name} {a} {b}")).astype(np.int64).item()
-        out += [(cell, own) for own in owns[(part == a) | (part == b)].tolist()]
-    return out
-
-
-def similar_stars(owns: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links (own, first of its group) that join all sets with a Jaccard similarity of ``least`` at least."""
-    sizes = np.array([len(s) for s in sets])
-    together = np.concatenate(sets)
-    where = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(together, kind="stable")
-    together, where = together[order], where[order]
-    group = np.arange(len(sets))
-    for i, own in enumerate(sets):
-        if not (group != group[0]).any():
-            break
-        starts, ends = np.searchsorted(together, own), np.searchsorted(together, own, "right")
-        both = [where[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        common = np.bincount(np.concatenate(both), minlength=len(sets)) if both else np.zeros(len(sets), int)
-        near = np.unique(group[common + 1e-9 >= least * (sizes + sizes[i] - common)])
-        if len(near) > 1:
-            group[np.isin(group, near)] = near[0]
-    return [(owns[i], owns[g]) for i, g in enumerate(group.tolist()) if g != i]
-
-
-def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[tuple]]:
-    """Rows of each run of equal values of a column."""
-    own: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own and own[-1][column] != row[column]:
-                yield own
-                own = []
-            own.append(row)
-    if own:
-        yield own
-
-
-def similar_links(docs: DataFrame, marks: DataFrame, words: int, least: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
-    """Links ``a``, ``b`` of texts that join all found to be similar.
-
-    ``docs`` has ``own`` and ``text``, ``marks`` one row for each ``own`` with its band ``keys`` and number of shingles ``size``.
-    """
+    return labelled.join(least, "label").select(name, "component_id", "label")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 3
 
-        def crowded(cols: list[np.ndarray], last: bool) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-            key, own, size = cols
-            if not len(key):
-                return [], cols
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-            done = len(starts) if last else len(starts) - 1
-            out: list[tuple[int, int]] = []
-            for i in np.flatnonzero(ends[:done] - starts[:done] > 1):
-                out += cells_of(own[starts[i] : ends[i]], size[starts[i] : ends[i]], part_shingles)
-            return out, [] if last else [c[starts[-1] :] for c in cols]
-
-        def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(rows, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["cell", "own"])
-
-        for batch in batches:
-            new = [batch.column(i).to_numpy().astype(np.int64, copy=False) for i in range(3)]
-            rows, kept = crowded([np.concatenate([k, n]) for k, n in zip(kept, new, strict=True)], False)
-            if rows:
-                yield batch_of(rows)
-        rows, _ = crowded(kept, True)
-        if rows:
-            yield batch_of(rows)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64))
-        hashed = (
-            pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(2)], pa.binary())], names=["cell", "own", "set"])
-            for b in small
-        )
-        for rows in _runs(hashed):
-            pairs = similar_stars([own for _, own, _ in rows], [np.frombuffer(s, np.uint64) for *_, s in rows], least)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])], names=["a", "b"])
+def share_alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets of hashes is ``least`` at least."""
+    fewer, more = sorted((len(a), len(b)))
+    if fewer + 1e-9 < least * more:
+        return False
+    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return common + 1e-9 >= least * (len(a) + len(b) - common)
 
-    width = shuffle_width(docs.sparkSession)
-    dealt = marks.select(F.explode("keys").alias("key"), "own", "size").repartition(width, "key").sortWithinPartitions("key", "own")
-    cells = dealt.mapInArrow(meet, "cell long, own long").distinct()
-    texts = docs.groupBy("own").agg(F.first("text").alias("text"))  # copies are one before they are shuffled
-    met = cells.join(texts, "own").select("cell", "own", "text").repartition(width, "cell").sortWithinPartitions("cell", "own")
-    return met.mapInArrow(compare, "a long, b long").distinct()
 
-
-def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
+def near_rows(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
     """Group documents linked by chains of texts of which the sets of word shingles are similar.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word
     shingles (ASCII lower case, split at ASCII white space; a shorter text is one
     shingle) is ``least`` at least and they share a MinHash band. Shingles are compared
     by 64 bits of hash, equal texts are told by 64 bits of hash. Returns one row for
-    each row of ``docs``: ``doc_id`` and ``component_id``, the smallest
-    non-null doc_id of the group. Null texts and texts without words are one group.
+    each row of ``docs``: ``doc_id``, ``own`` (hash of the text), ``component_id``, the smallest
+    non-null doc_id of the group, and ``label``, which names the group (groups of rows that
+    share a doc_id can have one component_id). Null texts and texts without words are one group.
     Repeated rows are returned as often as they come. A row with a null doc_id takes
     part and gets the group's id (null only if the whole group has no id). Other
     columns are ignored. An empty table gives no rows.
@@ -351,27 +219,38 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEA
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column(2)]
-            columns = [pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "own", "keys", "size"])
+            columns = [pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([mark_of(s) for s in sets], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "own", "keys", "size", "mark"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("own"), "text")
-    found = cut_lineage(texts.mapInArrow(each, "doc_id long, own long, keys array<long>, size long"))
-    marks = found.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("size").alias("size"))
-    classes = _classes(marks.select("own", "first_id"), similar_links(texts.select("own", "text"), marks, words, least), "own")
-    return found.select("doc_id", "own").join(classes, "own").select("doc_id", "component_id")
+    found = cut_lineage(texts.mapInArrow(each, "doc_id long, own long, keys array<long>, size long, mark long"))
+    nodes = cut_lineage(found.groupBy("own").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("keys", "size", "mark")]))
+    label = banded_classes(
+        nodes.select("own", "keys", "size", "mark"), texts.select("own", F.col("text").alias("body")),
+        lambda text: shingles(text, words), lambda a, b: share_alike(a, b, least), NEAR_RADIUS, least,
+    )
+    classes = _classes(nodes.select("own", "first_id"), label, "own")
+    return found.select("doc_id", "own").join(classes, "own").select("doc_id", "own", "component_id", "label")
+
+
+def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row, as ``near_rows`` says."""
+    return near_rows(docs, words, least).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_LEAST) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id, with all its columns.
+    """Keep one row of each group: of those with its smallest doc_id the one with the least hash of the text, with all its columns.
 
-    doc_id is the key: of rows that repeat one, one stays. Rows without a
-    doc_id are in no group that could name another and all stay.
+    Rows are told by doc_id and text, so rows that share a doc_id only are decided each by its own
+    text. Of rows equal in both, one stays. Rows without a doc_id are in no group that could name
+    another and all stay.
     """
-    groups = near_duplicates(docs, words, least)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    groups = near_rows(docs, words, least)
+    kept = groups.where("doc_id = component_id").groupBy("label").agg(F.min("own").alias("own"), F.first("component_id").alias("id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"), F.struct("*").alias("row"))
+    one = rows.where("id IS NOT NULL").join(kept.select("id", "own"), ["id", "own"], "left_semi").groupBy("id", "own").agg(F.first("row").alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

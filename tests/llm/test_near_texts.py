@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from freightlens.llm import simhash_bk
+from freightlens.llm import banding, simhash_bk
 
 
 def plain_shingles(text):
@@ -53,8 +53,27 @@ def test_similar_groups_by_brute_force(spark, monkeypatch, part):
             texts.append(" ".join(own))
     texts += ["", " \n", "one two", "One  TWO", "one two three"]
     rows = list(enumerate(texts))
-    deal = simhash_bk.cells_of
-    monkeypatch.setattr(simhash_bk, "cells_of", lambda owns, sizes, most: deal(owns, sizes, part))
+    monkeypatch.setattr(banding, "PART_SIZE", part)
     found = {x.doc_id: x.component_id for x in simhash_bk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == plain_groups(rows)
     assert 12 < len(set(found.values())) < len(rows)
+
+
+def test_rows_that_share_an_id_are_decided_by_their_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text stands here"), (7, "x y z"), (7, "u v w"), (7, "u v w")], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in simhash_bk.drop_near_duplicates(docs).collect())
+    assert kept == [(1, "a b c d e f"), (5, "quite another text stands here"), (7, "u v w"), (7, "x y z")]
+
+
+@pytest.mark.parametrize("radius", [64, 24])
+def test_bands_of_many_classes_lose_no_link(spark, monkeypatch, radius):
+    """Nodes are numbers, alike if they differ by one; all are in one band and some others."""
+    monkeypatch.setattr(banding, "PART_SIZE", 7)
+    r = random.Random(5)
+    values = [10 * c + i for c in range(12) for i in range(r.randint(1, 9))]
+    rows = [(i, [0, 1 + v % 3, 100 + v % 2], 1, 0) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "own long, keys array<long>, size long, mark long")
+    bodies = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "own long, body string")
+    found = {x.own: x.label for x in banding.banded_classes(nodes, bodies, int, lambda a, b: abs(a - b) == 1, radius).collect()}
+    first = {v // 10: i for i, v in reversed(list(enumerate(values)))}
+    assert found == {i: first[v // 10] for i, v in enumerate(values) if sum(w // 10 == v // 10 for w in values) > 1}

@@ -1,18 +1,21 @@
 """License scans: winnowed template fingerprints, then banded alignment.
 
 Every template's word shingles are hashed and winnowed: of each window of
-``WINDOW`` successive hashes the least is kept. An inverted index maps a kept
+successive hashes the least is kept. An inverted index maps a kept
 hash to the templates and places that have it. A document's shingles are looked up
 in the index; hits of one template on nearby diagonals make a candidate, and a
 banded alignment of the template's words against the document's words around
 the hits tells how much of the template is there and where.
 
-Any stretch of ``WINDOW + SHINGLE - 1`` template words that a document repeats unchanged is hit.
-The templates are a short fixed list or the caller's; ``TEMPLATE_WORDS`` bounds their size.
+Any stretch of ``window + shingle - 1`` template words that a document repeats unchanged is hit. A
+template of over ``LONG`` words has shingles of ``SHINGLE`` words and windows of ``WINDOW``. A shorter one keeps
+all its shingles, and they have so few words that however the words that may differ lie, an
+unchanged shingle remains (``guaranteed``): no such notice is missed. The templates are a short fixed list or the caller's; ``TEMPLATE_WORDS`` bounds their size.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +29,8 @@ from .common import remembered, table
 
 SHINGLE = 3
 WINDOW = 3
+#: Templates of at most so many words are searched without loss.
+LONG = 24
 BAND = 6
 #: Matched share of a template's words from which it's reported.
 LEAST_COVERAGE = 0.75
@@ -63,10 +68,16 @@ def words_of(text: str) -> list[str]:
     return [word.lower() for word in _WORD.findall(text)]
 
 
+def guaranteed(length: int, least: float) -> int:
+    """Words of the longest unchanged run that any text with ``least`` of a template's ``length`` words has."""
+    wrong = length - math.ceil(least * length - 1e-9)
+    return max(1, -(-(length - wrong) // (wrong + 1)))
+
+
 def shingle_hashes(numbers: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of each run of ``size`` word numbers."""
     n = max(0, len(numbers) - size + 1)
-    mixed = np.zeros(n, dtype=np.uint64)
+    mixed = np.full(n, size, dtype=np.uint64)
     for i in range(size):
         mixed = (mixed ^ numbers[i : i + n]) * _MIX
         mixed ^= mixed >> np.uint64(31)
@@ -85,10 +96,15 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(kept)
 
 
-def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int, int]:
+def match_score(length: int, least: float) -> int:
+    """What a match scores, so that one outweighs all words of a short template that may differ (of a longer: three)."""
+    return max(2, 1 + (length - math.ceil(least * length - 1e-9) if length <= LONG else 3))
+
+
+def align(template: list[str], words: list[str], low: int, high: int, match: int = 2) -> tuple[int, int, int, int]:
     """Best local alignment with diagonals (word place - template place) in [low, high].
 
-    A match scores 2, a substitution or gap -1. Returns matched words, first and one past the last word, score.
+    A match scores ``match``, a substitution or gap -1. Returns matched words, first and one past the last word, score.
     """
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}  # by word place: score, matches, start
@@ -96,7 +112,7 @@ def align(template: list[str], words: list[str], low: int, high: int) -> tuple[i
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + low), min(len(words) - 1, i + high) + 1):
             score, matches, start = above.get(j - 1, (0, 0, j))
-            own = (score + 2, matches + 1, start) if words[j] == word else (score - 1, matches, start)
+            own = (score + match, matches + 1, start) if words[j] == word else (score - 1, matches, start)
             for s, m, a in (above.get(j, (0, 0, j)), row.get(j - 1, (0, 0, j))):
                 own = max(own, (s - 1, m, a))
             row[j] = own = own if own[0] > 0 else (0, 0, j + 1)
@@ -107,53 +123,67 @@ def align(template: list[str], words: list[str], low: int, high: int) -> tuple[i
 
 
 class Scanner:
-    """The inverted index of a set of templates."""
+    """The inverted index of a set of templates; ``least`` is the share of a template's words that must be matched."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE) -> None:
+        self.least = least
         self.names = sorted(templates)
         self.words = [words_of(templates[n]) for n in self.names]
         if sum(map(len, self.words)) > TEMPLATE_WORDS:
             raise ValueError(f"the templates have over {TEMPLATE_WORDS} words")
         self.numbers = {w: zlib.crc32(w.encode()) or 1 for own in self.words for w in own}
         self.index: dict[int, list[tuple[int, int]]] = {}
+        self.sizes: set[int] = set()
         for t, own in enumerate(self.words):
-            hashes = shingle_hashes(np.array([self.numbers[w] for w in own], dtype=np.uint64))
-            for place in winnow(hashes):
+            if not own:
+                continue
+            short = len(own) <= LONG
+            size = min(SHINGLE, guaranteed(len(own), least)) if short else SHINGLE
+            self.sizes.add(size)
+            hashes = shingle_hashes(np.array([self.numbers[w] for w in own], dtype=np.uint64), size)
+            for place in winnow(hashes, 1 if short else WINDOW):
                 self.index.setdefault(int(hashes[place]), []).append((t, place))
         self.keys = np.array(sorted(self.index), dtype=np.uint64)
 
-    def scan(self, text: str, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int, int]]:
+    def hits(self, words: list[str]) -> dict[int, set[int]]:
+        """Diagonals (document place - template place) of each template's hits."""
+        get = self.numbers.get
+        numbers = np.array([get(w, 0) for w in words], dtype=np.uint64)
+        known = numbers != 0
+        diagonals: dict[int, set[int]] = {}
+        for size in self.sizes:
+            n = len(words) - size + 1
+            if n < 1:
+                continue
+            whole = known[:n].copy()
+            for i in range(1, size):
+                whole &= known[i : i + n]
+            spots = np.flatnonzero(whole)
+            if not len(spots):
+                continue
+            mixed = np.full(len(spots), size, dtype=np.uint64)
+            for i in range(size):
+                mixed = (mixed ^ numbers[spots + i]) * _MIX
+                mixed ^= mixed >> np.uint64(31)
+            hit = np.isin(mixed, self.keys)
+            for spot, value in zip(spots[hit].tolist(), mixed[hit].tolist(), strict=True):
+                for t, place in self.index[value]:
+                    diagonals.setdefault(t, set()).add(spot - place)
+        return diagonals
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end) of each occurrence; ends in code points.
 
         Of occurrences that overlap, the one with the best alignment counts (then the larger coverage, then the name).
         """
         words = words_of(text)
-        get = self.numbers.get
-        numbers = np.array([get(w, 0) for w in words], dtype=np.uint64)
-        known = numbers != 0
-        n = len(words) - SHINGLE + 1
-        if n < 1:
-            return []
-        whole = known[:n].copy()
-        for i in range(1, SHINGLE):
-            whole &= known[i : i + n]
-        spots = np.flatnonzero(whole)
-        if not len(spots):
+        diagonals = self.hits(words)
+        if not diagonals:
             return []
-        runs = np.stack([numbers[spots + i] for i in range(SHINGLE)], axis=1)
-        mixed = np.zeros(len(spots), dtype=np.uint64)
-        for i in range(SHINGLE):
-            mixed = (mixed ^ runs[:, i]) * _MIX
-            mixed ^= mixed >> np.uint64(31)
-        hit = np.isin(mixed, self.keys)
-        diagonals: dict[int, list[int]] = {}
-        for spot, value in zip(spots[hit].tolist(), mixed[hit].tolist(), strict=True):
-            for t, place in self.index[value]:
-                diagonals.setdefault(t, []).append(spot - place)
         found = []
         for t, own in diagonals.items():
             template = self.words[t]
-            own = sorted(set(own))
+            own, vocabulary, wanted = sorted(own), set(template), self.least * len(template)
             band = min(BAND, max(1, len(template) // 2))  # repeats of a short template stay apart
             group = [own[0]]
             for d in [*own[1:], None]:
@@ -161,9 +191,12 @@ class Scanner:
                     group.append(d)
                     continue
                 begin = max(0, group[0] - band)
-                stretch = words[begin : group[-1] + len(template) + band]
-                matched, a, b, score = align(template, stretch, group[0] - band - begin, group[-1] + band - begin)
-                if matched >= least * len(template):
+                stretch = words[begin : max(0, group[-1] + len(template) + band)]
+                if sum(w in vocabulary for w in stretch) < wanted:  # no alignment can match enough
+                    group = [d]
+                    continue
+                matched, a, b, score = align(template, stretch, group[0] - band - begin, group[-1] + band - begin, match_score(len(template), self.least))
+                if matched >= wanted:
                     found.append((-score, -matched / len(template), self.names[t], matched, begin + a, begin + b))
                 group = [d]
         out: list[tuple] = []
@@ -185,13 +218,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     columns are ignored; an empty table or no template gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    Scanner(templates)  # checks the size
-    key = ("license scanner", tuple(sorted(templates.items())))
+    Scanner(templates, least)  # checks the size
+    key = ("license scanner", tuple(sorted(templates.items())), least)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = remembered(key, lambda: Scanner(templates))
+        scanner = remembered(key, lambda: Scanner(templates, least))
         for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in scanner.scan(text.as_py() or "", least)]
+            rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in scanner.scan(text.as_py() or "")]
             columns = zip(*rows, strict=True) if rows else [[] for _ in range(6)]
             types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "license", "coverage", "matched_words", "start", "end"])

@@ -47,11 +47,12 @@ _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _DIGITS_ZONE = re.compile(r"\+?[(\[]?[0-9](?:[ ().\[\]-]{0,3}[0-9]){6,}")
 _DOTTED_ZONE = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3,}(?![0-9])")
-_AFTER_AT = re.compile(r"@[^\s@]{0,120}")
-_BEFORE_AT = 80
-# a bracketed at-sign, or a bare one whose dots are spelled: " at " and "." alone are prose
-_SPELLED_ZONE = re.compile(
-    r"[\w.%+-]{1,64} ?(?:(?:\(at\)|\[at\]) ?[\w-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63}| at ?[\w-]{1,63}(?: ?\. ?[\w-]{1,63})* ?(?:\(dot\)|\[dot\]| dot ) ?[\w-]{1,63})"
+_AFTER_AT = re.compile(r"@[^\s@]*")
+_NAME = re.compile(r"[\w.%+-]")
+# what may stand from a spelled at-sign on: a bracketed one, or a bare one whose dots are spelled: " at " and "." alone are
+# prose. The name before it is sought leftwards from the sign. Labels of a host have at most 63 characters by its standard.
+_SPELLED_HOST = re.compile(
+    r"(?:(?:\(at\)|\[at\]) ?[\w-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63}| at ?[\w-]{1,63}(?: ?\. ?[\w-]{1,63})* ?(?:\(dot\)|\[dot\]| dot ) ?[\w-]{1,63})"
     r"(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{1,63})*"
 )
 _SPELLED_SIGNS = ("(at)", "[at]", "(dot)", "[dot]", " dot ")
@@ -119,12 +120,18 @@ def zones(text: str) -> list[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
         begin = at
-        while begin > max(0, at - _BEFORE_AT) and not text[begin - 1].isspace() and text[begin - 1] != "@":
+        while begin and not text[begin - 1].isspace() and text[begin - 1] != "@":
             begin -= 1
         found.append((begin, _AFTER_AT.match(text, at).end()))
         at = text.find("@", at + 1)
     if any(sign in text for sign in _SPELLED_SIGNS):
-        found += [m.span() for m in _SPELLED_ZONE.finditer(text)]
+        for sign in _SPELLED_AT.finditer(text):
+            host = _SPELLED_HOST.match(text, sign.start())
+            begin = name = sign.start() - (text[sign.start() - 1 : sign.start()] == " ") if host else 0
+            while begin and _NAME.match(text, begin - 1):
+                begin -= 1
+            if begin < name:
+                found.append((begin, host.end()))
     if _DIGIT.search(text):
         found += [m.span() for m in _DIGITS_ZONE.finditer(text)]
         if "." in text:
@@ -160,7 +167,7 @@ def segment_features(text: str, start: int, end: int) -> list[str]:
         found.append("local phone")
     if not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
         found.append("odd edge")
-    if text[start - 1 : start].isalnum() or text[start - 1 : start] in ("+", "@"):
+    if text[start - 1 : start].isalnum() or text[start - 1 : start] in ("+", "@") or (text[start - 1 : start] in (".", "_", "%", "-") and text[start - 2 : start - 1].isalnum()):
         found.append("cut left")
     if text[end : end + 1].isalnum() or text[end : end + 1] == "@" or (text[end : end + 1] in (".", "-", "[") and text[end + 1 : end + 2].isalnum()):
         found.append("cut right")

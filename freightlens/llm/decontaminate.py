@@ -10,6 +10,10 @@ operations for each byte) then decides about the stretch around it.
 A worker holds the automaton of one block of items at a time; blocks have a
 bounded number of bytes and are searched one after another, so a larger
 benchmark means more passes and no larger broadcast.
+
+An item of fewer than ``LEAST_BYTES`` folded bytes is no passage that could bear edits: its exact
+words are sought, from one word's beginning to a word's end. Texts aren't dropped for such items
+unless asked for, as a one-word answer stands in clean texts too.
 """
 
 from __future__ import annotations
@@ -17,18 +21,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, table, worker_memory
 
 ERROR_RATE = 0.08
-#: Items of fewer folded bytes aren't searched: they are no passages.
+#: Items of fewer folded bytes are sought as whole words without any edit.
 LEAST_BYTES = 24
 #: Folded bytes of the items of one block.
 BLOCK_BYTES = 1_000_000
@@ -83,11 +87,12 @@ def distances(pattern: bytes, text: bytes) -> list[int]:
 class Finder:
     """All items of one block: finds their occurrences in a folded text."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float) -> None:
-        self.items = [(key, item, budget(len(item), rate)) for key, item in items]
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, least: int = LEAST_BYTES) -> None:
+        self.items = [(key, item, budget(len(item), rate) if len(item) >= least else 0) for key, item in items]
+        self.short = [len(item) < least for _, item in items]
         self.tree = ahocorasick.Automaton()
         for at, (_, item, edits) in enumerate(self.items):
-            for offset, piece in cut_item(item, edits):
+            for offset, piece in [(0, b" " + item + b" ")] if self.short[at] else cut_item(item, edits):
                 word = piece.decode("latin-1")
                 self.tree.get(word, None) or self.tree.add_word(word, (len(word), []))
                 self.tree.get(word)[1].append((at, offset))
@@ -99,8 +104,17 @@ class Finder:
         if not self.items:
             return []
         windows: dict[int, list[list[int]]] = {}
-        for end, (length, uses) in self.tree.iter(text.decode("latin-1")):
+        out = []
+        after_short: dict[int, int] = {}
+        # a blank stands before and after the text, so every word has one on both sides
+        for end, (length, uses) in self.tree.iter(" " + text.decode("latin-1") + " "):
+            end -= 1
             for at, offset in uses:
+                if self.short[at]:
+                    if end + 1 - length >= after_short.get(at, -1):
+                        after_short[at] = end
+                        out.append((at, 0, end + 2 - length, end))
+                    continue
                 _, item, edits = self.items[at]
                 begin = end + 1 - length - offset - edits
                 window = [max(0, begin), min(len(text), begin + len(item) + 2 * edits)]
@@ -110,7 +124,6 @@ class Finder:
                     own[-1][1] = max(own[-1][1], window[1])
                 else:
                     own.append(window)
-        out = []
         for at, stretches in windows.items():
             _, item, edits = self.items[at]
             for a, b in stretches:
@@ -153,7 +166,7 @@ def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, size: int, least: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, size: int, least: int = 1) -> Iterator[list[tuple[int, bytes]]]:
     """Blocks of folded items of about ``size`` bytes, one on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -169,20 +182,20 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
     One row for each document and item that it has: ``doc_id, item_id,
     n_matches`` (disjoint occurrences), ``distance`` (edits of the best, in
-    folded bytes), ``start, end`` (its code points in the text). Items that are null or
-    fold to fewer than ``least`` bytes aren't searched; a null item_id counts
-    as -1. Null and empty texts have none. Repeated documents each get their
+    folded bytes), ``start, end`` (its code points in the text). Items that fold to fewer than
+    ``least`` bytes are found as whole words without edits; null items and those that fold to nothing
+    aren't searched; a null item_id counts as -1. Null and empty texts have none. Repeated documents each get their
     rows; repeated items count once. Other columns are ignored. With an empty
     table the result is empty.
     """
     found = []
-    for items in _blocks(benchmark, block_bytes, least):
-        name = hashlib.sha256(repr((items, rate)).encode()).hexdigest()
+    for items in _blocks(benchmark, block_bytes):
+        name = hashlib.sha256(repr((items, rate, least)).encode()).hexdigest()
 
         def each(batches: Iterator[pa.RecordBatch], items: list = items, name: str = name) -> Iterator[pa.RecordBatch]:
             memory = worker_memory()
             if memory.get("finder", ("",))[0] != name:
-                memory["finder"] = (name, Finder(items, rate))
+                memory["finder"] = (name, Finder(items, rate, least))
             finder = memory["finder"][1]
             for batch in batches:
                 rows = []
@@ -209,20 +222,33 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text has no benchmark passage, with all their columns."""
-    out = docs
-    for items in _blocks(benchmark, block_bytes, least):
-        name = hashlib.sha256(repr((items, rate)).encode()).hexdigest()
+def _cleaner(name: str, items: list[tuple[int, bytes]], rate: float, least: int) -> Callable[[Column], Column]:
+    """A column function: whether a text has none of the items."""
 
-        def clean(texts: pd.Series, items: list = items, name: str = name) -> pd.Series:
-            memory = worker_memory()
-            if memory.get("finder", ("",))[0] != name:
-                memory["finder"] = (name, Finder(items, rate))
-            finder = memory["finder"][1]
-            return pd.Series([not finder.find(fold("" if t is None else t)) for t in texts], dtype=bool)
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        memory = worker_memory()
+        if memory.get("finder", ("",))[0] != name:
+            memory["finder"] = (name, Finder(items, rate, least))
+        finder = memory["finder"][1]
+        return pd.Series([not finder.find(fold("" if t is None else t)) for t in texts], dtype=bool)
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES, short_items: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose text has no benchmark passage, with all their columns.
+
+    Items of fewer than ``least`` folded bytes count only with ``short_items``. Of several blocks of items each works on
+    what the one before kept, read back from the shared checkpoint folder, so one block is held at a time.
+    """
+    out = docs
+    for number, items in enumerate(_blocks(benchmark, block_bytes, 1 if short_items else least)):
+        name = hashlib.sha256(repr((items, rate, least)).encode()).hexdigest()
 
-        out = out.where(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR)(F.col("text").cast("string")))
+        if number:
+            out = cut_lineage(out)
+        out = out.where(_cleaner(name, items, rate, least)(F.col("text").cast("string")))
     return out
 
 

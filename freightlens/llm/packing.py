@@ -183,21 +183,34 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return places
 
 
+def unused(names: list[str], columns: list[str]) -> list[str]:
+    """The names, each with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def harmonic(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
     """Give each piece its ``sequence_id`` and ``offset``.
 
     ``cut`` has ``doc_id``, ``start``, ``length`` (1 to ``capacity``) and
-    ``ids_crc32``; its other columns stay. Equal pieces are interchangeable. A
-    sequence id is made of level, class, bucket and number in the bucket. An
-    empty table gives no rows.
+    ``ids_crc32``; its other columns stay, whatever their names (but columns named ``sequence_id`` or ``offset``
+    are replaced). Equal pieces are interchangeable. A sequence id is made of level, class, bucket and number in
+    the bucket. An empty table gives no rows.
     """
     if buckets > 1 << 14 or capacity >= 1 << 12:
         raise ValueError("a sequence id has room for 16384 buckets and a capacity below 4096")
     order = ["doc_id", "start", "length", "ids_crc32"]
+    cut = cut.drop("sequence_id", "offset")
     keep = [*cut.columns, "sequence_id", "offset"]
+    k, bucket, n, of, bin_, full = unused(["k", "bucket", "n", "of", "bin", "full"], cut.columns)
     classed = cut.withColumns({
-        "k": F.expr(f"cast({capacity} div length as int)"),
-        "bucket": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"),
+        k: F.expr(f"cast({capacity} div length as int)"),
+        bucket: F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"),
     })
 
     def base(level: int) -> Column:
@@ -205,18 +218,18 @@ def harmonic(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -
 
     def fill(df: DataFrame, level: int, by: list[str]) -> DataFrame:
         mine = Window.partitionBy(*by)
-        inside = Window.partitionBy(*by, "bin").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        bucket = F.col("bucket") if "bucket" in by else F.lit(0)
-        numbered = df.withColumn("n", F.row_number().over(mine.orderBy(*order)) - 1).withColumn("of", F.count(F.lit(1)).over(mine))
-        return numbered.withColumn("bin", F.expr("n div k")).withColumns({
-            "full": F.expr("bin < of div k"),
-            "sequence_id": base(level) + F.shiftleft(F.col("k").cast("long"), 48) + F.shiftleft(bucket.cast("long"), 34) + F.col("bin"),
+        inside = Window.partitionBy(*by, bin_).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)
+        own_bucket = F.col(bucket) if bucket in by else F.lit(0)
+        numbered = df.withColumn(n, F.row_number().over(mine.orderBy(*order)) - 1).withColumn(of, F.count(F.lit(1)).over(mine))
+        return numbered.withColumn(bin_, F.expr(f"{n} div {k}")).withColumns({
+            full: F.expr(f"{bin_} < {of} div {k}"),
+            "sequence_id": base(level) + F.shiftleft(F.col(k).cast("long"), 48) + F.shiftleft(own_bucket.cast("long"), 34) + F.col(bin_),
             "offset": F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"),
         })
 
-    alone = classed.where("k = 1").withColumns({"sequence_id": base(3) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    first = fill(classed.where("k > 1"), 0, ["k", "bucket"])
-    second = fill(first.where("not full").select(*classed.columns), 1, ["k"])
+    alone = classed.where(F.col(k) == 1).withColumns({"sequence_id": base(3) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    first = fill(classed.where(F.col(k) > 1), 0, [k, bucket])
+    second = fill(first.where(~F.col(full)).select(*classed.columns), 1, [k])
 
     def last(rest: pd.DataFrame) -> pd.DataFrame:
         rest = rest.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
@@ -225,9 +238,9 @@ def harmonic(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -
         rest["offset"] = [o for _, o in places]
         return rest
 
-    # fewer than k pieces of each class are left: some thousand rows at most, whatever the input
-    left = second.where("not full").select(*cut.columns).groupBy().applyInPandas(last, alone.select(*keep).schema)
-    parts = [alone.select(*keep), first.where("full").select(*keep), second.where("full").select(*keep), left]
+    # fewer than k pieces of each class are left: some ten thousand rows at most, whatever the input
+    left = second.where(~F.col(full)).select(*cut.columns).groupBy().applyInPandas(last, alone.select(*keep).schema)
+    parts = [alone.select(*keep), first.where(F.col(full)).select(*keep), second.where(F.col(full)).select(*keep), left]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,8 @@ land in the new one. The generator's 64-bit products are computed as
 decimals, as integer products that overflow are errors in ANSI mode.
 
 Slots count the rows of a shard from 0 without a gap. A shard would be too
-large for one window, so it's dealt into sub-buckets by the same key hash; rows
+large for one window, so it's dealt into sub-buckets by a hash of key, text checksum and size, so
+that rows which share a key don't meet unless they are equal; rows
 are numbered within (shard, sub-bucket) and shifted by the number of rows in
 the sub-buckets before. The table of shifts has at most
 ``shards * sub_buckets`` rows whatever the input, which bounds its broadcast.
@@ -72,7 +73,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     Returns the key column, ``size`` (UTF-8 bytes of the text plus 8; null: 8),
     ``text_crc32`` (unsigned; null: of the empty text), ``law`` = ``key``,
     ``shard``, ``slot`` and ``grown_shard``. Within a shard, slots follow the
-    key hash's sub-bucket, then the key, then the text's crc32 and size.
+    sub-bucket, then the key, then the text's crc32 and size.
     Repeated keys share a shard; rows equal in all of this are
     interchangeable and get successive slots. A null key is one key of its
     own. An empty table gives no rows. Other columns are ignored.
@@ -81,9 +82,10 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     body = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
     rows = df.select(
         F.col(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        jump(hashed, shards).alias("to"), (hashed % sub_buckets).cast("int").alias("sub"),
-    ).select(key, "size", "text_crc32", "to.shard", F.col("to.grown").alias("grown_shard"), "sub")
-    counts = df.select(jump(hashed, shards)["shard"].alias("shard"), (hashed % sub_buckets).cast("int").alias("sub")).groupBy("shard", "sub").count()
+        jump(hashed, shards).alias("to"),
+    ).select(key, "size", "text_crc32", "to.shard", F.col("to.grown").alias("grown_shard"))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(sub_buckets)).cast("int"))
+    counts = rows.groupBy("shard", "sub").count()
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("shard", "sub").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")

@@ -20,14 +20,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read on from there.
 
     The folder is the one in ``spark.checkpoint.dir``, which all executors
-    share, so a lost executor costs no rows. Only where the setting is absent
-    (tests in one JVM) a temporary folder stands in.
+    share, so a lost executor costs no rows. Where the setting is absent, a temporary folder
+    stands in if everything runs in one JVM (a local master, as in tests); on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint_")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint_"))
     return df.checkpoint()
 
 
@@ -42,12 +43,6 @@ def id_crc32(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))
 
 
-def documents_like(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, in this order; columns that lack become null."""
-    have = set(df.columns)
-    return df.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in columns])
-
-
 def worker_memory() -> dict:
     """A dict that lives as long as this Python worker, which Spark uses for one task after another."""
     name = "freightlens_worker_memory"

@@ -7,10 +7,12 @@ for each character explains it best. Phrases stay within a word and its
 two blanks, so a word's phrases are counted once for each language and
 remembered while a worker lives.
 
-The labelled text is a bounded sample: ``DOCS_PER_LANG`` documents of at most
-``LONGEST_DOC`` characters for each language, of which ``CHARS_PER_LANG``
-characters enter the automaton (fewer if there are very many languages, so that
-all automata together stay within ``CHARS_IN_ALL``).
+The labelled text is a bounded sample: of each language ``DOCS_PER_LANG`` documents, of each the first
+``LONGEST_DOC`` characters, of which ``CHARS_PER_LANG`` enter the automaton (fewer if there
+are many languages: each gets an equal share of ``CHARS_IN_ALL``). An automaton of n characters has
+less than 2n states and 3n edges, held in arrays of 4 bytes an edge or state and 4 more an
+edge for its character, so all together take at most 40 bytes a character, 60 MB, whatever the alphabets.
+``MOST_LANGS`` bounds the number of languages, the most frequent ones.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import math
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +34,10 @@ from .common import id_crc32, table, worker_memory
 DOCS_PER_LANG = 64
 LONGEST_DOC = 20_000
 CHARS_PER_LANG = 60_000
-#: All automata together hold so many characters at most, of the most frequent languages.
+#: All automata together hold so many characters at most.
 CHARS_IN_ALL = 1_500_000
-MOST_LANGS = 300
+#: Languages that are learned, the most frequent ones: each has a share of 150 characters at least.
+MOST_LANGS = 10_000
 UNKNOWN = "und"
 #: Words that a worker remembers; longer words than this are parsed each time.
 WORDS_KEPT = 200_000
@@ -41,7 +45,9 @@ LONGEST_KEPT = 64
 #: How fast the score falls with every phrase more.
 SHARPNESS = 0.5
 
-_WORD = re.compile(r"[^\W\d_]+")
+# digits and signs of number that aren't decimal digits (as one half or Roman numerals) are word characters, but no letters
+_NUMBERS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _FIELD = 48
 
 
@@ -51,7 +57,7 @@ def words_of(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as a table of states by characters (0: no way on)."""
+    """All substrings of a text, as states with sorted edges."""
 
     def __init__(self, text: str) -> None:
         link, length, ways = [-1], [0], [{}]
@@ -80,22 +86,27 @@ class SuffixAutomaton:
                     link[q] = link[new] = twin
             last = new
         self.codes = {c: i for i, c in enumerate(sorted(set(text)))}
-        self.width = max(1, len(self.codes))
-        self.table = array("i", bytes(4 * len(length) * self.width))
-        for state, out in enumerate(ways):
-            for c, to in out.items():
-                self.table[state * self.width + self.codes[c]] = to
+        self.first, self.letters, self.to = array("i", [0]), array("i"), array("i")
+        for out in ways:  # a state's edges are sorted by character
+            for code, to in sorted((self.codes[c], to) for c, to in out.items()):
+                self.letters.append(code)
+                self.to.append(to)
+            self.first.append(len(self.to))
+
+    def plain(self) -> tuple:
+        """The automaton in built-in types."""
+        return self.codes, self.first, self.letters, self.to
 
     @classmethod
-    def of(cls, codes: dict[str, int], width: int, table: array) -> SuffixAutomaton:
+    def of(cls, parts: tuple) -> SuffixAutomaton:
         """An automaton from its parts."""
         made = cls.__new__(cls)
-        made.codes, made.width, made.table = codes, width, table
+        made.codes, made.first, made.letters, made.to = parts
         return made
 
     def phrases(self, text: str) -> int:
         """Longest matches that a greedy parse of ``text`` takes; a character never seen is one."""
-        codes, ways, width = self.codes, self.table, self.width
+        codes, first, letters, ways = self.codes, self.first, self.letters, self.to
         count = state = 0
         for c in text:
             code = codes.get(c, -1)
@@ -103,11 +114,12 @@ class SuffixAutomaton:
                 count += 1 + (state > 0)
                 state = 0
                 continue
-            to = ways[state * width + code]
-            if not to:
+            end = first[state + 1]
+            at = bisect_left(letters, code, first[state], end)
+            if at == end or letters[at] != code:
                 count += 1
-                to = ways[code]
-            state = to
+                at = code  # every character has an edge from the beginning
+            state = ways[at]
         return count + (state > 0)
 
 
@@ -121,14 +133,14 @@ class Model:
 
     def plain(self) -> tuple:
         """The model in built-in types, for a broadcast."""
-        return self.name, self.langs, [(a.codes, a.width, a.table) for a in self.automata]
+        return self.name, self.langs, [a.plain() for a in self.automata]
 
     @classmethod
     def of(cls, plain: tuple) -> Model:
         """A model from its parts."""
         made = cls.__new__(cls)
         made.name, made.langs = plain[0], plain[1]
-        made.automata = [SuffixAutomaton.of(*parts) for parts in plain[2]]
+        made.automata = [SuffixAutomaton.of(parts) for parts in plain[2]]
         return made
 
     def packed(self, word: str) -> int:
@@ -165,29 +177,33 @@ def predict(text: str | None, counts: Counts) -> tuple[str, float]:
     return langs[phrases.index(least)], 1 / sum(math.exp(-SHARPNESS * min(p - least, 1400)) for p in phrases)
 
 
-def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, longest: int = LONGEST_DOC, chars: int = CHARS_PER_LANG) -> Model:
+def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, longest: int = LONGEST_DOC, chars: int = CHARS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     """Learn from rows with a text and a language whose crc32(doc_id as text) mod 3 isn't 1.
 
-    For each language the ``per_lang`` documents with the smallest hash of
-    their id are taken. Rows far beyond these are sifted out by the hash before
-    any sort, so the sort handles a few times ``per_lang`` rows, not the corpus.
+    For each language the documents with the smallest hash of their id are taken, ``per_lang`` at most and until
+    twice the language's share of characters is there (what isn't a letter doesn't count in the end). Rows far beyond
+    these are sifted out by the hash before any sort, so the sort handles a few times ``per_lang``
+    rows, not the corpus. The driver gets 2 * CHARS_IN_ALL characters and one document a language at most.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        F.col("lang").isNotNull() & (F.coalesce(id_crc32() % 3, F.lit(0)) != 1)
+        F.col("lang").isNotNull() & (F.coalesce(id_crc32() % 3, F.lit(0)) != 1) & (F.length("text") > 0)
     )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    near = known.join(F.broadcast(counts), "lang").where(place < F.lit(float(8 * per_lang * (1 << 31))) / F.col("n"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    found = counts.collect()  # at most ``most_langs`` rows
+    share = min(chars, CHARS_IN_ALL // max(1, len(found)))
+    names = docs.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, n long")
+    near = known.join(F.broadcast(names), "lang").where(place < F.lit(float(8 * per_lang * (1 << 31))) / F.col("n"))
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
     rows = (
-        near.where(F.length("text").between(1, longest)).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_lang).select("lang", "text", "rank").collect()
+        near.withColumn("text", F.substring("text", 1, min(longest, 2 * share))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+        .withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .where(F.col("before") < 2 * share).select("lang", "text", "rank").collect()
     )
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         texts.setdefault(row["lang"], []).extend(words_of(row["text"]))
-    chars = min(chars, CHARS_IN_ALL // max(1, len(texts)))
-    return Model({lang: f" {' '.join(words)} "[: chars + 1] for lang, words in texts.items() if words})
+    return Model({lang: f" {' '.join(words)} "[: share + 1] for lang, words in texts.items() if words})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remembered, shuffle_width, table
+from .common import cut_lineage, remembered, shuffle_width, table
 
 WINDOW = 100
 ANCHOR = 32
@@ -53,8 +53,8 @@ GROUP_SEGMENTS = 4096
 #: Windows whose anchors are sought at a time.
 PIECE = 1 << 20
 PLACE_BITS = 22
-# A place is text hash, first window and number of windows in one number.
-TEXT_BITS, START_BITS, COUNT_BITS = 20, 36, 7
+# A place is first window and number of windows in one number.
+START_BITS, COUNT_BITS = 56, 7
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -220,7 +220,7 @@ class Groups:
         self.size = 0
 
     def add(self, anchor: int, place: tuple, string: bytes, out: list[tuple]) -> None:
-        """One segment at (doc_id, text hash, first window); an equal one that came before keeps its place."""
+        """One segment at (key, first window); an equal one that came before keeps its place."""
         if anchor != self.anchor:
             self.close(out)
             self.anchor = anchor
@@ -248,30 +248,30 @@ class Groups:
         ranks = np.zeros(len(order), dtype=np.int64)
         last, base = None, 0
         for i in order:  # one number line for all documents, in their order
-            doc, own, start = self.holders[i]
-            if last is not None and (doc, own) != last[:2]:
-                base = last[2] + WINDOW - start
+            doc, start = self.holders[i]
+            if last is not None and doc != last[0]:
+                base = last[1] + WINDOW - start
             ranks[i] = base + start
-            last = (doc, own, max(ranks[i] + self.counts[i], last[2] if last else 0))
-        for later, (doc, own, start) in zip(repeated_windows(self.strings, self.counts, ranks), self.holders, strict=True):
+            last = (doc, max(ranks[i] + self.counts[i], last[1] if last else 0))
+        for later, (doc, start) in zip(repeated_windows(self.strings, self.counts, ranks), self.holders, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], later.view(np.int8), [0]])))
-            out += [(doc, own, start + a, b - a) for a, b in edges.reshape(-1, 2).tolist()]
+            out += [(doc, start + a, b - a) for a, b in edges.reshape(-1, 2).tolist()]
         self.strings, self.counts, self.holders, self.size = [], [], [], 0
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """For each document with any, the ``runs`` (start, windows) that also start earlier; ``docs`` has ``key, own, body``."""
+    """For each document with any, the ``runs`` (start, windows) that also start earlier; ``docs`` has ``key`` (a number of its own for each, in the documents' order) and ``body``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                found = [segments(np.frombuffer(body.as_py(), np.uint8)) for body in some.column(2)]
+                found = [segments(np.frombuffer(body.as_py(), np.uint8)) for body in some.column(1)]
                 sizes = [len(f[0]) for f in found]
-                keys, own = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), sizes).astype(np.int64) for i in (0, 1))
+                keys = np.repeat(some.column(0).to_numpy(zero_copy_only=False), sizes).astype(np.int64)
                 anchors, content, starts, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-                made.append((anchors, content, keys, (own << (START_BITS + COUNT_BITS)) | (starts.astype(np.int64) << COUNT_BITS) | counts))
+                made.append((anchors, content, keys, (starts.astype(np.int64) << COUNT_BITS) | counts))
             if not made:
                 continue
             anchors, content, keys, place = (np.concatenate(c) for c in zip(*made, strict=True))
@@ -294,13 +294,13 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         groups = Groups()
 
         def table_of(out: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()], strict=True)], names=["key", "own", "start", "windows"])
+            columns = zip(*out, strict=True) if out else [[] for _ in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()], strict=True)], names=["key", "start", "windows"])
 
         for batch in batches:
             out: list[tuple] = []
-            for anchor, key, own, start, string in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                groups.add(anchor, (key, own, start), string, out)
+            for anchor, key, start, string in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                groups.add(anchor, (key, start), string, out)
             yield table_of(out)
         out = []
         groups.close(out)
@@ -313,24 +313,42 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     places = places.withColumn("nth", F.rank().over(kind)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(group))
     gone = (F.col("nth") > 1) | (F.col("place") < 0)
     places = places.where(gone | (F.col("kinds") > 1)).select(
-        "key", F.expr(f"shiftright(place, {START_BITS + COUNT_BITS}) & {(1 << TEXT_BITS) - 1}").alias("own"), gone.alias("gone"),
+        "key", gone.alias("gone"),
         F.expr(f"shiftright(place, {COUNT_BITS}) & {(1 << START_BITS) - 1}").alias("start"), F.expr(f"cast(place & {(1 << COUNT_BITS) - 1} as int)").alias("windows"),
         "anchor", (F.col("kinds") > GROUP_SEGMENTS).alias("crowded"),
     )
     # one list for both uses, so that the plan below it runs once
-    of_doc = places.groupBy("key", "own").agg(F.collect_list(F.struct("gone", "start", "windows", "anchor", "crowded")).alias("all"))
+    of_doc = places.groupBy("key").agg(F.collect_list(F.struct("gone", "start", "windows", "anchor", "crowded")).alias("all"))
     single = F.transform(F.sequence(F.lit(0), F.col("part.windows") - 1), lambda i: F.struct((F.col("part.start") + i).alias("start"), F.lit(1).alias("windows")))
     parts = (
-        of_doc.join(docs, ["key", "own"]).select("key", "own", "body", F.explode(F.filter("all", lambda x: ~x["gone"])).alias("part"))
-        .select("key", "own", "body", "part", F.explode(F.when(F.col("part.crowded"), single).otherwise(F.array(F.struct("part.start", "part.windows")))).alias("at"))
-        .select("key", "own", "at.start", "part", F.substring("body", (F.col("at.start") + 1).cast("int"), F.col("at.windows") + WINDOW - 1).alias("string"))
-        .select(F.when(F.col("part.crowded"), F.xxhash64("part.anchor", "string")).otherwise(F.col("part.anchor")).alias("anchor"), "key", "own", "start", "string")
+        of_doc.join(docs, "key").select("key", "body", F.explode(F.filter("all", lambda x: ~x["gone"])).alias("part"))
+        .select("key", "body", "part", F.explode(F.when(F.col("part.crowded"), single).otherwise(F.array(F.struct("part.start", "part.windows")))).alias("at"))
+        .select("key", "at.start", "part", F.substring("body", (F.col("at.start") + 1).cast("int"), F.col("at.windows") + WINDOW - 1).alias("string"))
+        .select(F.when(F.col("part.crowded"), F.xxhash64("part.anchor", "string")).otherwise(F.col("part.anchor")).alias("anchor"), "key", "start", "string")
     )
-    dealt = parts.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "own", "start")
-    merged = dealt.mapInArrow(settle, "key long, own long, start long, windows int")
-    late = merged.groupBy("key", "own").agg(F.collect_list(F.struct("start", "windows")).alias("late"))
+    dealt = parts.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "start")
+    merged = dealt.mapInArrow(settle, "key long, start long, windows int")
+    late = merged.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("late"))
     early = F.transform(F.filter("all", lambda x: x["gone"]), lambda x: F.struct(x["start"].alias("start"), x["windows"].alias("windows")))
-    return of_doc.join(late, ["key", "own"], "left").select("key", "own", F.concat(early, F.coalesce("late", F.array())).alias("runs"))
+    return of_doc.join(late, "key", "left").select("key", F.concat(early, F.coalesce("late", F.array())).alias("runs"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``body`` (UTF-8 bytes), ``key``, a number that orders the documents, and ``hash`` if rows may be equal.
+
+    Where no doc_id comes twice (null counts as an id, as the last), it's the key itself. Otherwise rows
+    are ordered by doc_id and 128 bits of the text's hash and numbered in that order, through a sort of the ids and
+    hashes alone; rows equal in both are one document.
+    """
+    body = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    last = F.lit((1 << 63) - 1)
+    rows = docs.select(F.col("doc_id").cast("long"), body.alias("body")).withColumn("key", F.coalesce("doc_id", last))
+    if not rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return rows
+    named = rows.select("doc_id", "body", "key", F.col("doc_id").isNull().alias("none"), F.md5("body").alias("hash"))
+    names = named.select("key", "none", "hash").distinct().repartitionByRange(shuffle_width(docs.sparkSession), "key", "none", "hash")
+    numbered = cut_lineage(names.sortWithinPartitions("key", "none", "hash").withColumn("number", F.monotonically_increasing_id()))
+    return named.join(numbered, ["key", "none", "hash"]).select("doc_id", "body", F.col("number").alias("key"), "hash")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -340,20 +358,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n_spans`` (maximal removed runs), ``kept_sha256`` and, if asked for, ``spans`` (start and end bytes) and
     ``kept`` (bytes). Earlier means a smaller doc_id, or the same document and an earlier
     start; a null doc_id comes last. Rows that are equal in both columns are one document; rows that
-    share a doc_id only are ordered by a hash of the text. Null texts are empty. Other columns are
+    share a doc_id only (or have none) are ordered by the text's MD5. Null texts are empty. Other columns are
     ignored; an empty table gives no rows.
     """
-    body = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"),
-        F.expr(f"xxhash64(coalesce(cast(text as string), '')) & {(1 << TEXT_BITS) - 1}").alias("own"), body.alias("body"),
-    )
+    rows = keyed(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text, own = text.as_py(), own.as_py()
                 spans: list[list[int]] = []
                 for start, end in sorted((r["start"], r["start"] + r["windows"] + WINDOW - 1) for r in own or ()):
@@ -366,14 +380,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     kept.append(text[at:start])
                     at = end
                 left = b"".join([*kept, text[at:]])
-                row = (None if key == (1 << 63) - 1 else key, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+                row = (doc, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest())
                 out.append(row + ((spans, left) if with_text else ()))
             types = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.list_(pa.int64())), pa.binary()] * with_text
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             columns = zip(*out, strict=True) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names[: len(types)])
 
-    return rows.join(removed_windows(rows), ["key", "own"], "left").select("key", "body", "runs").mapInArrow(apply, schema)
+    documents = rows.select("key", "body") if "hash" not in rows.columns else rows.groupBy("key").agg(F.first("body").alias("body"))
+    return rows.join(removed_windows(documents), "key", "left").select("doc_id", "body", "runs").mapInArrow(apply, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,16 +130,16 @@ def _table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str], object], alike: Callable[[object, object], bool], radius: int = 64, ratio: float = 0.0, part_size: int | None = None) -> DataFrame:
     """``own`` and ``label`` (least own of the class) of every node that is linked to another.
 
-    ``nodes`` has one row for each ``own`` (long) with its band ``keys`` (array of long), ``size`` and ``mark`` (long); it's read
-    several times, so its lineage should be cut. ``bodies`` has ``own`` and ``body`` (string), rows may repeat. Nodes whose
+    ``nodes`` has ``own`` (long) with its band ``keys`` (array of long), ``size`` and ``mark`` (long); it's read
+    several times, so its lineage should be short. ``bodies`` has ``own`` and ``body``. Rows of both may repeat. Nodes whose
     sizes are further apart than ``ratio`` can't be alike. ``part_size`` bounds the sizes in one part of a crowded band.
     """
     width, part_size = shuffle_width(nodes.sparkSession), part_size or PART_SIZE
     banded = nodes.select(F.explode("keys").alias("key"), "own", "mark", "size")
     # at most one row a band, and only bands with two nodes
     leads = cut_lineage(
-        banded.groupBy("key").agg(F.min(F.struct("own", "mark", "size")).alias("lead"), F.count(F.lit(1)).alias("many"))
-        .where("many > 1").select("key", F.col("lead.own").alias("lead"), F.col("lead.mark").alias("lead_mark"), F.col("lead.size").alias("lead_size"), "many")
+        banded.groupBy("key").agg(F.min(F.struct("own", "mark", "size")).alias("lead"), F.max("own").alias("last"))
+        .where("lead.own < last").select("key", F.col("lead.own").alias("lead"), F.col("lead.mark").alias("lead_mark"), F.col("lead.size").alias("lead_size"), "last")
     )
     n_leads = leads.count()
     some = F.broadcast(leads) if n_leads <= BROADCAST_BANDS else leads
@@ -167,10 +167,14 @@ def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str],
     first = components(met.mapInArrow(compare, "a long, b long"))
     first = first.withColumnRenamed("node", "own")
 
-    # bands that are not one class yet; a band of two is settled
-    crowded = leads.where("many > 2").select("key")
-    crowded = F.broadcast(crowded) if n_leads <= BROADCAST_BANDS else crowded
-    held = banded.join(crowded, "key").join(first, "own", "left").withColumn("label", F.coalesce("label", "own"))
+    # bands of three nodes that are not one class yet; a band of two is settled
+    ends = F.broadcast(leads.select("key", "lead", "last")) if n_leads <= BROADCAST_BANDS else leads.select("key", "lead", "last")
+    crowded = banded.join(ends, "key").where("own <> lead AND own <> last").select("key").distinct()
+    n_crowded = crowded.count()
+    if not n_crowded:
+        return first
+    crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_BANDS else crowded
+    held = banded.join(crowded, "key").distinct().join(first, "own", "left").withColumn("label", F.coalesce("label", "own"))
     of_class = held.groupBy("key", "label").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("own")).alias("name"))
     of_band = of_class.groupBy("key").agg(
         F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("weight", "label")).alias("big"), F.max("weight").alias("big_weight"),

@@ -11,8 +11,8 @@ character.
 The fingerprint samples the written text (``SAMPLES`` places, the same for all
 texts) as hashes of the few characters there. The places for a text of length
 T are the first of a shared random order of all places below T: texts of
-nearly equal length share nearly all of them. Bands of sampled places link
-likely pairs, and the share of equal samples verifies them.
+nearly equal length share nearly all of them. Bands of sampled places find
+likely pairs, and the share of equal samples verifies them (``banding``).
 """
 
 from __future__ import annotations
@@ -27,19 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .banding import banded_classes
 from .common import cut_lineage, remembered, shuffle_width, table
-from .components import components
 
 PHASES = 256
 CLASSES = 128
 SAMPLES = 64
 GRAM = 4
 SEED = 20
+#: Sampled places are dealt into so many bands by a hash of their names, four a band on average, of which so many are used:
+#: two texts with a share of 0.8 of equal samples share a band in 99 % of cases by calculation.
 BANDS = 16
+BANDS_USED = 10
 #: Share of equal samples from which two documents are near (see ``near_groups``).
 LIKENESS = 0.8
-#: A band of more fingerprints is verified part by part.
-BLOCK = 1024
 
 
 def make_walk() -> tuple[list[list[int]], np.ndarray]:
@@ -106,6 +107,17 @@ def fingerprint(text: str) -> str:
     return f"{total:x}." + (mixed >> np.uint64(48)).astype(">u2").tobytes().hex()
 
 
+def packed(mark: str) -> bytes:
+    """A fingerprint in half the bytes."""
+    length, samples = mark.split(".")
+    return int(length, 16).to_bytes(8) + bytes.fromhex(samples)
+
+
+def unpacked(data: bytes) -> str:
+    """The fingerprint that was packed."""
+    return f"{int.from_bytes(data[:8]):x}.{data[8:].hex()}"
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal samples of two fingerprints among the places that either has (0 to 1)."""
     if a == b:
@@ -124,11 +136,12 @@ def likeness(a: str, b: str) -> float:
     return same / (len(own) + len(other) - int(both.sum()))
 
 
-def bands(mark: str, number: int = BANDS, least: int = 3) -> list[str]:
+def bands(mark: str, number: int = BANDS, used: int = BANDS_USED, least: int = 3) -> list[str]:
     """Band keys of a fingerprint: the samples of the places that a hash of their names puts together.
 
     A place that only one of two texts has spoils its own band alone. Bands of fewer than
-    ``least`` samples tell too little and aren't used.
+    ``least`` samples tell too little; of the others the first ``used`` are taken. Texts of so few characters that
+    no band has enough are one band whole.
     """
     length, samples = mark.split(".")
     if not samples:
@@ -136,7 +149,7 @@ def bands(mark: str, number: int = BANDS, least: int = 3) -> list[str]:
     groups: dict[int, list[str]] = {}
     for i, name in enumerate(places(int(length, 16))[1].tolist()):
         groups.setdefault(name * 2654435761 % (1 << 32) * number >> 32, []).append(f"{name}={samples[4 * i : 4 * i + 4]}")
-    return [f"{g}:{','.join(own)}" for g, own in groups.items() if len(own) >= least]
+    return [f"{g}:{','.join(own)}" for g, own in sorted(groups.items()) if len(own) >= least][:used] or [mark]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -150,68 +163,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fingerprint string")
 
 
-def near_groups(docs: DataFrame, least: float = LIKENESS, number: int = BANDS, block: int = BLOCK) -> DataFrame:
-    """Group documents linked by fingerprints that share a band and are at least ``least`` alike.
+def name_of(mark: str) -> int:
+    """A signed 64-bit hash that tells fingerprints apart."""
+    return xxhash.xxh64_intdigest(mark) - (1 << 63)
 
-    One row for each row of ``docs``: ``doc_id``, ``fingerprint`` and
-    ``component_id``, the smallest doc_id of its group. Equal texts, empty and
-    null ones among them, have equal fingerprints, which stand for all their
-    documents. Every pair of different fingerprints in a band is verified. A band of more
-    than ``block`` fingerprints is dealt into parts of about that many; each two parts meet in a task's
-    cell of their own, so no task holds more than two parts. A cell hands on links
-    to one member of each local group, not all pairs.
-    """
-    found = cut_lineage(fingerprints(docs))
-    marks = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def near_rows(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``doc_id``, ``own`` (``name_of`` its fingerprint) and ``component_id`` of every row, as ``near_groups`` says."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [fingerprint(t.as_py() or "") for t in batch.column(1)]
+            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), mark) for mark in batch.column(0).to_pylist() for key in bands(mark, number)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.string())], names=["band", "fingerprint"])
+            keys = [[name_of(k) for k in bands(unpacked(b.as_py()))] for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["own", "keys"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, members, root = None, [], []
+    found = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary"))
+    nodes = found.select("own", "body").mapInArrow(keyed, "own long, keys array<long>").select("own", "keys", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mark"))
+    label = banded_classes(nodes, found.select("own", "body"), unpacked, lambda a, b: likeness(a, b) >= least)
+    marks = found.groupBy("own").agg(F.min("doc_id").alias("first_id")).join(label, "own", "left").withColumn("label", F.coalesce("label", "own"))
+    least_id = marks.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return found.select("doc_id", "own").join(marks.join(least_id, "label").select("own", "component_id"), "own").select("doc_id", "own", "component_id")
 
-        def top(i: int) -> int:
-            while root[i] != i:
-                i = root[i] = root[root[i]]
-            return i
 
-        for batch in batches:
-            links = []
-            for *key, part, mark in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if key != cell:
-                    cell, members, root = key, [], []
-                root.append(new := len(members))
-                alone = key[1] == key[2]
-                for i, (other_part, other) in enumerate(members):
-                    if (alone or part != other_part) and top(i) != top(new) and likeness(mark, other) >= least:
-                        root[top(new)] = top(i)
-                        links.append((mark, other))
-                members.append((part, mark))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())], names=["a", "b"])
-
-    banded_marks = cut_lineage(marks.select("fingerprint").mapInArrow(banded, "band long, fingerprint string"))
-    crowded = banded_marks.groupBy("band").count().where(F.col("count") > block)
-    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("low"), F.greatest("part", other).alias("high")))
-    dealt = (
-        banded_marks.join(crowded, "band", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int"))
-        .select("band", F.explode(met).alias("cell"), "part", "fingerprint").select("band", "cell.low", "cell.high", "part", "fingerprint")
-        .repartition(shuffle_width(docs.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "part", "fingerprint")
-    )
-    label = components(dealt.mapInArrow(verify, "a string, b string")).withColumnRenamed("node", "fingerprint")
-    labelled = marks.join(label, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
-    least_id = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return found.join(labelled.join(least_id, "label").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def followed(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """Group documents linked by fingerprints that share a band and are at least ``least`` alike.
+
+    One row for each row of ``docs``: ``doc_id`` and
+    ``component_id``, the smallest non-null doc_id of its group (null only if there is none). Equal texts, empty and
+    null ones among them, have equal fingerprints (told by 64 bits of hash), which stand for all their
+    documents. Links are found and verified by ``banding.banded_classes``: no pair of all members of a band is formed
+    but where it is needed, and none that shares a band is lost. Other columns are ignored; an empty table gives no rows.
+    """
+    return near_rows(docs, least).select("doc_id", "component_id")
+
+
+def followed(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Deal the rows so that each partition has successive documents, by descending doc_id.
 
-    Returns ``bucket, role, doc_id, text`` with rows sorted by bucket, role,
+    Returns ``bucket, role, doc_id, text, own, component_id`` with rows sorted by bucket, role,
     descending id and text: role 0 rows are the documents; the first role 1 row
-    of a bucket is the document after its last one (after the very last: the first).
+    of a bucket is the document after its last one (after the very last: the first). Rows of ``classes``
+    (``doc_id, own, component_id``) have a null text and stand before the documents of their id.
     Bounds are ids of the table, so the row that a bucket needs from its neighbour is
     known by its id and sent to both. A null id comes last; null text is empty.
     """
@@ -238,44 +235,57 @@ def followed(docs: DataFrame) -> DataFrame:
             out.append(to)
         return pd.Series(out)
 
-    dealt = rows.withColumn("to", targets(key)).select(F.explode("to").alias("to"), "doc_id", "text")
-    dealt = dealt.select((F.col("to") / 2).cast("int").alias("bucket"), (F.col("to") % 2).alias("role"), "doc_id", "text")
-    return dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), "text")
+    none = F.lit(None).cast("long")
+    dealt = rows.withColumn("to", targets(key)).select(F.explode("to").alias("to"), "doc_id", "text", none.alias("own"), none.alias("component_id"))
+    if classes is not None:
+        own = classes.withColumn("to", targets(key)[0])
+        dealt = dealt.unionByName(own.select("to", "doc_id", F.lit(None).cast("string").alias("text"), "own", "component_id"))
+    dealt = dealt.select((F.col("to") / 2).cast("int").alias("bucket"), (F.col("to") % 2).alias("role"), "doc_id", "text", "own", "component_id")
+    return dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
-def compare_edited(docs: DataFrame) -> DataFrame:
+def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """Fingerprints of every text and of its edited form, and their likeness.
 
     The edited text has its last third replaced by the first characters of the
     next document by descending doc_id. Returns ``doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one
-    row for each row of ``docs``. Null texts are empty; rows that repeat an id
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id``, one
+    row for each row of ``docs``. The last is the group of near documents by bands and verification
+    (``near_groups``); it comes to the documents through the one shuffle of their texts. Null texts are empty; rows that repeat an id
     follow one another by text; a null id comes last. Other columns are ignored;
     an empty table gives no rows.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # bucket, doc_id, text, fingerprint of the row that awaits its next
+        before = None  # doc_id, text, fingerprint and component of the row that awaits its next
+        of_id, named = None, {}  # components by fingerprint of the rows of one doc_id that aren't their doc_id
         for batch in batches:
             rows = []
-            for bucket, role, doc, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                bucket, role, doc, text = bucket.as_py(), role.as_py(), doc.as_py(), text.as_py()
+            for bucket, role, doc, text, name, component in zip(*(batch.column(i) for i in range(6)), strict=True):
+                bucket, role, doc, text, name = bucket.as_py(), role.as_py(), doc.as_py(), text.as_py(), name.as_py()
+                if text is None:
+                    if (bucket, doc) != of_id:
+                        of_id, named = (bucket, doc), {}
+                    named[name] = component.as_py()
+                    continue
                 if before is None and role:
                     continue
                 mark = fingerprint(text)
                 if before is not None:
-                    _, own_id, own, own_mark = before
+                    own_id, own, own_mark, own_component = before
                     third = len(own) // 3
                     edited = own[: len(own) - third] + text[:third]
                     edited_mark = fingerprint(edited)
-                    rows.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
-                before = None if role else (bucket, doc, text, mark)
-            columns = zip(*rows, strict=True) if rows else [[] for _ in range(7)]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return followed(docs).mapInArrow(each, schema)
+                    rows.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark), own_component))
+                component = named.get(name_of(mark), doc) if (bucket, doc) == of_id else doc
+                before = None if role else (doc, text, mark, component)
+            columns = zip(*rows, strict=True) if rows else [[] for _ in range(8)]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
+
+    classes = near_rows(docs, least).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).distinct()
+    return followed(docs, classes).mapInArrow(each, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shuffle_width
+from .common import cut_lineage, gathered, shuffle_width
 from .components import components
 
 #: Bands are joined by a broadcast if so few of them have two nodes (24 bytes each), by a shuffle otherwise.
@@ -145,7 +145,12 @@ def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str],
     some = F.broadcast(leads) if n_leads <= BROADCAST_BANDS else leads
     near = (F.bit_count(F.col("mark").bitwiseXOR(F.col("lead_mark"))) <= radius) & (F.least("size", "lead_size") >= ratio * F.greatest("size", "lead_size") - 1e-6)
     pairs = cut_lineage(banded.join(some, "key").where(F.col("own") != F.col("lead")).where(near).select(F.col("own").alias("a"), F.col("lead").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs.select(F.col("a").alias("own"), F.col("b").alias("label"))
+    pairs = gathered(pairs, n_pairs)
+    wanted = gathered(pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct(), 2 * n_pairs)
+    wanted = F.broadcast(wanted) if 2 * n_pairs <= BROADCAST_BANDS else wanted
     texts = bodies.join(wanted, "own", "left_semi").groupBy("own").agg(F.first("body").alias("body"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +169,7 @@ def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str],
         pairs.join(texts.withColumnsRenamed({"own": "a", "body": "own_body"}), "a")
         .join(texts.withColumnsRenamed({"own": "b", "body": "lead_body"}), "b").select("a", "b", "own_body", "lead_body")
     )
-    first = components(met.mapInArrow(compare, "a long, b long"))
-    first = first.withColumnRenamed("node", "own")
+    first = cut_lineage(gathered(components(met.mapInArrow(compare, "a long, b long")).withColumnRenamed("node", "own"), 2 * n_pairs))
 
     # bands of three nodes that are not one class yet; a band of two is settled
     ends = F.broadcast(leads.select("key", "lead", "last")) if n_leads <= BROADCAST_BANDS else leads.select("key", "lead", "last")
@@ -175,6 +179,7 @@ def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str],
         return first
     crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_BANDS else crowded
     held = banded.join(crowded, "key").distinct().join(first, "own", "left").withColumn("label", F.coalesce("label", "own"))
+    held = cut_lineage(held)
     of_class = held.groupBy("key", "label").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("own")).alias("name"))
     of_band = of_class.groupBy("key").agg(
         F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("weight", "label")).alias("big"), F.max("weight").alias("big_weight"),
@@ -199,7 +204,9 @@ def banded_classes(nodes: DataFrame, bodies: DataFrame, prepare: Callable[[str],
         held.join(parts, "key").withColumns({"part": part, "last": last}).select("key", F.explode(meets).alias("cell"), "part", "label", "own", "mark")
         .select("key", "cell.low", "cell.high", "part", "label", "own", "mark")
     )
-    wanted = held.join(parts.select("key"), "key").select("own").distinct()
+    wanted = cut_lineage(held.join(parts.select("key"), "key").select("own").distinct())
+    n_wanted = wanted.count()
+    wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_BANDS else wanted
     texts = bodies.join(wanted, "own", "left_semi").groupBy("own").agg(F.first("body").alias("body"))
     cells = dealt.join(texts, "own").select("key", "low", "high", "part", "label", "own", "mark", "body")
     cells = cells.repartition(width, "key", "low", "high").sortWithinPartitions("key", "low", "high", "own")

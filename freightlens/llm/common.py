@@ -37,6 +37,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """The frame in partitions of about ``each`` of its counted ``rows``, if these are fewer than it has."""
+    return df.coalesce(max(1, -(-rows // each))) if rows < each * shuffle_width(df.sparkSession) else df
+
+
 def id_crc32(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of a document id written as decimal text (null for a null id)."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -2,7 +2,8 @@
 
 Every round is a grouping and a join over the edges, so neither an edge list
 nor a component is ever gathered in one task or on the driver. The rounds
-needed grow with the logarithm of the longest chain.
+needed grow with the logarithm of the longest chain. The edges are counted each round; few
+edges are kept in few partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, gathered
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -33,18 +34,18 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = _signature(e)
     while before[0]:
+        n = before[0]
+        e = gathered(e, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
+        large = gathered(
             both.join(least, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), 2 * n,
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m"))
-        e = cut_lineage(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        )
+        stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = cut_lineage(gathered(gathered(stars, 2 * n).distinct(), 2 * n))
         after = _signature(e)
         if after == before:
             break

@@ -136,31 +136,25 @@ def likeness(a: str, b: str) -> float:
     return same / (len(own) + len(other) - int(both.sum()))
 
 
-def bands(mark: str, number: int = BANDS, used: int = BANDS_USED, least: int = 3) -> list[str]:
-    """Band keys of a fingerprint: the samples of the places that a hash of their names puts together.
+def bands(mark: str, number: int = BANDS, used: int = BANDS_USED, least: int = 3) -> list[int]:
+    """Signed band keys of a fingerprint: hashes of the samples of the places that a hash of their names puts together.
 
     A place that only one of two texts has spoils its own band alone. Bands of fewer than
     ``least`` samples tell too little; of the others the first ``used`` are taken. Texts of so few characters that
     no band has enough are one band whole.
     """
     length, samples = mark.split(".")
-    if not samples:
-        return ["empty"]
-    groups: dict[int, list[str]] = {}
-    for i, name in enumerate(places(int(length, 16))[1].tolist()):
-        groups.setdefault(name * 2654435761 % (1 << 32) * number >> 32, []).append(f"{name}={samples[4 * i : 4 * i + 4]}")
-    return [f"{g}:{','.join(own)}" for g, own in sorted(groups.items()) if len(own) >= least][:used] or [mark]
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` of every row; null texts count as empty."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [fingerprint(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fingerprint string")
+    if samples:
+        names = places(int(length, 16))[1]
+        group = (names.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) * np.uint64(number)) >> np.uint64(32)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]).tolist()
+        both = np.stack([names[order], np.frombuffer(bytes.fromhex(samples), ">u2")[order]], axis=1).astype("<u4").tobytes()
+        kept = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b - a >= least][:used]
+        if kept:
+            return [xxhash.xxh64_intdigest(both[8 * a : 8 * b], int(group[a])) - (1 << 63) for a, b in kept]
+    return [name_of(mark)]
 
 
 def name_of(mark: str) -> int:
@@ -174,16 +168,11 @@ def near_rows(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [[name_of(k) for k in bands(unpacked(b.as_py()))] for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["own", "keys"])
+            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body", "keys"])
 
-    found = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary"))
-    nodes = found.select("own", "body").mapInArrow(keyed, "own long, keys array<long>").select("own", "keys", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mark"))
+    found = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary, keys array<long>"))
+    nodes = found.select("own", "keys", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mark"))
     label = banded_classes(nodes, found.select("own", "body"), unpacked, lambda a, b: likeness(a, b) >= least)
     marks = found.groupBy("own").agg(F.min("doc_id").alias("first_id")).join(label, "own", "left").withColumn("label", F.coalesce("label", "own"))
     least_id = marks.groupBy("label").agg(F.min("first_id").alias("component_id"))

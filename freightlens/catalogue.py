@@ -241,7 +241,7 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
     "left_semi_keys": A.roads_with_incidents, "left_anti_orphans": A.roads_without_incidents, "growth": A.growth, "quality_checks": A.quality_checks,
     "constraint_checks": A.constraint_checks, "load_index": M.load_index, "index_summary": M.index_summary, "regression": lambda m: M.monthly_regression(m).select("n", F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("r2", 6).alias("r2")), "forecast": M.forecast,
     "forecast_quality": M.forecast_quality, "scenario": M.scenario, "scenario_summary": M.scenario_summary, "compare": lambda m: M.compare(m, [3, 12, 3, 99, 7]),
-    "typology": M.typology, "kmeans_assign": M.embedding_clusters, "export_summary": K.export_summary, "chart_series": K.chart_series, "facility_layer": K.facility_layer,
+    "typology": M.typology, "typology_clusters": M.typology_clusters, "kmeans_assign": M.embedding_clusters, "export_summary": K.export_summary, "chart_series": K.chart_series, "facility_layer": K.facility_layer,
     "api_districts": lambda m: ask(m, "districts"), "api_objects": lambda m: ask(m, "objects", q="street 1", page="2", page_size="20"),
     "api_nearby": lambda m: ask(m, "objects/nearby", lon="37.6", lat="55.7", radius="99", limit="30"), "api_roads": lambda m: ask(m, "roads", **{"class": "arterial"}),
     "api_incidents": lambda m: ask(m, "incidents", state="open", severity="3", cargo="1"), "api_routes": lambda m: ask(m, "routes", type="transit", page_size="9999"),

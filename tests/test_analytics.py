@@ -1,5 +1,9 @@
 """Scaling, regression, clustering, loader, sinks and streams."""
 
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,12 +42,46 @@ def test_regression(spark, ys, slope, intercept, r2):
     assert (row.slope, row.intercept, row.r2) == pytest.approx((slope, intercept, r2))
 
 
-def test_k_means():
-    points = [[0, 0], [0, 1], [1, 0], [10, 10], [10, 11], [11, 10]]
-    labels, centres, inertia = M.k_means(points, 2)
-    assert len(set(labels[:3])) == len(set(labels[3:])) == 1 and labels[0] != labels[3]
-    assert inertia == pytest.approx(sum(sum((a - b) ** 2 for a, b in zip(p, centres[c])) for p, c in zip(points, labels)))
-    assert len(M.k_means(points[:2], 5)[1]) == 2 and M.k_means([], 3) == ([], [], 0.0)
+def plain_clusters(rows, k):
+    """Labels and spread with numpy: the same draws, distances as one matrix."""
+    x, draw = np.array(rows, float), random.Random(42)
+    picked = [draw.randrange(len(x))]
+    while len(picked) < k:
+        near = ((x[:, None] - x[picked][None]) ** 2).sum(2).min(1)
+        total = near.sum()
+        picked.append(draw.randrange(len(x)) if total <= 0 else int(np.searchsorted(near.cumsum(), draw.random() * total)))
+    centres, labels = x[picked].copy(), np.zeros(len(x), int)
+    for _ in range(100):
+        new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        same, labels = (new == labels).all(), new
+        for j in set(labels):
+            centres[j] = x[labels == j].mean(0)
+        if same:
+            break
+    return labels.tolist(), ((x - centres[labels]) ** 2).sum()
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_k_means(spark, k):
+    r = random.Random(3)
+    for points in ([[0, 0], [0, 1], [1, 0], [10, 10], [10, 11], [11, 10]], [[r.gauss(0, 3), r.gauss(0, 1)] for _ in range(40)]):
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "place int, x double, y double").persist()
+        found, centres, spread = M.k_means(df, ["x", "y"], k)
+        labels, want = plain_clusters(points, k)
+        assert [x.cluster for x in found.orderBy("place").collect()] == labels and spread == pytest.approx(want) and len(centres) == k
+
+
+def test_k_means_of_few_rows(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 1.0)], "place int, x double")
+    assert len(M.k_means(df, ["x"], 5)[1]) == 2 and M.k_means(df.limit(0), ["x"], 3)[1:] == ([], 0.0)
+
+
+def test_typology_reports_its_clusters(spark, sf_dir):
+    m = Freight(spark, sf_dir)
+    rows, clusters = M.typology(m, 3).collect(), M.typology_clusters(m, 3).orderBy("cluster").collect()
+    assert {c.cluster: c.districts for c in clusters} == dict(Counter(r.cluster for r in rows)) and {c.k for c in clusters} == {3}
+    heavy = [c.capacity_z + c.flow_z + c.congestion_z + c.incidents_z for c in clusters]
+    assert heavy == sorted(heavy) and len({c.inertia for c in clusters}) == 1
 
 
 def test_index_is_a_permutation(spark, sf_dir):

@@ -1,109 +1,156 @@
-"""Loader of SQL scripts with one INSERT of one row a line, and its journal.
+"""Loader of SQL scripts with one INSERT of one or more rows a line, and its journal.
 
 The script is read as text lines by Spark; a line is split and its values are
-turned into typed columns by table. Bad lines are counted and kept apart, never fatal.
+turned into typed columns by table. Bad rows are counted and kept apart, never fatal.
 """
 
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from freightlens.sources.model import SCHEMAS
 
 ORDER = tuple(SCHEMAS)
-INSERT = r"(?i)^\s*INSERT\s+INTO\s+(\w+)\s*\(([^)]*)\)\s*VALUES\s*\((.*)\)\s*;\s*$"
+# The statement's head: a name, quoted or not, that may have a schema before it; a list of columns; then rows of values.
+_NAME = r'(?:"[^"]+"|[A-Za-z_]\w*)'
+HEAD = rf"(?i)^\s*insert\s+into\s+(?:{_NAME}\s*\.\s*)?({_NAME})\s*\(([^()]*)\)\s*values\s*(\(.*)$"
 LOCAL_ZONE = "Europe/Moscow"
 DEFAULTS = {"string": "", "int": 0, "boolean": False}
-_MAKE_POINT = re.compile(r"(?is)^(?:ST_SetSRID\s*\(\s*)?ST_MakePoint\s*\(\s*([-+.\deE]+)\s*,\s*([-+.\deE]+)\s*\)(?:\s*,\s*\d+\s*\))?$")
-_FROM_TEXT = re.compile(r"(?is)^ST_GeomFromText\s*\(\s*'([^']*)'\s*(?:,\s*\d+\s*)?\)$")
+_TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
+_NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+_CALL = re.compile(r"(\w+)\s*\((.*)\)", re.S)
+#: A time of day with an offset from UTC.
+OFFSET = r"\d\d:\d\d(:\d\d(\.\d+)?)?\s*(Z|[+-]\d\d(:?\d\d)?)$"
+
+
+def value_rows(text: str) -> list[list[str]]:
+    """Rows of raw values in "(a, b), (c, d);"; commas in quotes (a doubled quote is a quote) and inner parentheses don't part."""
+    rows, depth, own, piece = [], 0, [], []
+    for token in _TOKEN.findall(text):
+        depth += (token == "(") - (token == ")")
+        if token == "(" and depth == 1:
+            own, piece = [], []
+        elif (token == "," and depth == 1) or (token == ")" and depth == 0):
+            own.append("".join(piece).strip())
+            piece = []
+            if token == ")":
+                rows.append(own)
+        elif depth:
+            piece.append(token)
+    if depth:
+        raise ValueError("unbalanced parentheses")
+    return rows
 
 
 def split_values(text: str) -> list[str]:
-    """Top-level values of a list; commas inside quotes (a doubled quote is a quote) and parentheses don't part."""
-    out, depth, quoted, begin = [], 0, False, 0
-    for i, c in enumerate(text):
-        if c == "'":
-            quoted = not quoted
-        elif not quoted:
-            if c == "(":
-                depth += 1
-            elif c == ")":
-                depth -= 1
-            elif c == "," and depth == 0:
-                out.append(text[begin:i].strip())
-                begin = i + 1
-    last = text[begin:].strip()
-    return [*out, last] if last or out else []
+    """Top-level values of one row."""
+    return value_rows(f"({text})")[0] if text.strip() else []
+
+
+def _geometry(raw: str) -> str:
+    """WKT of a geometry constructor, with its reference system in front if that isn't the usual one."""
+    call = _CALL.fullmatch(raw)
+    name, args = (call[1].lower(), split_values(call[2])) if call else ("", [])
+    system, body = "4326", None
+    if name == "st_setsrid" and len(args) == 2:
+        system, body = args[1], _geometry(args[0]).rpartition(";")[2]
+    elif name == "st_makepoint" and len(args) == 2 and all(map(_NUMBER.fullmatch, args)):
+        body = f"POINT ({args[0]} {args[1]})"
+    elif name == "st_geomfromtext" and len(args) in (1, 2) and len(args[0]) > 1 and args[0][0] == args[0][-1] == "'":
+        system, body = (*args[1:], "4326")[0], args[0][1:-1]
+    if body is None or not system.isdigit():
+        raise ValueError(f"unknown value {raw[:60]}")
+    return body if system == "4326" else f"SRID={system};{body}"
 
 
 def plain_value(raw: str) -> str | None:
     """The value as text, null for NULL; geometry constructors become WKT; anything else unknown is an error."""
     raw = raw.strip()
-    if raw.upper() == "NULL":
-        return None
-    if raw.upper() in ("TRUE", "FALSE"):
-        return raw.lower()
+    word = raw.upper()
+    if word in ("NULL", "TRUE", "FALSE"):
+        return None if word == "NULL" else word.lower()
     if len(raw) > 1 and raw[0] == raw[-1] == "'":
         return raw[1:-1].replace("''", "'")
-    if re.fullmatch(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?", raw):
-        return raw
-    if m := _MAKE_POINT.match(raw):
-        return f"POINT ({m[1]} {m[2]})"
-    if m := _FROM_TEXT.match(raw):
-        return m[1]
-    raise ValueError(f"unknown value {raw[:60]}")
-
-
-def parse_row(columns: str, values: str) -> tuple[dict | None, str | None]:
-    """Fields by column, or what is wrong with the line."""
-    names, raw = [c.strip() for c in columns.split(",")], split_values(values)
-    if len(names) != len(raw):
-        return None, f"{len(names)} columns, {len(raw)} values"
+    return raw if _NUMBER.fullmatch(raw) else _geometry(raw)
+
+
+def parse_rows(columns: str, values: str) -> list[tuple[dict | None, str | None]]:
+    """For each row its fields by column, or what is wrong with it."""
+    names = [c.strip().strip('"').lower() for c in columns.split(",")]
     try:
-        return dict(zip(names, map(plain_value, raw), strict=True)), None
+        rows = value_rows(values)
     except ValueError as e:
-        return None, str(e)
+        return [(None, str(e))]
+    out = []
+    for raw in rows:
+        try:
+            if len(names) != len(raw):
+                raise ValueError(f"{len(names)} columns, {len(raw)} values")
+            out.append((dict(zip(names, map(plain_value, raw), strict=True)), None))
+        except ValueError as e:
+            out.append((None, str(e)))
+    return out
+
+
+def _typed(field: T.StructField) -> Column:
+    """A field's value in its declared type; null if it doesn't fit."""
+    raw, kind = F.try_element_at("fields", F.lit(field.name)), field.dataType.simpleString()
+    if kind != "timestamp":
+        return raw.try_cast(kind)
+    # a time with an offset is an instant; a naive one is local
+    return F.when(raw.rlike(OFFSET), raw.try_cast("timestamp")).otherwise(F.to_utc_timestamp(raw.try_cast("timestamp_ntz").cast("timestamp"), LOCAL_ZONE))
 
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
-    """Every INSERT line: ``line`` number, ``table``, ``fields`` and ``error``."""
-    parse = F.udf(parse_row, "struct<fields:map<string,string>,error:string>")
+    """Every row of the INSERT lines: ``line`` (grows through the file), ``nth`` in the line, ``table``, ``fields`` and ``error``.
+
+    A value that doesn't fit its column's type is an error of its row.
+    """
+    parsed = "array<struct<fields:map<string,string>,error:string>>"
+
+    @F.pandas_udf(parsed)
+    def parse(columns: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([[{"fields": f, "error": e} for f, e in parse_rows(c, v)] for c, v in zip(columns, values, strict=True)])
+
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    found = text.where(F.col("value").rlike(INSERT)).select(
-        "line", F.lower(F.regexp_extract("value", INSERT, 1)).alias("table"), parse(F.regexp_extract("value", INSERT, 2), F.regexp_extract("value", INSERT, 3)).alias("row")
-    )
-    return found.select("line", "table", "row.fields", "row.error")
+    part = lambda i: F.regexp_extract("value", HEAD, i)
+    found = text.where(F.col("value").rlike(HEAD)).select("line", F.lower(F.replace(part(1), F.lit('"'), F.lit(""))).alias("table"), F.posexplode(parse(part(2), part(3))).alias("nth", "row"))
+    rows = found.select("line", "nth", "table", "row.fields", "row.error")
+    misfit = F.lit(None).cast("string")
+    for table, ddl in SCHEMAS.items():
+        wrong = F.concat_ws(", ", *[F.when(F.try_element_at("fields", F.lit(f.name)).isNotNull() & _typed(f).isNull(), f.name) for f in T.StructType.fromDDL(ddl).fields])
+        misfit = F.when((F.col("table") == table) & (wrong != ""), F.concat(F.lit("misfit in "), wrong)).otherwise(misfit)
+    return rows.withColumn("error", F.coalesce("error", misfit))
 
 
 def typed_table(rows: DataFrame, table: str, required: tuple[str, ...] = ("name", "code")) -> DataFrame:
-    """Rows of one table with its declared types. Unknown columns are dropped, required ones get a default for null.
+    """Good rows of one table with its declared types. Unknown columns are dropped, required ones get a default for null.
 
-    Naive timestamps are local time and become UTC; a value that doesn't fit its type is null. Ids count from 1 in
-    the order of lines where the script gives none.
+    Naive timestamps are local time and become UTC. Where the script gives no id, rows are numbered from 1 in
+    its order: inside each partition of lines, shifted by the rows of the partitions before.
     """
     schema = T.StructType.fromDDL(SCHEMAS[table])
     out = rows.where((F.col("table") == table) & F.col("error").isNull())
     columns = []
     for field in schema.fields:
-        raw = F.try_element_at("fields", F.lit(field.name))
-        kind = field.dataType.simpleString()
-        value = F.to_utc_timestamp(raw.try_cast("timestamp"), LOCAL_ZONE) if kind == "timestamp" else raw.try_cast(kind)
-        if field.name in required and kind in DEFAULTS:
-            value = F.coalesce(value, F.lit(DEFAULTS[kind]))
-        columns.append(value.alias(field.name))
-    from pyspark.sql.window import Window
-
-    numbered = out.select("line", *columns)
-    place = F.row_number().over(Window.orderBy("line"))
-    return numbered.withColumn("id", F.coalesce("id", place)).select(*schema.names)
+        value, kind = _typed(field), field.dataType.simpleString()
+        columns.append((F.coalesce(value, F.lit(DEFAULTS[kind])) if field.name in required and kind in DEFAULTS else value).alias(field.name))
+    numbered = out.select("line", "nth", F.shiftright("line", 33).alias("part"), *columns)
+    counts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition of the file
+    shifts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    place = F.col("shift") + F.row_number().over(Window.partitionBy("part").orderBy("line", "nth"))
+    return numbered.join(F.broadcast(shifts), "part").withColumn("id", F.coalesce("id", place.cast("int"))).select(*schema.names)
 
 
 def journal(rows: DataFrame) -> DataFrame:
-    """Loaded and rejected lines of each table, and the load's status."""
+    """Loaded and rejected rows of each table, and the load's status."""
     by = rows.groupBy("table").agg(F.count_if(F.col("error").isNull()).alias("records_loaded"), F.count_if(F.col("error").isNotNull()).alias("records_errors"))
     return by.withColumn("status", F.when(F.col("records_errors") == 0, "success").otherwise("partial"))
 
@@ -114,14 +161,27 @@ def first_errors(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, out_dir: str) -> DataFrame:
-    """Write every table of the script as Parquet, replacing what is there; returns the journal."""
+    """Write every table of the script as Parquet, replacing what is there; returns the journal.
+
+    The load itself becomes one more row of ``etl_log``. Results that were cached before the load are dropped.
+    """
+    out_dir, started = out_dir.rstrip("/"), datetime.now(UTC).replace(tzinfo=None)
     rows = read_script(spark, path).persist()
     try:
+        found = journal(rows).collect()  # a row a table
         for table in ORDER:
-            typed_table(rows, table).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{table}.parquet")
-        return spark.createDataFrame(journal(rows).collect(), "table string, records_loaded long, records_errors long, status string")
+            typed_table(rows, table).write.mode("overwrite").parquet(f"{out_dir}/{table}.parquet")
     finally:
         rows.unpersist()
+    log, errors = f"{out_dir}/etl_log.parquet", sum(r["records_errors"] for r in found)
+    last = spark.read.parquet(log).agg(F.max("id")).first()[0] or 0
+    own = (last + 1, started, datetime.now(UTC).replace(tzinfo=None), None, f"seed:{path.rsplit('/', 1)[-1]}", sum(r["records_loaded"] for r in found), errors, "partial" if errors else "success", None)
+    names = T.StructType.fromDDL(SCHEMAS["etl_log"]).names
+    text = [None if x is None else str(x) for x in own]
+    row = spark.createDataFrame([text], ", ".join(f"{n} string" for n in names))
+    row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SCHEMAS["etl_log"]).fields]).write.mode("append").parquet(log)
+    spark.catalog.clearCache()
+    return spark.createDataFrame(found, "table string, records_loaded long, records_errors long, status string")
 
 
 def fill_centres(districts: DataFrame, centres: DataFrame, force: bool = False) -> DataFrame:

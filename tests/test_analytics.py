@@ -130,6 +130,8 @@ def test_seed_script(spark, tmp_path):
     (tmp_path / "seed.sql").write_text(SCRIPT)
     journal = {r.table: r for r in S.load(spark, str(tmp_path / "seed.sql"), str(tmp_path / "out")).collect()}
     assert (journal["districts"].records_loaded, journal["districts"].records_errors, journal["districts"].status) == (2, 2, "partial")
+    log = spark.read.parquet(str(tmp_path / "out/etl_log.parquet")).collect()
+    assert [(r.id, r.target_table, r.records_loaded, r.records_errors, r.status) for r in log] == [(1, "seed:seed.sql", 3, 2, "partial")]
     assert journal["traffic_conditions"].status == "success"
     rows = spark.read.parquet(str(tmp_path / "out/districts.parquet")).orderBy("id").collect()
     assert [(r.id, r.name, r.short_name, r.center) for r in rows] == [(1, "O'Neil, north", "N", "POINT (37.6 55.7)"), (2, "", "S", None)]
@@ -139,6 +141,24 @@ def test_seed_script(spark, tmp_path):
     assert len(rejected) == 2
 
 
+MORE = """insert into public."road_segments" ("name", geom) values ('a', ST_SetSRID(ST_GeomFromText('LINESTRING(37.6 55.7, 37.7 55.8)'), 4326)), ('b', ST_GeomFromText('POINT(1 2)', 3857)), ('c; (d)', NULL);
+INSERT INTO traffic_incidents (reported_at, severity, road_id) VALUES ('2025-01-01 12:00:00+00', 2, 1), ('2025-01-01T12:00:00Z', 3, 1), ('2025-01-01 12:00', 4, 1), ('soon', 5, 1), ('2025-01-01 12:00:00', 'high', 1);
+INSERT INTO data_sources (name, is_active) VALUES ('x', TRUE
+"""
+
+
+def test_seed_script_forms(spark, tmp_path):
+    (tmp_path / "more.sql").write_text(MORE)
+    found = {r.table: (r.records_loaded, r.records_errors) for r in S.load(spark, str(tmp_path / "more.sql"), str(tmp_path / "out")).collect()}
+    assert found == {"road_segments": (3, 0), "traffic_incidents": (3, 2), "data_sources": (0, 1)}
+    roads = spark.read.parquet(str(tmp_path / "out/road_segments.parquet")).orderBy("id").collect()
+    assert [(r.id, r.name, r.geom) for r in roads] == [(1, "a", "LINESTRING(37.6 55.7, 37.7 55.8)"), (2, "b", "SRID=3857;POINT(1 2)"), (3, "c; (d)", None)]
+    at = spark.read.parquet(str(tmp_path / "out/traffic_incidents.parquet")).orderBy("id").collect()
+    assert [str(r.reported_at) for r in at] == ["2025-01-01 12:00:00", "2025-01-01 12:00:00", "2025-01-01 09:00:00"]
+    errors = {r.error for r in S.read_script(spark, str(tmp_path / "more.sql")).where("error IS NOT NULL").collect()}
+    assert errors == {"misfit in reported_at", "misfit in severity", "unbalanced parentheses"}
+
+
 @pytest.mark.parametrize(("text", "want"), [("1, 'a,b', f(1, 2)", ["1", "'a,b'", "f(1, 2)"]), ("'it''s, ok', NULL", ["'it''s, ok'", "NULL"]), ("", [])])
 def test_split_values(text, want):
     assert S.split_values(text) == want

@@ -13,7 +13,7 @@ from freightlens.operators import aggregates as A
 from freightlens.operators import filters as P
 from freightlens.oracles import ORACLES
 from freightlens.plans import analytics as M
-from freightlens.plans.endpoints import ask
+from freightlens.plans.endpoints import ask, listed
 from freightlens.sources import sinks as K
 from freightlens.sources.model import Freight
 
@@ -110,8 +110,8 @@ def recent_incidents(m: Freight) -> DataFrame:
 
 
 def same_district_objects(m: Freight) -> DataFrame:
-    """For every facility of one type the six largest others of its district; seven a district suffice."""
-    f = m.facility.where("type = 'BUILDING'").select("id", "district_id", F.coalesce("capacity_tons", F.lit(-1)).cast("double").alias("c"))
+    """For every facility the six largest others of its district; seven a district suffice, so few rows are broadcast."""
+    f = m.facility.select("id", "district_id", F.coalesce("capacity_tons", F.lit(-1)).cast("double").alias("c"))
     best = P.top_per_group(f.select(F.col("id").alias("other_id"), "district_id", "c"), "district_id", [F.desc("c"), F.col("other_id")], 7, "r").drop("r")
     pairs = f.select("id", "district_id").join(F.broadcast(best), "district_id").where("id <> other_id")
     return P.top_per_group(pairs, "id", [F.desc("c"), F.col("other_id")], 6).select("id", "other_id", "rank")
@@ -174,7 +174,7 @@ def roads_latest(m: Freight) -> DataFrame:
 def category_shares(m: Freight) -> DataFrame:
     from pyspark.sql.window import Window
 
-    by = m.flow.where("category IS NOT NULL").groupBy("category").agg(F.sum("volume_tons").cast("double").alias("volume"), F.count(F.lit(1)).alias("flows"))
+    by = m.flow_parts.groupBy("category").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("flows").alias("flows"))
     return by.withColumn("flow_share", F.col("flows").cast("double") / F.sum("flows").over(Window.partitionBy()))
 
 
@@ -242,6 +242,12 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
     "constraint_checks": A.constraint_checks, "load_index": M.load_index, "index_summary": M.index_summary, "regression": lambda m: M.monthly_regression(m).select("n", F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("r2", 6).alias("r2")), "forecast": M.forecast,
     "forecast_quality": M.forecast_quality, "scenario": M.scenario, "scenario_summary": M.scenario_summary, "compare": lambda m: M.compare(m, [3, 12, 3, 99, 7]),
     "typology": M.typology, "typology_clusters": M.typology_clusters, "kmeans_assign": M.embedding_clusters, "export_summary": K.export_summary, "chart_series": K.chart_series, "facility_layer": K.facility_layer,
+    "road_layer": K.road_layer, "district_layer": K.district_layer, "incident_layer": K.incident_layer, "route_layer": K.route_layer, "layer_collection": lambda m: K.collection(K.route_layer(m)).select(F.get_json_object("collection", "$.count").cast("long").alias("features")),
+    "export_districts": K.export_districts, "export_roads": K.export_roads, "export_incidents": K.export_incidents, "export_flows": K.export_flows, "export_routes": K.export_routes, "export_totals": K.export_totals,
+    "same_road_incidents": A.same_road_incidents, "reference_counts": A.reference_counts, "quality_total": A.quality_total,
+    "api_district_summary": lambda m: ask(m, "districts/summary").withColumn("area_sq_km", F.col("area_sq_km").cast("double")), "api_types": lambda m: ask(m, "types"), "api_sources": lambda m: ask(m, "sources"),
+    "api_cargo_categories": lambda m: ask(m, "cargo-categories"), "api_object_detail": lambda m: ask(m, "objects/detail", id="42"),
+    "api_load_index": lambda m: ask(m, "analytics/load-index"), "api_object_list": lambda m: listed(m, "objects", page="2", page_size="20").drop("results"),
     "api_districts": lambda m: ask(m, "districts"), "api_objects": lambda m: ask(m, "objects", q="street 1", page="2", page_size="20"),
     "api_nearby": lambda m: ask(m, "objects/nearby", lon="37.6", lat="55.7", radius="99", limit="30"), "api_roads": lambda m: ask(m, "roads", **{"class": "arterial"}),
     "api_incidents": lambda m: ask(m, "incidents", state="open", severity="3", cargo="1"), "api_routes": lambda m: ask(m, "routes", type="transit", page_size="9999"),

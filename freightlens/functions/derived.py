@@ -43,6 +43,19 @@ def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))).cast("double") / 3.6e9
 
 
+def minutes_between(start: Column, end: Column) -> Column:
+    """Minutes from start to end; null while unfinished."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))).cast("double") / 6e7
+
+
+def rounded_mean(total: Column, n: Column, scale: int = 100) -> Column:
+    """total / n of whole numbers not below zero in steps of 1 / scale, ties to the even step; null for no rows."""
+    twice = F.nullif(2 * n.cast("long"), F.lit(0))
+    up = 2 * scale * total.cast("long") + n.cast("long")
+    steps = F.floor(up.cast("decimal(38,0)") / twice).cast("long")
+    return (steps - F.when((up % twice == 0) & (steps % 2 == 1), 1).otherwise(0)).cast("double") / float(scale)
+
+
 def congestion_state(level: Column) -> Column:
     """Code of the highest threshold at or below the level; null is unknown."""
     out = F.when(level.isNull(), "unknown")
@@ -116,11 +129,18 @@ def shortened(x: Column, n: int) -> Column:
     return F.when(x.isNull() | (F.trim(x) == ""), "-").when(F.length(x) > n, F.concat(F.substring(x, 1, n - 1), F.lit("…"))).otherwise(x)
 
 
+# Cyrillic letters written as one Latin letter each, and those written otherwise.
+CYRILLIC_ONE = ("абвгдеёзийклмнопрстуфхцыэ", "abvgdeeziyklmnoprstufhcye")
+CYRILLIC_MANY = {"ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ь": "", "ю": "yu", "я": "ya"}
+
+
 def slug(x: Column, longest: int = 60) -> Column:
-    """Lower-case ASCII letters and digits joined by hyphens, at most ``longest`` characters."""
-    plain = F.translate(F.lower(x), "áàâäãçéèêëíìîïñóòôöõúùûü", "aaaaaceeeeiiiinooooouuuu")
-    parts = F.regexp_replace(F.replace(plain, F.lit("ß"), F.lit("ss")), "[^a-z0-9]+", "-")
-    return F.trim(F.substring(F.trim(parts, F.lit("-")), 1, longest), F.lit("-"))
+    """Lower-case ASCII letters and digits joined by hyphens, at most ``longest`` characters; Cyrillic is transliterated; "report" for nothing."""
+    plain = F.translate(F.lower(x), "áàâäãçéèêëíìîïñóòôöõúùûü" + CYRILLIC_ONE[0], "aaaaaceeeeiiiinooooouuuu" + CYRILLIC_ONE[1])
+    for letter, latin in ({"ß": "ss"} | CYRILLIC_MANY).items():
+        plain = F.replace(plain, F.lit(letter), F.lit(latin))
+    parts = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(F.substring(parts, 1, longest), F.lit("")), F.lit("report"))
 
 
 def paragraphs(x: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from freightlens.functions import derived as d
 from freightlens.operators.filters import latest, null_or_empty, since, top_per_group
-from freightlens.sources.model import DIRECTIONS, Freight
+from freightlens.sources.model import DIRECTIONS, LOCAL_ZONE, Freight
 
 
 def amount(column: str, zero: bool = True) -> Column:
@@ -27,7 +27,7 @@ def latest_per_road(m: Freight) -> DataFrame:
 def current_congestion(m: Freight) -> DataFrame:
     """Mean level of the newest measurements; 0 without any."""
     agg = latest_per_road(m).agg(F.sum("level").alias("s"), F.count("level").alias("n"))
-    return agg.select(F.coalesce(F.when(F.col("n") > 0, F.floor((200 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 100.0), F.lit(0.0)).alias("congestion"))
+    return agg.select(F.coalesce(d.rounded_mean(F.col("s"), F.col("n")), F.lit(0.0)).alias("congestion"))
 
 
 def state_distribution(m: Freight) -> DataFrame:
@@ -60,7 +60,7 @@ def district_profiles(m: Freight) -> DataFrame:
     flows = m.flow_core.groupBy("district_id").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"))
     of_road = m.road.where("district_id IS NOT NULL").select(F.col("id").alias("road_id"), "district_id")
     levels = m.condition.join(of_road, "road_id").groupBy("district_id").agg(F.sum("level").alias("s"), F.count("level").alias("n"))
-    levels = levels.select("district_id", (F.floor((200 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 100.0).alias("congestion"))
+    levels = levels.select("district_id", d.rounded_mean(F.col("s"), F.col("n")).alias("congestion"))
     base = m.district.withColumnRenamed("id", "district_id")
     joined = reduce(lambda a, b: a.join(b, "district_id", "left"), [objects, roads, flows, levels, incidents_by_district(m)], base)
     zero = {c: 0 for c in ("objects", "roads", "vehicles", "incidents")} | {c: 0.0 for c in ("capacity", "road_km", "volume")}
@@ -76,12 +76,12 @@ def flow_timeseries(m: Freight, district: int | None = None, category: str | Non
     by = rows.groupBy(F.trunc("period_date", "MM").alias("month")).agg(
         F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"), F.sum("avg_speed_kmh").alias("s"), F.count("avg_speed_kmh").alias("n"),
     )
-    return by.select("month", "volume", "vehicles", (F.floor((20 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 10.0).alias("speed"))
+    return by.select("month", "volume", "vehicles", d.rounded_mean(F.col("s"), F.col("n"), 10).alias("speed"))
 
 
 def flow_by_category(m: Freight, limit: int = 10) -> DataFrame:
     """The categories with the most volume."""
-    by = m.flow.where("category IS NOT NULL").groupBy("category").agg(F.sum("volume_tons").alias("v"), F.sum("vehicle_count").alias("vehicles"))
+    by = m.flow_parts.groupBy("category").agg(F.sum("volume_tons").alias("v"), F.sum("vehicle_count").alias("vehicles"))
     return by.orderBy(F.desc("v"), "category").limit(limit).select("category", F.col("v").cast("double").alias("volume"), "vehicles")
 
 
@@ -105,12 +105,12 @@ def incident_statistics(m: Freight, days: int = 30) -> DataFrame:
     return out.select(kind.alias("kind"), F.coalesce("incident_type", F.col("severity").cast("string"), F.lit("all")).alias("value"), "total", "open", "cargo")
 
 
-def daily_profile(m: Freight, days: int = 14) -> DataFrame:
-    """Mean level and samples of each hour of the day, all 24 of them."""
-    by = m.condition.where(since("recorded_at", m.now(), days)).groupBy(F.hour("recorded_at").cast("int").alias("hour")).agg(F.sum("level").alias("s"), F.count("level").alias("n"))
+def daily_profile(m: Freight, days: int = 14, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Mean level and samples of each local hour of the day, all 24 of them; an hour without samples has no mean."""
+    local = F.hour(F.from_utc_timestamp(F.col("recorded_at").cast("timestamp"), zone)).cast("int")
+    by = m.condition.where(since("recorded_at", m.now(), days)).groupBy(local.alias("hour")).agg(F.sum("level").alias("s"), F.count("level").alias("n"))
     hours = m.spark.range(24).select(F.col("id").cast("int").alias("hour"))
-    mean = F.coalesce(F.floor((200 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 100.0, F.lit(0.0))
-    return hours.join(F.broadcast(by), "hour", "left").select("hour", mean.alias("level"), F.coalesce("n", F.lit(0)).alias("samples"))
+    return hours.join(F.broadcast(by), "hour", "left").select("hour", d.rounded_mean(F.col("s"), F.col("n")).alias("level"), F.coalesce("n", F.lit(0)).alias("samples"))
 
 
 def peak_hour(m: Freight) -> DataFrame:
@@ -124,7 +124,7 @@ def etl_health(m: Freight) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "success").alias("ok"),
         F.coalesce(F.sum("records_loaded"), F.lit(0)).alias("loaded"), F.coalesce(F.sum("records_errors"), F.lit(0)).alias("errors"),
     )
-    return agg.select("runs", "failed", "loaded", "errors", F.coalesce(F.floor((2000 * F.col("ok") + F.col("runs")) / F.nullif(2 * F.col("runs"), F.lit(0))) / 10.0, F.lit(0.0)).alias("success_percent"))
+    return agg.select("runs", "failed", "loaded", "errors", F.coalesce(d.rounded_mean(100 * F.col("ok"), F.col("runs"), 10), F.lit(0.0)).alias("success_percent"))
 
 
 def source_usage(m: Freight) -> DataFrame:
@@ -151,7 +151,7 @@ def road_stats(m: Freight) -> DataFrame:
     """Measurements of every road: means, maximum, count, and the speed ratio."""
     by = m.condition.groupBy("road_id").agg(F.sum("level").alias("s"), F.sum("speed").alias("v"), F.max("level").alias("max_level"), F.count(F.lit(1)).alias("n"))
     roads = m.road.select(F.col("id").alias("road_id"), "speed_limit_kmh", "lanes")
-    mean = lambda c: F.floor((200 * F.col(c) + F.col("n")) / (2 * F.col("n"))) / 100.0
+    mean = lambda c: d.rounded_mean(F.col(c), F.col("n"))
     return roads.join(by, "road_id").select("road_id", mean("s").alias("level"), mean("v").alias("speed"), "max_level", "n", d.product(F.col("lanes"), F.col("speed_limit_kmh")).alias("capacity_index"))
 
 
@@ -170,21 +170,40 @@ def routes_by_type(m: Freight) -> DataFrame:
 
 def related_counts(m: Freight) -> DataFrame:
     """Facilities of every district, all of them and those open round the clock, zero included."""
-    f = m.facility.select("district_id", F.col("id").alias("facility_id"), "operating_hours").where("capacity_tons > 9000")
+    f = m.facility.select("district_id", F.col("id").alias("facility_id"), "operating_hours")
     return m.district.join(f, F.col("id") == F.col("district_id"), "left").groupBy("id", "name").agg(
         F.count("facility_id").alias("facilities"), F.count_if(d.round_the_clock(F.col("operating_hours")) & F.col("facility_id").isNotNull()).alias("whole_day"),
     )
 
 
 def incident_window(m: Freight, hours: int = 6, most: int = 120) -> DataFrame:
-    """Measurements of each incident's road from some hours before it to some hours after its end: an equi-join with a range."""
-    i = m.incident.where("road_id IS NOT NULL").select(F.col("id").alias("incident_id"), "road_id", "reported_at", F.coalesce("resolved_at", m.now()).alias("until"))
-    c = m.condition.select(F.col("id").alias("condition_id"), "road_id", "recorded_at", "level")
+    """Measurements of each incident's road from some hours before it to some hours after its end.
+
+    An incident stands for each hour of its window and meets measurements of its road and hour only, so the join
+    doesn't grow with the road's history.
+    """
     gap = F.expr(f"INTERVAL '{hours}' HOUR")
-    near = i.join(c, "road_id").where((F.col("recorded_at") >= F.col("reported_at") - gap) & (F.col("recorded_at") <= F.col("until") + gap))
+    i = m.incident.where("road_id IS NOT NULL").select(F.col("id").alias("incident_id"), "road_id", (F.col("reported_at") - gap).alias("low"), (F.coalesce("resolved_at", m.now()) + gap).alias("high"))
+    i = i.withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "low"), F.date_trunc("hour", "high"), F.expr("INTERVAL '1' HOUR"))))
+    c = m.condition.select(F.col("id").alias("condition_id"), "road_id", "recorded_at", "level", F.date_trunc("hour", "recorded_at").alias("hour"))
+    near = i.join(c, ["road_id", "hour"]).where(F.col("recorded_at").between(F.col("low"), F.col("high")))
     return top_per_group(near, "incident_id", [F.col("recorded_at"), F.col("condition_id")], most).select("incident_id", "condition_id", "recorded_at", "level", "rank")
 
 
+def same_road_incidents(m: Freight, k: int = 6) -> DataFrame:
+    """For every incident the k latest others of its road; the k + 1 latest of each road suffice."""
+    i = m.incident.where("road_id IS NOT NULL").select("id", "road_id", "reported_at")
+    best = top_per_group(i.select(F.col("id").alias("other_id"), "road_id", F.col("reported_at").alias("at")), "road_id", [F.desc("at"), F.desc("other_id")], k + 1, "r").drop("r")
+    pairs = i.select("id", "road_id").join(best, "road_id").where("id <> other_id")
+    return top_per_group(pairs, "id", [F.desc("at"), F.desc("other_id")], k).select("id", "other_id", "rank")
+
+
+def reference_counts(m: Freight) -> DataFrame:
+    """Rows of each dimension."""
+    parts = {"districts": m.district, "types": m.facility.select("type").distinct(), "categories": m.category, "sources": m.source}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("total")).withColumn("dimension", F.lit(name)) for name, df in parts.items()])
+
+
 def similar_routes(m: Freight, k: int = 6) -> DataFrame:
     """For every route the k routes of its type with the most trucks, itself excluded.
 
@@ -218,10 +237,13 @@ def roads_without_incidents(m: Freight) -> DataFrame:
 
 
 def growth(m: Freight) -> DataFrame:
-    """Last month's volume against the first, and the mean load of a vehicle."""
-    s = flow_timeseries(m)
-    agg = s.agg(F.min_by("volume", "month").alias("first"), F.max_by("volume", "month").alias("last"), F.sum("vehicles").alias("vehicles"))
-    return agg.select("first", "last", (d.quotient(F.col("last"), F.col("first")) - 1).alias("growth"), "vehicles")
+    """Last month's volume against the first in percent (null for one month or none), and the mean load of a vehicle."""
+    agg = flow_timeseries(m).agg(
+        F.min_by("volume", "month").alias("first"), F.max_by("volume", "month").alias("last"), F.count(F.lit(1)).alias("months"),
+        F.sum(F.col("volume").cast("decimal(30,2)")).cast("double").alias("volume"), F.sum("vehicles").alias("vehicles"),
+    )
+    percent = F.when(F.col("months") > 1, (F.col("last").cast("double") / d.or_null(F.col("first")) - 1) * 100)
+    return agg.select("first", "last", percent.alias("growth"), "vehicles", d.quotient(F.col("volume"), F.col("vehicles")).alias("load"))
 
 
 def quality_checks(m: Freight) -> DataFrame:
@@ -229,16 +251,21 @@ def quality_checks(m: Freight) -> DataFrame:
     now = m.now()
     rules = {
         "facility": (m.facility, {"facility without place": F.col("lon").isNull(), "facility without capacity": F.col("capacity_tons").isNull(), "facility without address": null_or_empty("address"), "facility without source": F.col("source_id").isNull()}, None),
-        "road": (m.road, {"road without district": F.col("district_id").isNull()}, None),
+        "road": (m.road, {"road without geometry": F.col("geom").isNull()}, None),
         "incident": (m.incident, {"incident without road": F.col("road_id").isNull()}, None),
-        "open": (m.incident.where("resolved_at IS NULL"), {"open incident over 20 days": F.col("reported_at") < now - F.expr("INTERVAL '20' DAY")}, None),
+        "open": (m.incident.where("resolved_at IS NULL"), {"open incident over 30 days": F.col("reported_at") < now - F.expr("INTERVAL '30' DAY")}, None),
     }
     parts = []
     for df, checks, _ in rules.values():
         row = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in checks.items()])
         parts.append(row.unpivot(["total"], list(checks), "rule", "found"))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select("rule", "found", "total", F.coalesce(F.floor((2000 * F.col("found") + F.col("total")) / F.nullif(2 * F.col("total"), F.lit(0))) / 10.0, F.lit(0.0)).alias("share"))
+    return out.select("rule", "found", "total", F.coalesce(d.rounded_mean(100 * F.col("found"), F.col("total"), 10), F.lit(0.0)).alias("share"))
+
+
+def quality_total(m: Freight) -> DataFrame:
+    """Findings of all rules together."""
+    return quality_checks(m).agg(F.sum("found").alias("issues_total"))
 
 
 def constraint_checks(m: Freight) -> DataFrame:

@@ -20,7 +20,8 @@ _VIEWS = {
         from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey join part on l_partkey=p_partkey""",
     "road": """select distinct user_id id, 'Road '||user_id "name", case user_id%3 when 0 then 'highway' when 1 then 'arterial' else 'collector' end road_class,
         case when user_id%29<>0 then (user_id%25)::int end district_id, (1+user_id%6)::int lanes, (40+10*(user_id%7))::int speed_limit_kmh,
-        cast(1+user_id%40 as decimal(8,2)) length_km from events""",
+        cast(1+user_id%40 as decimal(8,2)) length_km,
+        case when user_id%13<>5 then 'LINESTRING (37.'||(30+user_id%60)||' 55.'||(50+user_id%40)||', 37.'||(31+user_id%60)||' 55.'||(51+user_id%40)||')' end geom from events""",
     "condition": """select *, (60-4*"level")::int speed from (select event_id id, user_id road_id, ts recorded_at, least(10, floor(value/20)::int)::int "level" from events)""",
     "incident": """select event_id id, ts reported_at, case when event_id%4<>0 then ts+to_hours(k) end resolved_at, 'type '||(k%6) incident_type, (1+k%5)::int severity,
         case when event_id%31<>0 then user_id end road_id, k%2=1 affects_cargo
@@ -33,17 +34,24 @@ _VIEWS = {
     "subscription": """select n*5+s id, case when (n*5+s)%5<>0 then n end district_id, s min_severity, n%2=1 cargo_only, n%3<>0 is_active
         from (select n_nationkey::int n, unnest(range(1,6))::int s from nation)""",
     "source": """select i::int id, 'source '||i "name", i<>5 is_active from range(8) t(i)""",
+    "category": """select distinct p_type "name", (length(p_type)%10)::int hazard_class from part""",
     "clock": "select max(ts) tick from events",
 }
 
 
+def _mean(total: str, n: str, scale: int) -> str:
+    """total / n in steps of 1 / scale, ties to the even step."""
+    up, twice = f"(2*{scale}*({total})+({n}))", f"nullif(2*({n}),0)"
+    return f"(({up}//{twice}) - case when {up}%{twice}=0 and ({up}//{twice})%2=1 then 1 else 0 end)/{scale}.0::double"
+
+
 def _with(sql: str, *views: str) -> str:
     return "with " + ", ".join(f"{v} as ({_VIEWS[v]})" for v in views) + " " + sql
 
 
 _STATE = "case when {0} is null then 'unknown' when {0}>=9 then 'jam' when {0}>=7 then 'heavy' when {0}>=5 then 'moderate' when {0}>=3 then 'light' else 'free' end"
 _LATEST = "select * from condition qualify row_number() over (partition by road_id order by recorded_at desc, id desc)=1"
-_MEAN2 = "((200*sum({0})+count({0}))//(2*count({0})))/100.0::double"
+_MEAN2 = _mean("sum({0})", "count({0})", 100)
 _KM = "2*6371.0088*asin(sqrt(least(1.0, pow(sin(radians({3}-{1})/2),2)+cos(radians({1}))*cos(radians({3}))*pow(sin(radians({2}-{0})/2),2))))"
 _PROFILE = """select d.id district_id, d."name", d.region_id, d.area_sq_km::double area_sq_km, d.population, d.lon, d.lat, coalesce(o.n,0)::bigint objects, coalesce(o.c,0)::double capacity,
     coalesce(r.n,0)::bigint roads, coalesce(r.km,0)::double road_km, coalesce(f.v,0)::double volume, coalesce(f.n,0)::bigint vehicles, c.x congestion, coalesce(i.n,0)::bigint incidents,
@@ -51,7 +59,7 @@ _PROFILE = """select d.id district_id, d."name", d.region_id, d.area_sq_km::doub
     from district d left join (select district_id, count(*) n, sum(capacity_tons)::double c from facility group by 1) o on d.id=o.district_id
     left join (select district_id, count(*) n, sum(length_km)::double km from road group by 1) r on d.id=r.district_id
     left join (select district_id, sum(volume_tons)::double v, sum(vehicle_count) n from flow group by 1) f on d.id=f.district_id
-    left join (select district_id, ((200*sum("level")+count(*))//(2*count(*)))/100.0::double x from condition join road on road_id=road.id group by 1) c on d.id=c.district_id
+    left join (select district_id, MEANLEVEL x from condition join road on road_id=road.id group by 1) c on d.id=c.district_id
     left join (select district_id, count(*) n from incident join road on road_id=road.id group by 1) i on d.id=i.district_id"""
 _PROFILE_VIEWS = ("district", "facility", "flow", "road", "condition", "incident")
 _INDEX = f"""profile as ({_PROFILE}), raw as (select district_id, "name", capacity, volume flow, coalesce(congestion,0) congestion, incidents::double incidents from profile)"""
@@ -60,8 +68,8 @@ _INDEX = f"""profile as ({_PROFILE}), raw as (select district_id, "name", capaci
 def _scored(source: str) -> str:
     parts = {c: f"case when max({c}) over ()=min({c}) over () then 0.5 else ({c}-min({c}) over ())/(max({c}) over ()-min({c}) over ()) end" for c in ("capacity", "flow", "congestion", "incidents")}
     norm = ", ".join(f"{e} {c}_norm" for c, e in parts.items())
-    score = "round(capacity_norm*cast(0.3 as double)*100+flow_norm*cast(0.3 as double)*100+congestion_norm*cast(0.25 as double)*100+incidents_norm*cast(0.15 as double)*100,1)"
-    return f"select *, {score} score, " + ", ".join(f"round({c}_norm*100,1) {c}_part" for c in parts) + f" from (select *, {norm} from {source})"
+    score = "round_even(capacity_norm*cast(0.3 as double)*100+flow_norm*cast(0.3 as double)*100+congestion_norm*cast(0.25 as double)*100+incidents_norm*cast(0.15 as double)*100,1)"
+    return f"select *, {score} score, " + ", ".join(f"round_even({c}_norm*100,1) {c}_part" for c in parts) + f" from (select *, {norm} from {source})"
 
 
 def _with_index(sql: str) -> str:
@@ -69,13 +77,26 @@ def _with_index(sql: str) -> str:
     return f"{head}, {_INDEX}, scored as ({_scored('raw')}), ranked as (select *, row_number() over (order by score desc, flow desc, district_id)::int as \"rank\" from scored) {sql}"
 
 
-_SERIES = "select date_trunc('month', period_date)::date as \"month\", sum(volume_tons)::double volume, sum(vehicle_count)::bigint vehicles, ((20*sum(avg_speed_kmh)+count(*))//(2*count(*)))/10.0::double speed from flow {0} group by 1"
-_TREND = f"""s as (select "month", volume, row_number() over (order by "month")-1 x from ({_SERIES.format('')})), fit as (select regr_slope(volume,x) sl, regr_intercept(volume,x) ic, regr_r2(volume,x) r2 from s),
+_SERIES = "select date_trunc('month', period_date)::date as \"month\", sum(volume_tons)::double volume, sum(vehicle_count)::bigint vehicles, MEANFLOW speed from flow {0} group by 1"
+_TREND = """s as (select "month", volume, row_number() over (order by "month")-1 x from (SERIES)), fit as (select regr_slope(volume,x) sl, regr_intercept(volume,x) ic, regr_r2(volume,x) r2 from s),
     t as (select s.*, sl, ic, r2, ic+sl*x trend from s, fit), u as (select *, avg(volume-trend) over (partition by extract(month from "month")) season from t)"""
 
 
-def _with_trend(sql: str) -> str:
-    return f"{_with('', 'flow').strip()}, {_TREND} {sql}"
+def _with_trend(sql: str, where: str = "") -> str:
+    return f"{_with('', 'flow').strip()}, {_TREND.replace('SERIES', _SERIES.format(where))} {sql}"
+
+
+# means that several statements write out
+_MEANS = {
+    "MEANLEVEL": _mean('sum("level")', "count(*)", 100), "MEANSPEED": _mean("sum(speed)", "count(*)", 100), "MEANFLOW": _mean("sum(avg_speed_kmh)", "count(*)", 10),
+    "MEANOK": _mean("100*count(*) filter (status='success')", "count(*)", 10), "MEANFOUND": _mean("100*found", "total", 10),
+}
+
+
+def _spelled(sql: str) -> str:
+    for name, mean in _MEANS.items():
+        sql = sql.replace(name, mean)
+    return sql
 
 
 ORACLES: dict[str, str] = {
@@ -100,7 +121,7 @@ ORACLES: dict[str, str] = {
     "page_envelope": _with("select n \"count\", greatest(1,(n+24)//25)::bigint pages, 2::bigint page, case when greatest(1,(n+24)//25)>2 then 3::bigint end as \"next\", 1::bigint previous from (select count(*) n from facility where district_id=7)", "facility"),
     "top_objects": _with("select id, capacity_tons::double capacity from facility order by capacity_tons desc nulls last, id limit 8", "facility"),
     "recent_incidents": _with("select id, severity, incident_type from incident order by reported_at desc, id desc limit 8", "incident"),
-    "same_district_objects": _with("select a.id, b.id other_id, row_number() over (partition by a.id order by coalesce(b.capacity_tons,-1) desc, b.id)::int as \"rank\" from facility a join facility b on a.district_id=b.district_id and a.id<>b.id where a.\"type\"='BUILDING' and b.\"type\"='BUILDING' qualify \"rank\"<=6", "facility"),
+    "same_district_objects": _with("select a.id, b.id other_id, row_number() over (partition by a.id order by coalesce(b.capacity_tons,-1) desc, b.id)::int as \"rank\" from facility a join facility b on a.district_id=b.district_id and a.id<>b.id qualify \"rank\"<=6", "facility"),
     "derived_ratios": _with("select id, nullif(capacity_tons,0)::double/nullif(area_sq_m,0)::double utilization from facility", "facility"),
     "route_ratios": _with("select id, distance_km::double/nullif(duration_h,0)::double speed, trucks::double*distance_km::double truck_km from route", "route"),
     "flow_loads": _with("select id, nullif(volume_tons,0)::double/nullif(vehicle_count,0)::double \"load\" from flow", "flow"),
@@ -133,22 +154,22 @@ ORACLES: dict[str, str] = {
     "objects_by_type": _with('select "type", count(*) objects, coalesce(sum(capacity_tons),0)::double capacity from facility group by 1', "facility"),
     "incident_stats": _with(", w as (select incident.* from incident, clock where reported_at>=tick-interval 30 day) select 'all' kind, 'all' \"value\", count(*) total, count(*) filter (resolved_at is null) \"open\", count(*) filter (affects_cargo) cargo from w union all select 'type', incident_type, count(*), count(*) filter (resolved_at is null), count(*) filter (affects_cargo) from w group by 2 union all select 'severity', severity::varchar, count(*), count(*) filter (resolved_at is null), count(*) filter (affects_cargo) from w group by 2", "incident", "clock").replace(") ,", "),"),
     "incidents_by_district": _with("select district_id, count(*) incidents from incident join road on road_id=road.id where district_id is not null group by 1", "incident", "road"),
-    "daily_profile_dense": _with(f"select h::int \"hour\", coalesce(x,0)::double \"level\", coalesce(n,0)::bigint samples from range(24) t(h) left join (select extract(hour from recorded_at) hh, {_MEAN2.format('\"level\"')} x, count(*) n from condition, clock where recorded_at>=tick-interval 14 day group by 1) on h=hh", "condition", "clock"),
-    "peak_hour": _with(f"select h::int \"hour\", x \"level\" from (select extract(hour from recorded_at) h, {_MEAN2.format('\"level\"')} x from condition, clock where recorded_at>=tick-interval 14 day group by 1) order by x desc, h limit 1", "condition", "clock"),
-    "etl_health": _with("select count(*) runs, count(*) filter (status='failed') failed, sum(records_loaded)::bigint loaded, sum(records_errors)::bigint errors, ((2000*count(*) filter (status='success')+count(*))//(2*count(*)))/10.0::double success_percent from run", "run"),
+    "daily_profile_dense": _with(f"select h::int \"hour\", x \"level\", coalesce(n,0)::bigint samples from range(24) t(h) left join (select extract(hour from recorded_at+interval 3 hour) hh, {_MEAN2.format('\"level\"')} x, count(*) n from condition, clock where recorded_at>=tick-interval 14 day group by 1) on h=hh", "condition", "clock"),
+    "peak_hour": _with(f"select h::int \"hour\", x \"level\" from (select extract(hour from recorded_at+interval 3 hour) h, {_MEAN2.format('\"level\"')} x from condition, clock where recorded_at>=tick-interval 14 day group by 1) order by x desc, h limit 1", "condition", "clock"),
+    "etl_health": _with("select count(*) runs, count(*) filter (status='failed') failed, sum(records_loaded)::bigint loaded, sum(records_errors)::bigint errors, MEANOK success_percent from run", "run"),
     "source_usage": _with("select s.id source_id, s.\"name\", s.is_active, coalesce(r.n,0)::bigint runs, coalesce(r.l,0)::bigint loaded, coalesce(r.e,0)::bigint errors, r.t last_run, coalesce(f.n,0)::bigint facilities, coalesce(r.e::double/nullif(r.l+r.e,0)::double*100,0) error_percent from source s left join (select source_id, count(*) n, sum(records_loaded) l, sum(records_errors) e, max(started_at) t from run group by 1) r on s.id=r.source_id left join (select source_id, count(*) n from facility group by 1) f on s.id=f.source_id", "source", "run", "facility"),
     "coverage": _with("select count(*) total, count(lon) located, 'facility' \"table\" from facility union all select count(*), count(district_id), 'road' from road union all select count(*), 0, 'route' from route union all select count(*), count(road_id), 'incident' from incident union all select count(*), count(lon), 'district' from district union all select count(*), 0, 'flow' from flow", "facility", "road", "route", "incident", "district", "flow"),
-    "road_stats": _with("select r.id road_id, ((200*sum(\"level\")+count(*))//(2*count(*)))/100.0::double \"level\", ((200*sum(speed)+count(*))//(2*count(*)))/100.0::double speed, max(\"level\") max_level, count(*) n, any_value(lanes::double*speed_limit_kmh::double) capacity_index from condition c join road r on road_id=r.id group by 1", "condition", "road"),
+    "road_stats": _with("select r.id road_id, MEANLEVEL \"level\", MEANSPEED speed, max(\"level\") max_level, count(*) n, any_value(lanes::double*speed_limit_kmh::double) capacity_index from condition c join road r on road_id=r.id group by 1", "condition", "road"),
     "weekly_stats": _with('select count(*) n, sum("level")::double/count(*) "level", sum(speed)::double/count(*) speed from condition, clock where recorded_at>=tick-interval 7 day', "condition", "clock"),
     "routes_by_type": _with("select route_type, count(*) routes, sum(trucks)::bigint trucks, sum(distance_km)::bigint distance, sum(trucks)::double/sum(sum(trucks)) over ()::double \"share\" from route group by 1", "route"),
-    "related_counts_zero": _with("select d.id, d.\"name\", count(f.id) facilities, count(*) filter (f.operating_hours in ('00:00-24:00','Round the clock')) whole_day from district d left join facility f on f.district_id=d.id and capacity_tons>9000 group by 1,2", "district", "facility"),
+    "related_counts_zero": _with("select d.id, d.\"name\", count(f.id) facilities, count(*) filter (f.operating_hours in ('00:00-24:00','Round the clock')) whole_day from district d left join facility f on f.district_id=d.id group by 1,2", "district", "facility"),
     "interval_window": _with("select i.id incident_id, c.id condition_id, recorded_at, \"level\", row_number() over (partition by i.id order by recorded_at, c.id)::int as \"rank\" from incident i, clock, condition c where c.road_id=i.road_id and recorded_at between reported_at-interval 6 hour and coalesce(resolved_at,tick)+interval 6 hour qualify \"rank\"<=120", "incident", "clock", "condition"),
     "self_similar_topk": _with("select a.id, b.id other_id, b.trucks other_trucks, row_number() over (partition by a.id order by b.trucks desc, b.id)::int as \"rank\" from route a join route b on a.route_type=b.route_type and a.id<>b.id qualify \"rank\"<=6", "route"),
     "subscription_match": _with("select s.id, count(i.id) matches from subscription s left join (select incident.*, road.district_id d from incident left join road on road_id=road.id) i on severity>=min_severity and (not cargo_only or affects_cargo) and (s.district_id is null or s.district_id=d) where is_active group by 1", "subscription", "incident", "road"),
     "left_semi_keys": _with('select id, "name", road_class from road where id in (select road_id from incident)', "road", "incident"),
     "left_anti_orphans": _with('select id, "name", road_class from road where id not in (select road_id from incident where road_id is not null)', "road", "incident"),
-    "growth": _with(f"select f \"first\", l \"last\", l/f-1 growth, n::bigint vehicles from (select arg_min(volume,\"month\") f, arg_max(volume,\"month\") l, sum(vehicles) n from ({_SERIES.format('')}))", "flow"),
-    "quality_checks": _with("select \"rule\", found, total, coalesce(((2000*found+total)//nullif(2*total,0))/10.0::double,0) \"share\" from (select 'facility without place' \"rule\", count(*) filter (lon is null) found, count(*) total from facility union all select 'facility without capacity', count(*) filter (capacity_tons is null), count(*) from facility union all select 'facility without address', count(*) filter (coalesce(address,'')=''), count(*) from facility union all select 'facility without source', count(*) filter (source_id is null), count(*) from facility union all select 'road without district', count(*) filter (district_id is null), count(*) from road union all select 'incident without road', count(*) filter (road_id is null), count(*) from incident union all select 'open incident over 20 days', count(*) filter (reported_at<tick-interval 20 day), count(*) from incident, clock where resolved_at is null)", "facility", "road", "incident", "clock"),
+    "growth": _with(f"select f \"first\", l \"last\", (l/f-1)*100 growth, n::bigint vehicles, v/n::double \"load\" from (select arg_min(volume,\"month\") f, arg_max(volume,\"month\") l, sum(vehicles) n, sum(volume::decimal(30,2))::double v from ({_SERIES.format('')}))", "flow"),
+    "quality_checks": _with("select \"rule\", found, total, coalesce(MEANFOUND,0) \"share\" from (select 'facility without place' \"rule\", count(*) filter (lon is null) found, count(*) total from facility union all select 'facility without capacity', count(*) filter (capacity_tons is null), count(*) from facility union all select 'facility without address', count(*) filter (coalesce(address,'')=''), count(*) from facility union all select 'facility without source', count(*) filter (source_id is null), count(*) from facility union all select 'road without geometry', count(*) filter (geom is null), count(*) from road union all select 'incident without road', count(*) filter (road_id is null), count(*) from incident union all select 'open incident over 30 days', count(*) filter (reported_at<tick-interval 30 day), count(*) from incident, clock where resolved_at is null)", "facility", "road", "incident", "clock"),
     "constraint_checks": _with("select 'level 0 to 10' \"rule\", count(*) filter (not \"level\" between 0 and 10) found from condition union all select 'severity 1 to 5', count(*) filter (not severity between 1 and 5) from incident union all select 'known direction', count(*) filter (direction not in ('A','N','R')) from flow union all select 'end after start', count(*) filter (resolved_at<reported_at) from incident union all select 'two different ends', count(*) filter (origin_id=destination_id) from route", "condition", "incident", "flow", "route"),
     "load_index": _with_index('select "rank", district_id, "name", score, capacity_part, flow_part, congestion_part, incidents_part, capacity, flow, congestion, incidents from ranked'),
     "index_summary": _with_index('select count(*) districts, round(avg(score),1) mean, round(max(score)-min(score),1) spread, round(stddev_pop(score)/avg(score)*100,1) variation, arg_min("name","rank") leader, arg_max("name","rank") "last" from ranked'),
@@ -158,7 +179,7 @@ ORACLES: dict[str, str] = {
     "regression": _with_trend("select count(*) n, round(any_value(sl),3) slope, round(any_value(ic),1) \"intercept\", round(any_value(r2),6) r2 from t"),
     "forecast": _with_trend(", z as (select max(\"month\") m, max(x) n, any_value(sl) sl, any_value(ic) ic from u), q as (select st::int step, (m+to_months(st::int))::date as \"month\", ic+sl*(n+st) tr from z, range(1,7) g(st)) select step, q.\"month\", round(greatest(tr+coalesce(y.season,0),0),1) forecast, round(greatest(tr,0),1) trend from q left join (select distinct extract(month from \"month\") k, first_value(season) over (partition by extract(month from \"month\") order by \"month\") season from u) y on k=extract(month from q.\"month\")"),
     "forecast_quality": _with_trend("select \"months\", mape, r2, slope, case when mape is null then 'undefined' when mape<10 and r2>0.6 then 'high' when mape<20 then 'acceptable' else 'low' end quality from (select count(*) \"months\", round(avg(abs(volume-trend-season)/nullif(volume,0)*100),1) mape, round(any_value(r2),3) r2, round(any_value(sl),1) slope from u)"),
-    "text_functions": "select p_partkey, trim(left(trim(regexp_replace(lower(p_type||' '||p_name),'[^a-z0-9]+','-','g'),'-'),60),'-') slug, case when trim(p_name)='' then '-' when length(p_name)>12 then left(p_name,11)||'…' else p_name end short, case when p_size>25 then 'yes' else 'no' end \"large\", regexp_replace(regexp_replace(cast(p_retailprice as decimal(10,2))::varchar,'(\\.\\d*?)0+$','\\1'),'\\.$','') price from part",
+    "text_functions": "select p_partkey, left(trim(regexp_replace(lower(p_type||' '||p_name),'[^a-z0-9]+','-','g'),'-'),60) slug, case when trim(p_name)='' then '-' when length(p_name)>12 then left(p_name,11)||'…' else p_name end short, case when p_size>25 then 'yes' else 'no' end \"large\", regexp_replace(regexp_replace(cast(p_retailprice as decimal(10,2))::varchar,'(\\.\\d*?)0+$','\\1'),'\\.$','') price from part",
     "wkt_roundtrip": _with("select id, 'POINT ('||regexp_replace(regexp_replace(format('{:.6f}',lon),'(\\.\\d*?)0+$','\\1'),'\\.$','')||' '||regexp_replace(regexp_replace(format('{:.6f}',lat),'(\\.\\d*?)0+$','\\1'),'\\.$','')||')' wkt, 4326::int srid from facility where lon is not null", "facility"),
     "line_metrics": _with(f"select id, round({_KM.format('x', 'y', '(x+0.1)', '(y+0.1)')}+{_KM.format('(x+0.1)', '(y+0.1)', '(x+0.3)', '(y+0.1)')}+{_KM.format('(x+0.3)', '(y+0.1)', '(x+0.3)', '(y+0.4)')},2) km, round(x+0.175,4) mid_lon, round(y+0.15,4) mid_lat, x min_lon, round(y+0.4,2) max_lat, 2::bigint thin from (select id, round(lon,2) x, round(lat,2) y from district)", "district"),
     "chart_series": _with(f"select '['||string_agg('{{\"label\":\"'||strftime(\"month\",'%m.%y')||'\",\"value\":'||cast(volume as decimal(20,2))||'}}', ',' order by \"month\")||']' series from ({_SERIES.format('')})", "flow"),
@@ -172,4 +193,27 @@ ORACLES: dict[str, str] = {
     "api_flows": _with("select id, period_date, district_id, category, direction, volume_tons::double volume, vehicle_count from flow where direction='R' and period_date between date '1996-01-01' and date '1996-12-31' order by period_date desc, id limit 100", "flow"),
     "api_etl_runs": _with("select r.id, s.\"name\" \"source\", status, records_loaded, records_errors from run r left join source s on r.source_id=s.id order by r.id desc limit 50", "run", "source"),
     "api_traffic_current": _with(f"select r.id road_id, r.\"name\", l.\"level\", {_STATE.format('l.\"level\"')} state, case when l.\"level\">=9 then 'crit' when l.\"level\">=7 then 'alert' when l.\"level\">=5 then 'warn' else 'ok' end tone from road r join ({_LATEST}) l on l.road_id=r.id where district_id=7", "road", "condition"),
+    "same_road_incidents": _with("select a.id, b.id other_id, row_number() over (partition by a.id order by b.reported_at desc, b.id desc)::int as \"rank\" from incident a join incident b on a.road_id=b.road_id and a.id<>b.id qualify \"rank\"<=6", "incident"),
+    "reference_counts": _with("select count(*) total, 'districts' dimension from district union all select count(distinct \"type\"), 'types' from facility union all select count(*), 'categories' from category union all select count(*), 'sources' from source", "district", "facility", "category", "source"),
+    "export_districts": _with(f"select \"name\" district, area_sq_km area, population, objects, capacity, volume, vehicles, road_km, congestion, {_STATE.format('congestion')} state from ({_PROFILE})", *_PROFILE_VIEWS),
+    "export_roads": _with(f"select r.\"name\", road_class, d.\"name\" district, length_km::double length, lanes, speed_limit_kmh, l.\"level\", l.speed, recorded_at from road r left join district d on r.district_id=d.id left join ({_LATEST}) l on l.road_id=r.id", "road", "district", "condition"),
+    "export_incidents": _with("select i.id, incident_type, severity, ['minor','moderate','serious','severe','critical'][severity] \"label\", r.\"name\" road, d.\"name\" district, reported_at, resolved_at, round_even((epoch_us(coalesce(resolved_at,tick))-epoch_us(reported_at))::double/3.6e9::double,1) \"hours\", affects_cargo from clock, incident i left join road r on road_id=r.id left join district d on r.district_id=d.id", "incident", "road", "district", "clock"),
+    "export_flows": _with("select f.id, strftime(period_date,'%m.%Y') period, case direction when 'A' then 'arrival' when 'N' then 'transfer' else 'return' end direction, d.\"name\" district, category, volume_tons::double volume, vehicle_count, avg_speed_kmh from flow f left join district d on f.district_id=d.id", "flow", "district"),
+    "export_routes": _with("select r.id, route_type, o.\"name\" origin, e.\"name\" destination, distance_km::bigint distance_km, duration_h::bigint duration_h, trucks from route r join district o on origin_id=o.id join district e on destination_id=e.id", "route", "district"),
+    "export_totals": _with("select unnest(['roads','road km']) \"name\", unnest([count(*)::double, sum(length_km)::double]) \"value\" from road union all select unnest(['incidents','open incidents','cargo incidents']), unnest([count(*)::double, (count(*) filter (resolved_at is null))::double, (count(*) filter (affects_cargo))::double]) from incident union all select unnest(['flows','volume','vehicles']), unnest([count(*)::double, sum(volume_tons)::double, sum(vehicle_count)::double]) from flow union all select unnest(['routes','trucks']), unnest([count(*)::double, sum(trucks)::double]) from route", "road", "incident", "flow", "route"),
+    "facility_layer": _with("select '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||lon::varchar||','||lat::varchar||']},\"properties\":{\"id\":'||id||',\"name\":\"'||\"name\"||'\",\"type\":\"'||\"type\"||'\"}}' feature from (select * from facility where lon is not null order by id limit 5000)", "facility"),
+    "district_layer": _with(f"select '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":['||lon::varchar||','||lat::varchar||']}},\"properties\":{{\"district_id\":'||district_id||',\"name\":\"'||\"name\"||'\",\"objects\":'||objects||',\"incidents\":'||incidents||'}}}}' feature from ({_PROFILE})", *_PROFILE_VIEWS),
+    "route_layer": _with("select '{\"type\":\"Feature\",\"geometry\":{\"type\":\"LineString\",\"coordinates\":[['||o.lon::varchar||','||o.lat::varchar||'],['||e.lon::varchar||','||e.lat::varchar||']]},\"properties\":{\"id\":'||r.id||',\"route_type\":\"'||route_type||'\",\"trucks\":'||trucks||'}}' feature from route r join district o on origin_id=o.id join district e on destination_id=e.id order by r.id limit 5000", "route", "district"),
+    "layer_collection": _with("select least(count(*),5000) features from route", "route"),
+    "road_layer": _with(f"select '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"LineString\",\"coordinates\":[['||(37+(30+r.id%60)/100.0)::double::varchar||','||(55+(50+r.id%40)/100.0)::double::varchar||'],['||(37+(31+r.id%60)/100.0)::double::varchar||','||(55+(51+r.id%40)/100.0)::double::varchar||']]}},\"properties\":{{\"id\":'||r.id||',\"name\":\"'||r.\"name\"||'\"'||coalesce(',\"level\":'||\"level\"||',\"state\":\"'||{_STATE.format('\"level\"')}||'\"','')||'}}}}' feature from road r left join ({_LATEST}) l on l.road_id=r.id where geom is not null", "road", "condition"),
+    "api_district_summary": _with(_PROFILE, *_PROFILE_VIEWS),
+    "api_types": _with('select "type", count(*) objects, coalesce(sum(capacity_tons),0)::double capacity from facility group by 1', "facility"),
+    "api_sources": _with('select id, "name", is_active from source', "source"),
+    "api_cargo_categories": _with('select "name", hazard_class, hazard_class>0 is_hazardous from category', "category"),
+    "api_object_detail": _with('select f.id, f."name", f."type", d."name" district, address, operating_hours, capacity_tons::double capacity, f.lon, f.lat from facility f join district d on f.district_id=d.id where f.id=42', "facility", "district"),
+    "api_load_index": _with_index('select "rank", district_id, "name", score, capacity_part, flow_part, congestion_part, incidents_part, capacity, flow, congestion, incidents from ranked'),
+    "api_object_list": _with("select n \"count\", greatest(1,(n+19)//20)::bigint pages, 2::bigint page, case when greatest(1,(n+19)//20)>2 then 3::bigint end as \"next\", 1::bigint previous from (select count(*) n from facility)", "facility"),
+    "api_forecast_district": _with_trend(", z as (select max(\"month\") m, max(x) n, any_value(sl) sl, any_value(ic) ic from u), q as (select st::int step, (m+to_months(st::int))::date as \"month\", ic+sl*(n+st) tr from z, range(1,5) g(st)) select step, q.\"month\", round(greatest(tr+coalesce(y.season,0),0),1) forecast, round(greatest(tr,0),1) trend from q left join (select distinct extract(month from \"month\") k, first_value(season) over (partition by extract(month from \"month\") order by \"month\") season from u) y on k=extract(month from q.\"month\")", "where district_id=7"),
 }
+ORACLES["quality_total"] = ORACLES["quality_checks"].replace('select "rule", found, total,', 'select sum(found)::bigint issues_total from (select "rule", found, total,', 1) + ")"
+ORACLES = {name: _spelled(sql) for name, sql in ORACLES.items()}

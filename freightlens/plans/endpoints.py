@@ -19,6 +19,8 @@ from freightlens.plans import analytics as M
 from freightlens.sources.model import ROAD_CLASSES, ROUTE_TYPES, Freight
 
 PAGE_SIZE, PAGE_MOST = 50, 500
+#: Inside the library: the rows of a list without paging.
+ALL_ROWS = "all"
 Params = dict[str, str]
 
 
@@ -26,8 +28,18 @@ class BadRequest(ValueError):
     """A parameter that an endpoint can't do without is missing or malformed."""
 
 
+class NotFound(LookupError):
+    """There is no such row or page."""
+
+
+class Unprocessable(ValueError):
+    """The data can't give what was asked for."""
+
+
 def page(df: DataFrame, p: Params, order: list[Column]) -> DataFrame:
     """The page asked for, sorted."""
+    if p.get("page_size") == ALL_ROWS:
+        return df
     size = max(1, min(P.int_param(p.get("page_size"), PAGE_SIZE), PAGE_MOST))
     return P.paged(df, order, size, max(1, P.int_param(p.get("page"), 1)))
 
@@ -44,6 +56,19 @@ def types(m: Freight, p: Params) -> DataFrame:
     return A.objects_by_type(m).orderBy("type")
 
 
+def cargo_categories(m: Freight, p: Params) -> DataFrame:
+    return m.category.withColumn("is_hazardous", d.hazard(F.col("hazard_class"))).orderBy("name")
+
+
+def object_detail(m: Freight, p: Params) -> DataFrame:
+    """One facility with its names; a missing one is an error."""
+    rows = m.facility.where(F.col("id") == P.int_param(p.get("id"), -1))
+    if rows.isEmpty():
+        raise NotFound("no such facility")
+    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
+    return rows.join(names, "district_id").select("id", "name", "type", "district", "address", "operating_hours", F.col("capacity_tons").cast("double").alias("capacity"), "lon", "lat")
+
+
 def sources(m: Freight, p: Params) -> DataFrame:
     return m.source.orderBy("name")
 
@@ -111,7 +136,10 @@ def load_index(m: Freight, p: Params) -> DataFrame:
 
 
 def forecast(m: Freight, p: Params) -> DataFrame:
-    return M.forecast(m, P.int_param(p.get("district")), P.int_param(p.get("horizon"), 6)).orderBy("step")
+    found = M.forecast(m, P.int_param(p.get("district")), P.int_param(p.get("horizon"), 6)).orderBy("step")
+    if found.isEmpty():
+        raise Unprocessable("fewer than four months of data")
+    return found
 
 
 def typology(m: Freight, p: Params) -> DataFrame:
@@ -119,7 +147,7 @@ def typology(m: Freight, p: Params) -> DataFrame:
 
 
 ENDPOINTS: dict[str, Callable[[Freight, Params], DataFrame]] = {
-    "districts": districts, "districts/summary": district_summary, "types": types, "sources": sources, "objects": objects, "objects/nearby": nearby,
+    "districts": districts, "districts/summary": district_summary, "types": types, "sources": sources, "cargo-categories": cargo_categories, "objects": objects, "objects/detail": object_detail, "objects/nearby": nearby,
     "roads": roads, "incidents": incidents, "routes": routes, "flows": flows, "etl-runs": etl_runs, "traffic/current": traffic_current,
     "analytics/load-index": load_index, "analytics/forecast": forecast, "analytics/typology": typology,
 }
@@ -132,6 +160,17 @@ def ask(m: Freight, endpoint: str, **params: str) -> DataFrame:
     return ENDPOINTS[endpoint](m, params)
 
 
+def listed(m: Freight, endpoint: str, **params: str) -> DataFrame:
+    """One row: the envelope of a list (count, pages, neighbouring pages) with its page of rows as JSON; a page beyond the end is an error."""
+    size, number = max(1, min(P.int_param(params.get("page_size"), PAGE_SIZE), PAGE_MOST)), max(1, P.int_param(params.get("page"), 1))
+    whole = ask(m, endpoint, **(params | {"page": "1", "page_size": ALL_ROWS}))
+    envelope = P.envelope(whole, size, number)
+    if number > 1 and number > envelope.first()["pages"]:
+        raise NotFound(f"no page {number}")
+    rows = ask(m, endpoint, **params).select(F.struct("*").alias("row"))  # one page at most
+    return envelope.crossJoin(F.broadcast(rows.agg(F.to_json(F.collect_list("row"), {"ignoreNullFields": "false"}).alias("results"))))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Rows as JSON text, nulls written out."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed vocabularies of the model.
+# Fixed vocabularies of the model, and the zone of its local times.
+LOCAL_ZONE = "Europe/Moscow"
 ROAD_CLASSES = ("highway", "arterial", "collector")
 ROUTE_TYPES = ("inbound", "outbound", "transit")
 DIRECTIONS = {"A": "arrival", "N": "transfer", "R": "return"}
@@ -96,6 +97,19 @@ class Freight:
             F.col("l_quantity").cast("long").alias("vehicle_count"), (30 + F.col("l_linenumber") * 5).cast("int").alias("avg_speed_kmh"), "l_orderkey", "l_partkey",
         )
 
+    @cached_property
+    def flow_parts(self) -> DataFrame:
+        """Lines with a category, reduced to their part before the join: no order or customer is needed for it."""
+        lines = self.flow_lines.where(F.col("l_partkey") % 23 != 0).groupBy("l_partkey").agg(
+            F.sum("volume_tons").alias("volume_tons"), F.sum("vehicle_count").alias("vehicle_count"), F.count(F.lit(1)).alias("flows"),
+        )
+        return lines.join(self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category")), "l_partkey")
+
+    @cached_property
+    def category(self) -> DataFrame:
+        """Cargo categories with a hazard class from 0 to 9."""
+        return self.table("part").select(F.col("p_type").alias("name")).distinct().select("name", (F.length("name") % 10).alias("hazard_class"))
+
     @cached_property
     def flow_core(self) -> DataFrame:
         """Flows with their district; orders and customers are reduced to district by order first."""
@@ -117,6 +131,7 @@ class Freight:
             u.alias("id"), F.concat(F.lit("Road "), u.cast("string")).alias("name"), pick(ROAD_CLASSES, u % 3).alias("road_class"),
             null_if(u % 29 == 0, (u % 25).cast("int")).alias("district_id"), (1 + u % 6).cast("int").alias("lanes"),
             (40 + 10 * (u % 7)).cast("int").alias("speed_limit_kmh"), (1 + u % 40).cast("decimal(8,2)").alias("length_km"),
+            null_if(u % 13 == 5, F.format_string("LINESTRING (37.%d 55.%d, 37.%d 55.%d)", 30 + u % 60, 50 + u % 40, 31 + u % 60, 51 + u % 40)).alias("geom"),
         )
 
     @cached_property

@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from freightlens.sources.model import SCHEMAS
+from freightlens.sources.model import LOCAL_ZONE, SCHEMAS
 
 ORDER = tuple(SCHEMAS)
 # The statement's head: a name, quoted or not, that may have a schema before it; a list of columns; then rows of values.
 _NAME = r'(?:"[^"]+"|[A-Za-z_]\w*)'
 HEAD = rf"(?i)^\s*insert\s+into\s+(?:{_NAME}\s*\.\s*)?({_NAME})\s*\(([^()]*)\)\s*values\s*(\(.*)$"
-LOCAL_ZONE = "Europe/Moscow"
 DEFAULTS = {"string": "", "int": 0, "boolean": False}
 _TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")

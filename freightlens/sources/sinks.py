@@ -6,14 +6,16 @@ the rows that such a writer would print.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.functions import derived as d
-from freightlens.functions.geometry import to_geojson
+from freightlens.functions.geometry import geometry_type, rings, to_geojson, vertex_mean
 from freightlens.operators import aggregates as A
 from freightlens.operators.filters import equal_if_given, search
-from freightlens.sources.model import Freight
+from freightlens.sources.model import DIRECTIONS, Freight
 
 MAP_MAX_FEATURES = 5000
 REPORT_ROWS = 400
@@ -99,6 +101,100 @@ def export_objects(m: Freight, district: int | None = None, kind: str | None = N
     return rows.join(F.broadcast(names), "district_id", "left").select("id", "name", "type", "district", F.col("capacity_tons").cast("double").alias("capacity"), d.quotient(F.col("capacity_tons"), F.col("area_sq_m")).alias("utilization"))
 
 
+def export_districts(m: Freight) -> DataFrame:
+    """Districts with their measures and state, by volume."""
+    p = A.district_profiles(m)
+    return p.select(F.col("name").alias("district"), F.col("area_sq_km").cast("double").alias("area"), "population", "objects", "capacity", "volume", "vehicles", "road_km", "congestion", d.congestion_state(F.col("congestion")).alias("state"))
+
+
+def export_roads(m: Freight, district: int | None = None, road_class: str | None = None) -> DataFrame:
+    """Roads with their newest measurement."""
+    now = A.latest_per_road(m).select(F.col("road_id").alias("id"), "level", "speed", "recorded_at")
+    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
+    rows = equal_if_given(m.road, district_id=district, road_class=road_class).join(names, "district_id", "left").join(now, "id", "left")
+    return rows.select("name", "road_class", "district", F.col("length_km").cast("double").alias("length"), "lanes", "speed_limit_kmh", "level", "speed", "recorded_at")
+
+
+def export_incidents(m: Freight, severity: int | None = None) -> DataFrame:
+    """Incidents with road, district, label and hours."""
+    rows = m.incident.where(F.col("severity") >= severity) if severity else m.incident
+    roads = m.road.select(F.col("id").alias("road_id"), F.col("name").alias("road"), "district_id")
+    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
+    hours = d.hours_between(F.col("reported_at"), F.coalesce("resolved_at", m.now()))
+    return rows.join(roads, "road_id", "left").join(names, "district_id", "left").select(
+        "id", "incident_type", "severity", d.severity_label(F.col("severity")).alias("label"), "road", "district", "reported_at", "resolved_at", F.bround(hours, 1).alias("hours"), "affects_cargo",
+    )
+
+
+def export_flows(m: Freight, direction: str | None = None) -> DataFrame:
+    """Flows with labels of month, direction and district."""
+    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair]), F.col("direction"))
+    return equal_if_given(m.flow, direction=direction).join(names, "district_id", "left").select(
+        "id", F.date_format("period_date", "MM.yyyy").alias("period"), label.alias("direction"), "district", "category", F.col("volume_tons").cast("double").alias("volume"), "vehicle_count", "avg_speed_kmh",
+    )
+
+
+def export_routes(m: Freight, kind: str | None = None) -> DataFrame:
+    """Routes with the names of their ends."""
+    ends = m.district.select("id", "name")
+    rows = equal_if_given(m.route, route_type=kind)
+    for end in ("origin", "destination"):
+        rows = rows.join(F.broadcast(ends.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end))), f"{end}_id")
+    return rows.select("id", "route_type", "origin", "destination", F.col("distance_km").cast("long").alias("distance_km"), F.col("duration_h").cast("long").alias("duration_h"), "trucks")
+
+
+def export_totals(m: Freight) -> DataFrame:
+    """Totals under the reports of roads, incidents, flows and routes: name and value, a row each."""
+    parts = [
+        m.road.agg(F.count(F.lit(1)).cast("double").alias("roads"), A.amount("length_km").alias("road km")),
+        m.incident.agg(F.count(F.lit(1)).cast("double").alias("incidents"), F.count_if(F.col("resolved_at").isNull()).cast("double").alias("open incidents"), F.count_if("affects_cargo").cast("double").alias("cargo incidents")),
+        m.flow_lines.agg(F.count(F.lit(1)).cast("double").alias("flows"), A.amount("volume_tons").alias("volume"), A.amount("vehicle_count").alias("vehicles")),
+        m.route.agg(F.count(F.lit(1)).cast("double").alias("routes"), A.amount("trucks").alias("trucks")),
+    ]
+    return reduce(DataFrame.unionByName, [df.unpivot([], df.columns, "name", "value") for df in parts])
+
+
+def road_layer(m: Freight) -> DataFrame:
+    """Map layer of roads with a geometry and their newest state; not capped."""
+    now = A.latest_per_road(m).select(F.col("road_id").alias("id"), "level", "state")
+    rows = m.road.where("geom IS NOT NULL").join(now, "id", "left").withColumns({"kind": geometry_type(F.col("geom")), "shape": rings(F.col("geom"))})
+    return features(rows, ["id", "name", "level", "state"], limit=None)
+
+
+def district_layer(m: Freight) -> DataFrame:
+    """Map layer of district centres with volume."""
+    rows = A.district_profiles(m).withColumns({"kind": F.lit("POINT"), "shape": point_shape()}).orderBy("district_id")
+    return features(rows, ["district_id", "name", "objects", "incidents"])
+
+
+def incident_layer(m: Freight, limit: int | None = MAP_MAX_FEATURES) -> DataFrame:
+    """Map layer of open incidents at the middle of their road, the latest first."""
+    roads = m.road.where("geom IS NOT NULL").select(F.col("id").alias("road_id"), vertex_mean(rings(F.col("geom"))).alias("at"))
+    rows = m.incident.where("resolved_at IS NULL").join(roads, "road_id").withColumns({"kind": F.lit("POINT"), "shape": F.array(F.array("at"))})
+    return features(rows.orderBy(F.desc("reported_at"), F.desc("id")), ["id", "incident_type", "severity"], limit=limit)
+
+
+def route_layer(m: Freight) -> DataFrame:
+    """Map layer of routes as lines between the centres of their ends."""
+    rows = m.route
+    for end in ("origin", "destination"):
+        rows = rows.join(F.broadcast(m.district.select(F.col("id").alias(f"{end}_id"), F.struct("lon", "lat").alias(end))), f"{end}_id")
+    rows = rows.withColumns({"kind": F.lit("LINESTRING"), "shape": F.array(F.array("origin", "destination"))}).orderBy("id")
+    return features(rows, ["id", "route_type", "trucks"])
+
+
+def collection(layer: DataFrame) -> DataFrame:
+    """One FeatureCollection of a capped layer's features, with their count."""
+    body = F.array_join(F.collect_list("feature"), ",")
+    return layer.agg(F.concat(F.lit('{"type":"FeatureCollection","count":'), F.count(F.lit(1)).cast("string"), F.lit(',"features":['), body, F.lit("]}")).alias("collection"))
+
+
+def expired(ledger: DataFrame, now: Column, days: int) -> DataFrame:
+    """Exports in the ledger that are older than so many days."""
+    return ledger.where(F.col("created_at") < now - F.expr(f"INTERVAL '{int(days)}' DAY"))
+
+
 def export_summary(m: Freight) -> DataFrame:
     """Totals under the report of facilities."""
     return m.facility.agg(F.count(F.lit(1)).alias("objects"), A.amount("capacity_tons").alias("capacity"), F.count_if(d.round_the_clock(F.col("operating_hours"))).alias("whole_day"))

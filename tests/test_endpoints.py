@@ -16,7 +16,7 @@ def m(spark, sf_dir):
     return Freight(spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.ENDPOINTS) - {"objects/nearby"}))
+@pytest.mark.parametrize("name", sorted(set(E.ENDPOINTS) - {"objects/nearby", "objects/detail"}))
 def test_every_endpoint_answers_without_parameters(m, name):
     assert E.ask(m, name).limit(1).count() == 1
 
@@ -65,3 +65,20 @@ def test_file_name(spark):
 
 def test_report_is_limited(m):
     assert K.report_rows(m.facility, [F.col("id")], 7).count() == 7
+
+
+def test_lists_have_an_envelope_and_errors(m):
+    row = E.listed(m, "objects", page="2", page_size="20").first()
+    assert (row["count"], row["page"], row["previous"], len(json.loads(row["results"]))) == (m.facility.count(), 2, 1, 20)
+    with pytest.raises(E.NotFound):
+        E.listed(m, "objects", page="9999")
+    with pytest.raises(E.NotFound):
+        E.ask(m, "objects/detail", id="-5")
+    with pytest.raises(E.Unprocessable):
+        E.ask(m, "analytics/forecast", district="99")
+
+
+def test_collections_count_their_features(m):
+    row = K.collection(K.district_layer(m)).first()
+    found = json.loads(row["collection"])
+    assert found["type"] == "FeatureCollection" and found["count"] == len(found["features"]) == 25

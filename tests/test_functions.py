@@ -108,3 +108,35 @@ def test_helpers(spark):
     assert one(spark, d.icon(F.lit("a"), {"a": "A"}, "?")) == "A" and one(spark, d.icon(F.lit("b"), {"a": "A"}, "?")) == "?"
     assert [one(spark, d.file_size(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2,0 KB", "3,0 MB"]
     assert one(spark, d.age_days(F.to_date(F.lit("2025-01-01")), F.to_date(F.lit("2025-01-31")))) == 30
+
+
+def test_slug_of_cyrillic(spark):
+    from pyspark.sql import functions as F
+
+    from freightlens.functions import derived as d
+
+    titles = {"Отчёт: Щёлково, объекты 2025": "otchet-schelkovo-obekty-2025", "???": "report", "Чёрный жук": "chernyy-zhuk"}
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", d.slug(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == titles
+
+
+def test_means_round_ties_to_even(spark):
+    from pyspark.sql import functions as F
+
+    from freightlens.functions import derived as d
+
+    rows = spark.createDataFrame([(17, 8), (19, 8), (1, 3), (0, 0), (5, 1)], "s long, n long").select(d.rounded_mean(F.col("s"), F.col("n")).alias("x")).collect()
+    assert [r.x for r in rows] == [round(17 / 8, 2), round(19 / 8, 2), 0.33, None, 5.0]
+
+
+def test_minutes_and_published(spark):
+    from datetime import datetime as T
+
+    from pyspark.sql import functions as F
+
+    from freightlens.functions import derived as d
+    from freightlens.operators import filters as P
+
+    df = spark.createDataFrame([(1, T(2025, 1, 1, 10), T(2025, 1, 1, 10, 30), True, T(2025, 1, 1)), (2, T(2025, 1, 1), None, True, T(2026, 1, 1)), (3, T(2025, 1, 1), None, False, T(2025, 1, 1))], "id int, a timestamp, b timestamp, is_published boolean, published_at timestamp")
+    assert [r.m for r in df.select(d.minutes_between(F.col("a"), F.col("b")).alias("m")).collect()] == [30.0, None, None]
+    assert [r.id for r in P.published(df, F.lit(T(2025, 6, 1))).collect()] == [1]

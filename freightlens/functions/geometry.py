@@ -27,19 +27,44 @@ def srid(wkt: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(wkt, r"(?i)^\s*SRID\s*=\s*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(4326))
 
 
-def rings(wkt: Column) -> Column:
-    """Rings of points; null for text that isn't a geometry of the four types."""
-    inner = F.regexp_extract_all(wkt, F.lit(rf"\(({_RING})\)"), F.lit(0))
-
+def _ring_list(text: Column) -> Column:
+    """The rings written in a text, in order."""
     def point(text: Column) -> Column:
         part = F.split(F.trim(text), r"\s+")
         return F.struct(part[0].cast("double").alias("lon"), part[1].cast("double").alias("lat"))
 
-    def ring(text: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(text, r"[()]", ""), ","), point)
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(rf"\(({_RING})\)"), F.lit(0)), lambda ring: F.transform(F.split(F.regexp_replace(ring, r"[()]", ""), ","), point),
+    )
+
+
+def rings(wkt: Column) -> Column:
+    """Rings of points, those of all parts in order; null for text that isn't a geometry of the four types."""
+    found = _ring_list(wkt)
+    return F.when(geometry_type(wkt).isNotNull() & (F.size(found) > 0), found)
+
+
+def polygons(wkt: Column) -> Column:
+    """Parts of a polygon or multipolygon, each with its outer ring and its holes; null for other text."""
+    kind, found = geometry_type(wkt), rings(wkt)
+    texts = F.transform(F.split(wkt, r"\)\s*\)\s*,\s*\(\s*\("), lambda t: F.concat(F.lit("("), F.regexp_replace(t, r"^[^\d.+-]*\(+|\)+\s*$", ""), F.lit(")")))
+    return F.when(kind == "POLYGON", F.array(found)).when((kind == "MULTIPOLYGON") & found.isNotNull(), F.transform(texts, _ring_list))
+
 
-    found = F.transform(inner, ring)
-    return F.when(geometry_type(wkt).isNotNull() & (F.size(inner) > 0), found)
+def polygons_to_wkt(parts: Column) -> Column:
+    """WKT of parts with holes; one part is a polygon."""
+    def part(rings: Column) -> Column:
+        return F.concat(F.lit("("), F.array_join(F.transform(rings, _ring_text), ", "), F.lit(")"))
+
+    return F.when(F.size(parts) == 1, F.concat(F.lit("POLYGON "), part(parts[0]))).when(F.size(parts) > 1, F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(parts, part), ", "), F.lit(")")))
+
+
+def polygons_to_geojson(parts: Column) -> Column:
+    """GeoJSON geometry of parts with holes; one part is a polygon."""
+    pairs = F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda x: F.array(x["lon"], x["lat"]))))
+    return F.when(F.size(parts) == 1, F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(pairs[0]), F.lit("}"))).when(
+        F.size(parts) > 1, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(pairs), F.lit("}")),
+    )
 
 
 def vertices(shape: Column) -> Column:
@@ -90,12 +115,13 @@ def _decimal(x: Column) -> Column:
     return F.when(text == "-0", "0").otherwise(text)
 
 
-def to_wkt(kind: Column, shape: Column) -> Column:
-    """WKT with at most six decimals; the rings of a multipolygon are its parts' outer rings."""
-    def ring(points: Column) -> Column:
-        return F.concat(F.lit("("), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", _decimal(p["lon"]), _decimal(p["lat"]))), ", "), F.lit(")"))
+def _ring_text(points: Column) -> Column:
+    return F.concat(F.lit("("), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", _decimal(p["lon"]), _decimal(p["lat"]))), ", "), F.lit(")"))
 
-    texts = F.transform(shape, ring)
+
+def to_wkt(kind: Column, shape: Column) -> Column:
+    """WKT with at most six decimals; the rings of a multipolygon are its parts' outer rings (``polygons_to_wkt`` keeps holes)."""
+    texts = F.transform(shape, _ring_text)
     return (
         F.when(kind.isin("POINT", "LINESTRING"), F.concat_ws(" ", kind, texts[0]))
         .when(kind == "POLYGON", F.concat(kind, F.lit(" ("), F.array_join(texts, ", "), F.lit(")")))
@@ -115,15 +141,18 @@ def to_geojson(kind: Column, shape: Column) -> Column:
 
 
 def from_geojson(text: Column) -> Column:
-    """WKT of a GeoJSON point or line, bare or inside a feature; null for anything else."""
+    """WKT of a GeoJSON point, line, polygon or multipolygon, bare or inside a feature; null for anything else."""
     body = F.coalesce(F.get_json_object(text, "$.geometry"), text)
     kind, raw = F.get_json_object(body, "$.type"), F.get_json_object(body, "$.coordinates")
-    one = F.from_json(raw, "array<double>")
-    many = F.from_json(raw, "array<array<double>>")
-    pair = lambda p: F.concat_ws(" ", _decimal(p[0]), _decimal(p[1]))
+    read = lambda depth: F.from_json(raw, "array<" * depth + "double" + ">" * depth)
+    pair = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
+    line = lambda r: F.transform(r, pair)
+    part = lambda p: F.transform(p, line)
     return (
-        F.when(kind == "Point", F.concat(F.lit("POINT ("), pair(one), F.lit(")")))
-        .when(kind == "LineString", F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(many, pair), ", "), F.lit(")")))
+        F.when(kind == "Point", F.concat(F.lit("POINT "), _ring_text(F.array(pair(read(1))))))
+        .when(kind == "LineString", F.concat(F.lit("LINESTRING "), _ring_text(line(read(2)))))
+        .when(kind == "Polygon", polygons_to_wkt(F.array(part(read(3)))))
+        .when(kind == "MultiPolygon", polygons_to_wkt(F.transform(read(4), part)))
     )
 
 
@@ -137,6 +166,13 @@ def meets_box(own: Column, box: tuple[float, float, float, float]) -> Column:
     return (own["min_lon"] <= box[2]) & (own["max_lon"] >= box[0]) & (own["min_lat"] <= box[3]) & (own["max_lat"] >= box[1])
 
 
+def of_shape(df: DataFrame, wkt: str) -> DataFrame:
+    """Add ``lon`` and ``lat``, the vertex mean of a geometry of any kind, and ``box``, its bounds; both null without one."""
+    shape = rings(F.col(wkt))
+    mid = vertex_mean(shape)
+    return df.withColumns({"lon": mid["lon"], "lat": mid["lat"], "box": bounds(shape)})
+
+
 def nearest(df: DataFrame, lon: float, lat: float, radius_km: float, limit: int, key: str = "id") -> DataFrame:
     """Rows within a radius by distance: a box that the scan can use, the distance, then a top-k."""
     import math

@@ -119,11 +119,18 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series([[{"fields": f, "error": e} for f, e in parse_rows(c, v)] for c, v in zip(columns, values, strict=True)])
 
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    width = spark.sparkContext.defaultParallelism
+    if len(text.inputFiles()) < width:  # few files make few partitions; their lines are spread over all cores
+        text = text.repartition(width)
     part = lambda i: F.regexp_extract("value", HEAD, i)
-    found = text.where(F.col("value").rlike(HEAD)).select("line", F.lower(F.replace(part(1), F.lit('"'), F.lit(""))).alias("table"), F.posexplode(parse(part(2), part(3))).alias("nth", "row"))
+    name = F.lower(F.replace(part(1), F.lit('"'), F.lit("")))
+    lines = text.where(F.col("value").rlike(HEAD))
+    present = {r[0] for r in lines.select(name.alias("table")).where(F.col("table").isin(*SCHEMAS)).distinct().collect()}  # known tables only
+    found = lines.select("line", name.alias("table"), F.posexplode(parse(part(2), part(3))).alias("nth", "row"))
     rows = found.select("line", "nth", "table", "row.fields", "row.error")
     misfit = F.lit(None).cast("string")
-    for table, ddl in SCHEMAS.items():
+    for table in present:
+        ddl = SCHEMAS[table]
         wrong = F.concat_ws(", ", *[F.when(F.try_element_at("fields", F.lit(f.name)).isNotNull() & _typed(f).isNull(), f.name) for f in T.StructType.fromDDL(ddl).fields])
         misfit = F.when((F.col("table") == table) & (wrong != ""), F.concat(F.lit("misfit in "), wrong)).otherwise(misfit)
     return rows.withColumn("error", F.coalesce("error", misfit))
@@ -168,8 +175,10 @@ def load(spark: SparkSession, path: str, out_dir: str) -> DataFrame:
     rows = read_script(spark, path).persist()
     try:
         found = journal(rows).collect()  # a row a table
-        for table in ORDER:
-            typed_table(rows, table).write.mode("overwrite").parquet(f"{out_dir}/{table}.parquet")
+        present = {r["table"] for r in found}
+        for table in ORDER:  # a table that the script doesn't name becomes empty
+            new = typed_table(rows, table) if table in present else spark.createDataFrame([], SCHEMAS[table]).coalesce(1)
+            new.write.mode("overwrite").parquet(f"{out_dir}/{table}.parquet")
     finally:
         rows.unpersist()
     log, errors = f"{out_dir}/etl_log.parquet", sum(r["records_errors"] for r in found)

@@ -140,3 +140,29 @@ def test_minutes_and_published(spark):
     df = spark.createDataFrame([(1, T(2025, 1, 1, 10), T(2025, 1, 1, 10, 30), True, T(2025, 1, 1)), (2, T(2025, 1, 1), None, True, T(2026, 1, 1)), (3, T(2025, 1, 1), None, False, T(2025, 1, 1))], "id int, a timestamp, b timestamp, is_published boolean, published_at timestamp")
     assert [r.m for r in df.select(d.minutes_between(F.col("a"), F.col("b")).alias("m")).collect()] == [30.0, None, None]
     assert [r.id for r in P.published(df, F.lit(T(2025, 6, 1))).collect()] == [1]
+
+
+def test_holes_and_parts_stay(spark):
+    from pyspark.sql import functions as F
+
+    from freightlens.functions import geometry as g
+
+    ring, hole, far = "(0 0, 4 0, 4 4, 0 0)", "(1 1, 2 1, 2 2, 1 1)", "(9 9, 10 9, 10 10, 9 9)"
+    texts = {f"POLYGON ({ring}, {hole})": 1, f"MULTIPOLYGON (({ring}, {hole}), ({far}))": 2, f"multipolygon((({ring[1:-1]}),{hole}) , ({far}))": 2, "POINT (1 2)": None}
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(g.polygons(c)).alias("n"), g.polygons_to_wkt(g.polygons(c)).alias("wkt"), g.from_geojson(g.polygons_to_geojson(g.polygons(c))).alias("back")).collect()
+    for r in rows:
+        want = texts[r.t]
+        assert (r.n if r.n != -1 else None) == want
+        if want:
+            assert r.wkt == r.back == (f"POLYGON ({ring}, {hole})" if want == 1 else f"MULTIPOLYGON (({ring}, {hole}), ({far}))")
+
+
+def test_boxes_and_distances_of_any_shape(spark):
+    from pyspark.sql import functions as F
+
+    from freightlens.functions import geometry as g
+
+    df = g.of_shape(spark.createDataFrame([(1, "LINESTRING (37 55, 38 56)"), (2, "POLYGON ((40 60, 41 60, 41 61, 40 60))"), (3, None)], "id int, w string"), "w")
+    assert [r.id for r in df.where(g.meets_box(F.col("box"), (37.9, 55.9, 39.0, 57.0))).collect()] == [1]
+    assert [r.id for r in g.nearest(df, 37.5, 55.5, 25, 5).collect()] == [1]

@@ -119,9 +119,6 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series([[{"fields": f, "error": e} for f, e in parse_rows(c, v)] for c, v in zip(columns, values, strict=True)])
 
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    width = spark.sparkContext.defaultParallelism
-    if len(text.inputFiles()) < width:  # few files make few partitions; their lines are spread over all cores
-        text = text.repartition(width)
     part = lambda i: F.regexp_extract("value", HEAD, i)
     name = F.lower(F.replace(part(1), F.lit('"'), F.lit("")))
     lines = text.where(F.col("value").rlike(HEAD))

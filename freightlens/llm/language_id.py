@@ -21,7 +21,6 @@ import hashlib
 import math
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,19 +44,22 @@ LONGEST_KEPT = 64
 #: How fast the score falls with every phrase more.
 SHARPNESS = 0.5
 
-# digits and signs of number that aren't decimal digits (as one half or Roman numerals) are word characters, but no letters
-_NUMBERS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _FIELD = 48
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    words = _WORD.findall(text)
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # signs of number that aren't decimal digits (as one half or Roman numerals) are word characters, but no letters
+    return [own for word in words for own in ("".join(c if c.isalpha() else " " for c in word).split() if not word.isalpha() else (word,))]
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as states with sorted edges."""
+    """All substrings of a text, as states whose edges (a letter and a state) stand together."""
 
     def __init__(self, text: str) -> None:
         link, length, ways = [-1], [0], [{}]
@@ -85,40 +87,38 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.codes = {c: i for i, c in enumerate(sorted(set(text)))}
-        self.first, self.letters, self.to = array("i", [0]), array("i"), array("i")
-        for out in ways:  # a state's edges are sorted by character
-            for code, to in sorted((self.codes[c], to) for c, to in out.items()):
-                self.letters.append(code)
-                self.to.append(to)
+        letters: list[str] = []
+        self.first, self.to = array("i", [0]), array("i")
+        for out in ways:  # a state's edges stand together
+            letters.extend(out)
+            self.to.extend(out.values())
             self.first.append(len(self.to))
+        self.letters = "".join(letters)
 
     def plain(self) -> tuple:
         """The automaton in built-in types."""
-        return self.codes, self.first, self.letters, self.to
+        return self.first, self.letters, self.to
 
     @classmethod
     def of(cls, parts: tuple) -> SuffixAutomaton:
         """An automaton from its parts."""
         made = cls.__new__(cls)
-        made.codes, made.first, made.letters, made.to = parts
+        made.first, made.letters, made.to = parts
         return made
 
     def phrases(self, text: str) -> int:
         """Longest matches that a greedy parse of ``text`` takes; a character never seen is one."""
-        codes, first, letters, ways = self.codes, self.first, self.letters, self.to
-        count = state = 0
+        first, find, ways = self.first, self.letters.find, self.to
+        count, state, top = 0, 0, first[1]
         for c in text:
-            code = codes.get(c, -1)
-            if code < 0:
-                count += 1 + (state > 0)
-                state = 0
-                continue
-            end = first[state + 1]
-            at = bisect_left(letters, code, first[state], end)
-            if at == end or letters[at] != code:
-                count += 1
-                at = code  # every character has an edge from the beginning
+            at = find(c, first[state], first[state + 1])
+            if at < 0:
+                count += state > 0
+                at = find(c, 0, top)  # every known character has an edge from the beginning
+                if at < 0:
+                    count += 1
+                    state = 0
+                    continue
             state = ways[at]
         return count + (state > 0)
 

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -333,22 +333,24 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     return of_doc.join(late, "key", "left").select("key", F.concat(early, F.coalesce("late", F.array())).alias("runs"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``body`` (UTF-8 bytes), ``key``, a number that orders the documents, and ``hash`` if rows may be equal.
+def keyed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows of ``key`` (a number that orders the documents) and ``body`` (UTF-8 bytes), and the column of them that is doc_id.
 
-    Where no doc_id comes twice (null counts as an id, as the last), it's the key itself. Otherwise rows
+    Where no doc_id comes twice (null counts as an id, as the last), it's the key itself, and nothing else is carried:
+    so the texts are shuffled once for both joins that need them. Otherwise rows (with ``doc_id`` and ``hash``)
     are ordered by doc_id and 128 bits of the text's hash and numbered in that order, through a sort of the ids and
     hashes alone; rows equal in both are one document.
     """
     body = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.col("doc_id").cast("long"), body.alias("body")).withColumn("key", F.coalesce("doc_id", last))
-    if not rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return rows
-    named = rows.select("doc_id", "body", "key", F.col("doc_id").isNull().alias("none"), F.md5("body").alias("hash"))
+    last, own = F.lit((1 << 63) - 1), F.col("doc_id").cast("long")
+    key = F.coalesce(own, last)
+    most, none = docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_if(own.isNull()).alias("none")).agg(F.max("n"), F.max("none")).first()
+    if (most or 0) <= 1:
+        return docs.select(key.alias("key"), body.alias("body")), F.when(F.col("key") != last, F.col("key")) if none else F.col("key")
+    named = docs.select(own.alias("doc_id"), body.alias("body"), key.alias("key")).withColumns({"none": F.col("doc_id").isNull(), "hash": F.md5("body")})
     names = named.select("key", "none", "hash").distinct().repartitionByRange(shuffle_width(docs.sparkSession), "key", "none", "hash")
     numbered = cut_lineage(names.sortWithinPartitions("key", "none", "hash").withColumn("number", F.monotonically_increasing_id()))
-    return named.join(numbered, ["key", "none", "hash"]).select("doc_id", "body", F.col("number").alias("key"), "hash")
+    return named.join(numbered, ["key", "none", "hash"]).select("doc_id", "body", F.col("number").alias("key"), "hash"), F.col("doc_id")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -361,7 +363,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     share a doc_id only (or have none) are ordered by the text's MD5. Null texts are empty. Other columns are
     ignored; an empty table gives no rows.
     """
-    rows = keyed(docs)
+    rows, doc_id = keyed(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,8 +389,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names[: len(types)])
 
-    documents = rows.select("key", "body") if "hash" not in rows.columns else rows.groupBy("key").agg(F.first("body").alias("body"))
-    return rows.join(removed_windows(documents), "key", "left").select("doc_id", "body", "runs").mapInArrow(apply, schema)
+    documents = rows if "hash" not in rows.columns else rows.groupBy("key").agg(F.first("body").alias("body"))
+    return rows.join(removed_windows(documents), "key", "left").select(doc_id.alias("doc_id"), "body", "runs").mapInArrow(apply, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,14 @@ def test_rows_that_share_an_id(spark):
 def test_the_largest_id_stays(spark):
     docs = spark.createDataFrame([((1 << 63) - 1, "x"), (1, "y")], "doc_id long, text string")
     assert sorted(r.doc_id for r in suffix_merge.remove_repeats(docs).collect()) == [1, (1 << 63) - 1]
+
+
+def test_the_texts_are_shuffled_once(spark, capsys):
+    shared = "the same passage in all of them " * 5
+    rows = [(None if i == 3 else i, f"{i} {shared}") for i in range(8)]
+    found = suffix_merge.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True)
+    want = plain(rows)
+    assert sorted((str(x.doc_id), bytes(x.kept)) for x in found.collect()) == sorted((str(d), want[d, t]) for d, t in rows)
+    capsys.readouterr()
+    found.explain("simple")
+    assert any("ReusedExchange" in line and "body#" in line for line in capsys.readouterr().out.splitlines())

@@ -1,6 +1,7 @@
 """Held-out accuracy, the step rule against its formula, scores against a plain sum, and awkward rows."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -60,8 +61,14 @@ def test_scores_are_sums_of_distinct_features(monkeypatch):
 
 def test_planted_words_anywhere(spark):
     """A toxic word late in a very long text counts; clean texts are left alone."""
-    docs = [(i, f"fine words here {'and there ' * (i % 7)}{'you fool' if i % 4 == 0 else ''} again") for i in range(400)]
-    docs += [(1000, "fine words here and there again " * 20_000 + "you fool"), (1001, "fine words here and there again " * 20_000)]
+    r = random.Random(4)
+
+    def text(words, toxic):
+        found = [f"word{r.randrange(200)}" for _ in range(words)]
+        return " ".join([*found[: words // 2], *["Fool,"] * toxic, *found[words // 2 :]])
+
+    docs = [(i, text(r.randrange(5, 60), i % 4 == 0)) for i in range(400)]
+    docs += [(1000, text(100_000, True)), (1001, text(100_000, False))]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     model = toxicity.train(frame, labels(spark, [(i, int(i % 4 == 0), 0.0) for i in range(400)]))
     found = {r.doc_id: r.predicted for r in toxicity.classify(frame, model).collect()}

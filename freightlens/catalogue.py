@@ -110,10 +110,10 @@ def recent_incidents(m: Freight) -> DataFrame:
 
 
 def same_district_objects(m: Freight) -> DataFrame:
-    """For every facility the six largest others of its district; seven a district suffice, so few rows are broadcast."""
+    """For every facility the six largest others of its district; seven a district suffice, so no pairs of all facilities are formed."""
     f = m.facility.select("id", "district_id", F.coalesce("capacity_tons", F.lit(-1)).cast("double").alias("c"))
     best = P.top_per_group(f.select(F.col("id").alias("other_id"), "district_id", "c"), "district_id", [F.desc("c"), F.col("other_id")], 7, "r").drop("r")
-    pairs = f.select("id", "district_id").join(F.broadcast(best), "district_id").where("id <> other_id")
+    pairs = f.select("id", "district_id").join(best, "district_id").where("id <> other_id")
     return P.top_per_group(pairs, "id", [F.desc("c"), F.col("other_id")], 6).select("id", "other_id", "rank")
 
 
@@ -163,7 +163,7 @@ def month_labels(m: Freight) -> DataFrame:
 def fk_labels(m: Freight) -> DataFrame:
     names = m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district"))
     sources = m.source.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    return m.facility.join(F.broadcast(names), "district_id").join(F.broadcast(sources), "source_id", "left").select("id", "district", "source")
+    return m.facility.join(names, "district_id").join(sources, "source_id", "left").select("id", "district", "source")
 
 
 def roads_latest(m: Freight) -> DataFrame:
@@ -242,12 +242,14 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
     "constraint_checks": A.constraint_checks, "load_index": M.load_index, "index_summary": M.index_summary, "regression": lambda m: M.monthly_regression(m).select("n", F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("r2", 6).alias("r2")), "forecast": M.forecast,
     "forecast_quality": M.forecast_quality, "scenario": M.scenario, "scenario_summary": M.scenario_summary, "compare": lambda m: M.compare(m, [3, 12, 3, 99, 7]),
     "typology": M.typology, "typology_clusters": M.typology_clusters, "kmeans_assign": M.embedding_clusters, "export_summary": K.export_summary, "chart_series": K.chart_series, "facility_layer": K.facility_layer,
-    "road_layer": K.road_layer, "district_layer": K.district_layer, "incident_layer": K.incident_layer, "route_layer": K.route_layer, "layer_collection": lambda m: K.collection(K.route_layer(m)).select(F.get_json_object("collection", "$.count").cast("long").alias("features")),
+    "road_layer": K.road_layer, "district_layer": K.district_layer, "incident_layer": K.incident_layer, "route_layer": K.route_layer, "layer_collection": lambda m: K.collection(K.district_layer(m)), "area_layer": K.area_layer, "forecast_chart": K.forecast_chart, "report_note": lambda m: K.report_note(m.run), "open_incident_layer": lambda m: K.incident_layer(m, state="open", cargo=True),
+    "titled_features": lambda m: K.titled_features(m.road, {"name": "Name", "lanes": "Lanes", "length_km": "Length, km"}), "run_states": lambda m: m.run.groupBy("status").agg(F.count(F.lit(1)).alias("runs")),
+    "geojson_head": lambda m: K.file_head(K.titled_features(m.road, {"name": "Name"}), "Roads", "freightlens", m.now()),
     "export_districts": K.export_districts, "export_roads": K.export_roads, "export_incidents": K.export_incidents, "export_flows": K.export_flows, "export_routes": K.export_routes, "export_totals": K.export_totals,
     "same_road_incidents": A.same_road_incidents, "reference_counts": A.reference_counts, "quality_total": A.quality_total,
     "api_district_summary": lambda m: ask(m, "districts/summary").withColumn("area_sq_km", F.col("area_sq_km").cast("double")), "api_types": lambda m: ask(m, "types"), "api_sources": lambda m: ask(m, "sources"),
     "api_cargo_categories": lambda m: ask(m, "cargo-categories"), "api_object_detail": lambda m: ask(m, "objects/detail", id="42"),
-    "api_load_index": lambda m: ask(m, "analytics/load-index"), "api_object_list": lambda m: listed(m, "objects", page="2", page_size="20").drop("results"),
+    "api_load_index": lambda m: ask(m, "analytics/load-index"), "api_object_list": lambda m: listed(m, "objects", page="2", page_size="20"), "api_typology": lambda m: ask(m, "analytics/typology", k="3"),
     "api_districts": lambda m: ask(m, "districts"), "api_objects": lambda m: ask(m, "objects", q="street 1", page="2", page_size="20"),
     "api_nearby": lambda m: ask(m, "objects/nearby", lon="37.6", lat="55.7", radius="99", limit="30"), "api_roads": lambda m: ask(m, "roads", **{"class": "arterial"}),
     "api_incidents": lambda m: ask(m, "incidents", state="open", severity="3", cargo="1"), "api_routes": lambda m: ask(m, "routes", type="transit", page_size="9999"),

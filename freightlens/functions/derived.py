@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +96,17 @@ def hazard(hazard_class: Column) -> Column:
     return F.coalesce(hazard_class, F.lit(0)) > 0
 
 
+# Names of the hazard classes; 0 is no hazard.
+HAZARDS = {0: "not hazardous", 1: "explosives", 2: "gases", 3: "flammable liquids", 4: "flammable solids", 5: "oxidisers", 6: "toxic substances", 7: "radioactive material", 8: "corrosives", 9: "other hazards"}
+
+
+def hazard_label(hazard_class: Column) -> Column:
+    """Name of a hazard class; a class without a name is told by its number, a missing one is 0."""
+    known = F.create_map(*[F.lit(x) for pair in HAZARDS.items() for x in pair])
+    own = F.coalesce(hazard_class.cast("int"), F.lit(0))
+    return F.coalesce(F.try_element_at(known, own), F.concat(F.lit("class "), own.cast("string")))
+
+
 def target_label(target: Column) -> Column:
     """Loader target: a script run, a known table, or the raw name."""
     return F.when(F.startswith(target, F.lit("seed:")), F.concat(F.lit("script "), F.substring_index(target, ":", -1))).otherwise(F.replace(target, F.lit("_"), F.lit(" ")))
@@ -143,6 +157,14 @@ def slug(x: Column, longest: int = 60) -> Column:
     return F.coalesce(F.nullif(F.substring(parts, 1, longest), F.lit("")), F.lit("report"))
 
 
+def compatible(x: Column) -> Column:
+    """Text with compatible forms (wide letters, ligatures, superscripts) replaced by plain ones, which no built-in function does."""
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(plain, "string")(x)
+
+
 def paragraphs(x: Column) -> Column:
     """Non-empty trimmed paragraphs."""
     return F.filter(F.transform(F.split(x, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")

@@ -130,7 +130,7 @@ def to_wkt(kind: Column, shape: Column) -> Column:
 
 
 def to_geojson(kind: Column, shape: Column) -> Column:
-    """GeoJSON geometry text; null without a shape."""
+    """GeoJSON geometry text of parsed rings; null without a shape. A multipolygon's rings are its parts' outer rings (``wkt_to_geojson`` keeps holes)."""
     names = {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon", "MULTIPOLYGON": "MultiPolygon"}
     pairs = F.transform(shape, lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
     out = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -140,6 +140,19 @@ def to_geojson(kind: Column, shape: Column) -> Column:
     return out
 
 
+def wkt_to_geojson(wkt: Column) -> Column:
+    """GeoJSON geometry of any of the four types; a multipolygon keeps its parts and their holes."""
+    kind, shape = geometry_type(wkt), rings(wkt)
+    pairs = F.transform(polygons(wkt), lambda p: F.transform(p, lambda r: F.transform(r, lambda x: F.array(x["lon"], x["lat"]))))
+    many = F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(pairs), F.lit("}"))
+    return F.when(kind == "MULTIPOLYGON", F.when(shape.isNotNull(), many)).otherwise(to_geojson(kind, shape))
+
+
+def map_centre(centre: Column, boundary: Column) -> Column:
+    """Where a district is marked: its centre, else the vertex mean of its boundary, else nowhere."""
+    return F.coalesce(vertex_mean(rings(centre)), vertex_mean(rings(boundary)))
+
+
 def from_geojson(text: Column) -> Column:
     """WKT of a GeoJSON point, line, polygon or multipolygon, bare or inside a feature; null for anything else."""
     body = F.coalesce(F.get_json_object(text, "$.geometry"), text)

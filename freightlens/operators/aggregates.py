@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from freightlens.functions import derived as d
 from freightlens.operators.filters import latest, null_or_empty, since, top_per_group
+from freightlens.operators.intervals import first_in_windows
 from freightlens.sources.model import DIRECTIONS, LOCAL_ZONE, Freight
 
 
@@ -128,22 +129,31 @@ def etl_health(m: Freight) -> DataFrame:
 
 
 def source_usage(m: Freight) -> DataFrame:
-    """Run statistics and uses of every source, those without any included."""
+    """Run statistics of every source, those without any included, and its uses in six tables.
+
+    Each table is reduced to a row a source before the joins, in one pass a table.
+    """
     runs = m.run.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("records_loaded").alias("loaded"), F.sum("records_errors").alias("errors"), F.max("started_at").alias("last_run"),
     )
-    uses = m.facility.where("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias("facilities"))
+    used = {"facilities": m.facility, "roads": m.road, "routes": m.route, "flows": m.flow_lines, "conditions": m.condition, "incidents": m.incident}
+    counts = [df.where("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias(name)) for name, df in used.items()]
     base = m.source.withColumnRenamed("id", "source_id")
-    out = base.join(runs, "source_id", "left").join(uses, "source_id", "left").fillna(0, ["runs", "loaded", "errors", "facilities"])
+    out = reduce(lambda a, b: a.join(b, "source_id", "left"), [runs, *counts], base).fillna(0, ["runs", "loaded", "errors", *used])
     return out.withColumn("error_percent", d.error_rate(F.col("errors"), F.col("loaded")))
 
 
 def coverage(m: Freight) -> DataFrame:
-    """Rows and located rows of each table."""
-    def counted(name: str, df: DataFrame, place: str | None) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("total"), (F.count(place) if place else F.lit(0)).cast("long").alias("located")).withColumn("table", F.lit(name))
+    """Rows of six tables and those with a geometry; tables without geometry have no such number."""
+    def counted(name: str, df: DataFrame, place: Column | None) -> DataFrame:
+        located = F.lit(None) if place is None else F.count_if(place)
+        return df.agg(F.count(F.lit(1)).alias("total"), located.cast("long").alias("located")).withColumn("table", F.lit(name))
 
-    parts = [("facility", m.facility, "lon"), ("road", m.road, "district_id"), ("route", m.route, None), ("incident", m.incident, "road_id"), ("district", m.district, "lon"), ("flow", m.flow_lines, None)]
+    routes = m.route.join(m.district.select(F.col("id").alias("origin_id"), F.col("lon").alias("from_lon")), "origin_id", "left")
+    parts = [
+        ("facility", m.facility, F.col("lon").isNotNull()), ("road", m.road, F.col("geom").isNotNull()), ("route", routes, F.col("from_lon").isNotNull()),
+        ("incident", m.incident, F.col("lon").isNotNull()), ("flow", m.flow_lines, None), ("condition", m.condition, None),
+    ]
     return reduce(DataFrame.unionByName, [counted(*p) for p in parts])
 
 
@@ -177,17 +187,14 @@ def related_counts(m: Freight) -> DataFrame:
 
 
 def incident_window(m: Freight, hours: int = 6, most: int = 120) -> DataFrame:
-    """Measurements of each incident's road from some hours before it to some hours after its end.
-
-    An incident stands for each hour of its window and meets measurements of its road and hour only, so the join
-    doesn't grow with the road's history.
-    """
+    """The first measurements of each incident's road from some hours before it to some hours after its end."""
     gap = F.expr(f"INTERVAL '{hours}' HOUR")
-    i = m.incident.where("road_id IS NOT NULL").select(F.col("id").alias("incident_id"), "road_id", (F.col("reported_at") - gap).alias("low"), (F.coalesce("resolved_at", m.now()) + gap).alias("high"))
-    i = i.withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "low"), F.date_trunc("hour", "high"), F.expr("INTERVAL '1' HOUR"))))
-    c = m.condition.select(F.col("id").alias("condition_id"), "road_id", "recorded_at", "level", F.date_trunc("hour", "recorded_at").alias("hour"))
-    near = i.join(c, ["road_id", "hour"]).where(F.col("recorded_at").between(F.col("low"), F.col("high")))
-    return top_per_group(near, "incident_id", [F.col("recorded_at"), F.col("condition_id")], most).select("incident_id", "condition_id", "recorded_at", "level", "rank")
+    windows = m.incident.select(F.col("id").alias("window_id"), "road_id", (F.col("reported_at") - gap).alias("low"), (F.coalesce("resolved_at", m.now()) + gap).alias("high"))
+    # the level travels with the id, which decides the order
+    points = m.condition.select(F.struct(F.col("id"), F.col("level")).alias("point_id"), "road_id", F.col("recorded_at").alias("at"))
+    windows = windows.withColumn("window_id", F.struct(F.col("window_id").alias("id"), F.lit(None).cast("int").alias("level")))
+    found = first_in_windows(windows, points, "road_id", most)
+    return found.select(F.col("window_id.id").alias("incident_id"), F.col("point_id.id").alias("condition_id"), F.col("at").alias("recorded_at"), F.col("point_id.level").alias("level"), "rank")
 
 
 def same_road_incidents(m: Freight, k: int = 6) -> DataFrame:
@@ -210,7 +217,7 @@ def similar_routes(m: Freight, k: int = 6) -> DataFrame:
     The k + 1 busiest routes of each type suffice, so no pair of all routes is formed.
     """
     best = top_per_group(m.route.select(F.col("id").alias("other_id"), "route_type", F.col("trucks").alias("other_trucks")), "route_type", [F.desc("other_trucks"), F.col("other_id")], k + 1, "r").drop("r")
-    pairs = m.route.select("id", "route_type").join(F.broadcast(best), "route_type").where("id <> other_id")
+    pairs = m.route.select("id", "route_type").join(best, "route_type").where("id <> other_id")
     return top_per_group(pairs, "id", [F.desc("other_trucks"), F.col("other_id")], k).select("id", "other_id", "other_trucks", "rank")
 
 

@@ -16,24 +16,30 @@ _VIEWS = {
         case when c_custkey%10<>9 then (c_custkey%8)::int end source_id from customer""",
     "flow": """select l_orderkey*8+l_linenumber id, cast(l_shipdate as date) period_date, c_nationkey::int district_id,
         case when l_partkey%23<>0 then p_type end category, l_returnflag direction, cast(l_extendedprice as decimal(14,2)) volume_tons,
-        cast(l_quantity as bigint) vehicle_count, (30+l_linenumber*5)::int avg_speed_kmh
+        cast(l_quantity as bigint) vehicle_count, (30+l_linenumber*5)::int avg_speed_kmh,
+        case when l_linenumber<>7 then (l_suppkey%8)::int end source_id
         from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey join part on l_partkey=p_partkey""",
     "road": """select distinct user_id id, 'Road '||user_id "name", case user_id%3 when 0 then 'highway' when 1 then 'arterial' else 'collector' end road_class,
         case when user_id%29<>0 then (user_id%25)::int end district_id, (1+user_id%6)::int lanes, (40+10*(user_id%7))::int speed_limit_kmh,
         cast(1+user_id%40 as decimal(8,2)) length_km,
-        case when user_id%13<>5 then 'LINESTRING (37.'||(30+user_id%60)||' 55.'||(50+user_id%40)||', 37.'||(31+user_id%60)||' 55.'||(51+user_id%40)||')' end geom from events""",
-    "condition": """select *, (60-4*"level")::int speed from (select event_id id, user_id road_id, ts recorded_at, least(10, floor(value/20)::int)::int "level" from events)""",
+        case when user_id%13<>5 then 'LINESTRING (37.'||(30+user_id%60)||' 55.'||(50+user_id%40)||', 37.'||(31+user_id%60)||' 55.'||(51+user_id%40)||')' end geom, case when user_id%9<>8 then (user_id%8)::int end source_id from events""",
+    "condition": """select *, (60-4*"level")::int speed from (select event_id id, user_id road_id, ts recorded_at, least(10, floor(value/20)::int)::int "level",
+        case when event_id%11<>7 then (event_id%8)::int end source_id from events)""",
     "incident": """select event_id id, ts reported_at, case when event_id%4<>0 then ts+to_hours(k) end resolved_at, 'type '||(k%6) incident_type, (1+k%5)::int severity,
-        case when event_id%31<>0 then user_id end road_id, k%2=1 affects_cargo
+        case when event_id%31<>0 then user_id end road_id, k%2=1 affects_cargo,
+        case when event_id%37<>0 then cast(37.3 as double)+cast((event_id*7919)%1000 as double)/cast(1000 as double)*cast(0.6 as double) end lon,
+        case when event_id%37<>0 then cast(55.5 as double)+cast((event_id*104729)%1000 as double)/cast(1000 as double)*cast(0.5 as double) end lat, case when event_id%5<>4 then (event_id%8)::int end source_id
         from (select *, cast(json_extract_string(props,'$.k') as int) k from events where event_type='error')""",
     "run": """select o_orderkey id, (o_custkey%8)::int source_id, o_orderdate started_at, case o_orderstatus when 'F' then 'success' when 'O' then 'failed' when 'P' then 'partial' end status,
         floor(o_totalprice)::bigint records_loaded, (o_orderkey%13)::bigint records_errors from orders""",
     "route": """select c*100+s id, c origin_id, s destination_id, case (c+s)%3 when 0 then 'inbound' when 1 then 'outbound' else 'transit' end route_type, 50+(c*s*13)%900 distance_km,
-        case when (c+s)%9<>4 then 2+(c+s)%12 end duration_h, trucks from (select c_nationkey::int c, s_nationkey::int s, count(*) trucks
+        case when (c+s)%9<>4 then 2+(c+s)%12 end duration_h, trucks,
+        case when (c*7+s)%11<>3 then [round(37.3+(c%5)*0.12+((s%5)-(c%5))*0.12*i/4,4)::double for i in [0,2,4]] end xs, case when (c*7+s)%11<>3 then [round(55.5+(c//5)*0.1+((s//5)-(c//5))*0.1*i/4,4)::double for i in [0,2,4]] end ys,
+        case when (c*s)%7<>6 then ((c+s)%8)::int end source_id from (select c_nationkey::int c, s_nationkey::int s, count(*) trucks
         from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey join supplier on l_suppkey=s_suppkey group by 1,2)""",
     "subscription": """select n*5+s id, case when (n*5+s)%5<>0 then n end district_id, s min_severity, n%2=1 cargo_only, n%3<>0 is_active
         from (select n_nationkey::int n, unnest(range(1,6))::int s from nation)""",
-    "source": """select i::int id, 'source '||i "name", i<>5 is_active from range(8) t(i)""",
+    "source": """select i::int id, 'source '||i "name", i<>5 is_active from (select distinct o_custkey%8 i from orders)""",
     "category": """select distinct p_type "name", (length(p_type)%10)::int hazard_class from part""",
     "clock": "select max(ts) tick from events",
 }
@@ -157,8 +163,8 @@ ORACLES: dict[str, str] = {
     "daily_profile_dense": _with(f"select h::int \"hour\", x \"level\", coalesce(n,0)::bigint samples from range(24) t(h) left join (select extract(hour from recorded_at+interval 3 hour) hh, {_MEAN2.format('\"level\"')} x, count(*) n from condition, clock where recorded_at>=tick-interval 14 day group by 1) on h=hh", "condition", "clock"),
     "peak_hour": _with(f"select h::int \"hour\", x \"level\" from (select extract(hour from recorded_at+interval 3 hour) h, {_MEAN2.format('\"level\"')} x from condition, clock where recorded_at>=tick-interval 14 day group by 1) order by x desc, h limit 1", "condition", "clock"),
     "etl_health": _with("select count(*) runs, count(*) filter (status='failed') failed, sum(records_loaded)::bigint loaded, sum(records_errors)::bigint errors, MEANOK success_percent from run", "run"),
-    "source_usage": _with("select s.id source_id, s.\"name\", s.is_active, coalesce(r.n,0)::bigint runs, coalesce(r.l,0)::bigint loaded, coalesce(r.e,0)::bigint errors, r.t last_run, coalesce(f.n,0)::bigint facilities, coalesce(r.e::double/nullif(r.l+r.e,0)::double*100,0) error_percent from source s left join (select source_id, count(*) n, sum(records_loaded) l, sum(records_errors) e, max(started_at) t from run group by 1) r on s.id=r.source_id left join (select source_id, count(*) n from facility group by 1) f on s.id=f.source_id", "source", "run", "facility"),
-    "coverage": _with("select count(*) total, count(lon) located, 'facility' \"table\" from facility union all select count(*), count(district_id), 'road' from road union all select count(*), 0, 'route' from route union all select count(*), count(road_id), 'incident' from incident union all select count(*), count(lon), 'district' from district union all select count(*), 0, 'flow' from flow", "facility", "road", "route", "incident", "district", "flow"),
+    "source_usage": _with("select s.id source_id, s.\"name\", s.is_active, coalesce(r.n,0)::bigint runs, coalesce(r.l,0)::bigint loaded, coalesce(r.e,0)::bigint errors, r.t last_run, coalesce(r.e::double/nullif(r.l+r.e,0)::double*100,0) error_percent, (select count(*) from facility where source_id=s.id) facilities, (select count(*) from road where source_id=s.id) roads, (select count(*) from route where source_id=s.id) routes, (select count(*) from flow where source_id=s.id) flows, (select count(*) from condition where source_id=s.id) conditions, (select count(*) from incident where source_id=s.id) incidents from source s left join (select source_id, count(*) n, sum(records_loaded) l, sum(records_errors) e, max(started_at) t from run group by 1) r on s.id=r.source_id", "source", "run", "facility", "road", "route", "flow", "condition", "incident"),
+    "coverage": _with("select count(*) total, count(lon) located, 'facility' \"table\" from facility union all select count(*), count(geom), 'road' from road union all select count(*), count(o.lon), 'route' from route left join district o on origin_id=o.id union all select count(*), count(lon), 'incident' from incident union all select count(*), null, 'flow' from flow union all select count(*), null, 'condition' from condition", "facility", "road", "route", "district", "incident", "flow", "condition"),
     "road_stats": _with("select r.id road_id, MEANLEVEL \"level\", MEANSPEED speed, max(\"level\") max_level, count(*) n, any_value(lanes::double*speed_limit_kmh::double) capacity_index from condition c join road r on road_id=r.id group by 1", "condition", "road"),
     "weekly_stats": _with('select count(*) n, sum("level")::double/count(*) "level", sum(speed)::double/count(*) speed from condition, clock where recorded_at>=tick-interval 7 day', "condition", "clock"),
     "routes_by_type": _with("select route_type, count(*) routes, sum(trucks)::bigint trucks, sum(distance_km)::bigint distance, sum(trucks)::double/sum(sum(trucks)) over ()::double \"share\" from route group by 1", "route"),
@@ -185,11 +191,11 @@ ORACLES: dict[str, str] = {
     "chart_series": _with(f"select '['||string_agg('{{\"label\":\"'||strftime(\"month\",'%m.%y')||'\",\"value\":'||cast(volume as decimal(20,2))||'}}', ',' order by \"month\")||']' series from ({_SERIES.format('')})", "flow"),
     "kmeans_assign": "select cluster::int cluster, count(*) vectors from (select v.vec_id, row_number() over (order by c.vec_id)-1 cluster from embeddings v, embeddings c where false union all select vec_id, arg_min(k, g) from (select v.vec_id, c.k, list_sum(list_transform(range(1, len(v.embedding)+1), lambda i: (v.embedding[i]::double-c.embedding[i]::double)*(v.embedding[i]::double-c.embedding[i]::double))) g from embeddings v, (select embedding, row_number() over (order by vec_id)-1 k from (select * from embeddings order by vec_id limit 4)) c) group by 1) group by 1",
     "api_districts": _with("select id, \"name\", region_id, area_sq_km::double area_sq_km, population, lon, lat, population::double/area_sq_km::double density from district order by \"name\" limit 50", "district"),
-    "api_objects": _with("select f.id, f.\"name\", f.\"type\", d.\"name\" district, capacity_tons::double capacity from facility f join district d on f.district_id=d.id where contains(lower(f.\"name\"),'street 1') or contains(lower(coalesce(address,'')),'street 1') order by f.\"name\", f.id limit 20 offset 20", "facility", "district"),
+    "api_objects": _with('select f.id, f."name", f."type", d."name" district, capacity_tons::double capacity, case when f.lon is not null then \'{"type":"Point","coordinates":[\'||f.lon::varchar||\',\'||f.lat::varchar||\']}\' end geometry from facility f join district d on f.district_id=d.id where contains(lower(f."name"),\'street 1\') or contains(lower(coalesce(address,\'\')),\'street 1\') order by f."name", f.id limit 20 offset 20', 'facility', 'district'),
     "api_nearby": _with(f"select id, \"name\", round(km,3) distance_km from (select *, {_KM.format('37.6', '55.7', 'lon', 'lat')} km from facility) where km<=25 order by km, id limit 30", "facility"),
-    "api_roads": _with("select id, \"name\", road_class, district_id, lanes, speed_limit_kmh from road where road_class='arterial' order by \"name\", id limit 50", "road"),
-    "api_incidents": _with("select i.id, incident_type, severity, affects_cargo, r.\"name\" road, reported_at from incident i left join road r on road_id=r.id where resolved_at is null and severity>=3 and affects_cargo order by reported_at desc, i.id desc limit 50", "incident", "road"),
-    "api_routes": _with("select id, origin_id, destination_id, route_type, distance_km::bigint distance_km, trucks from route where route_type='transit' order by id limit 500", "route"),
+    "api_roads": _with('select r.id, r."name", road_class, district_id, lanes, speed_limit_kmh, case when geom is not null then \'{"type":"LineString","coordinates":[[\'||(37+(30+r.id%60)/100.0)::double::varchar||\',\'||(55+(50+r.id%40)/100.0)::double::varchar||\'],[\'||(37+(31+r.id%60)/100.0)::double::varchar||\',\'||(55+(51+r.id%40)/100.0)::double::varchar||\']]}\' end geometry from road r where road_class=\'arterial\' order by r."name", r.id limit 50', 'road'),
+    "api_incidents": _with('select i.id, incident_type, severity, affects_cargo, r."name" road, reported_at, case when lon is not null then \'{"type":"Point","coordinates":[\'||lon::varchar||\',\'||lat::varchar||\']}\' end geometry from incident i left join road r on road_id=r.id where resolved_at is null and severity>=3 and affects_cargo order by reported_at desc, i.id desc limit 50', 'incident', 'road'),
+    "api_routes": _with('select id, origin_id, destination_id, route_type, distance_km::bigint distance_km, trucks, case when xs is not null then \'{"type":"LineString","coordinates":[\'||array_to_string([format(\'[{},{}]\', round(37.3+(origin_id%5)*0.12+((destination_id%5)-(origin_id%5))*0.12*i/4,4)::double, round(55.5+(origin_id//5)*0.1+((destination_id//5)-(origin_id//5))*0.1*i/4+0.01*(i%2),4)::double) for i in [0,1,2,3,4]], \',\')||\']}\' end geometry from route where route_type=\'transit\' order by id limit 500', 'route'),
     "api_flows": _with("select id, period_date, district_id, category, direction, volume_tons::double volume, vehicle_count from flow where direction='R' and period_date between date '1996-01-01' and date '1996-12-31' order by period_date desc, id limit 100", "flow"),
     "api_etl_runs": _with("select r.id, s.\"name\" \"source\", status, records_loaded, records_errors from run r left join source s on r.source_id=s.id order by r.id desc limit 50", "run", "source"),
     "api_traffic_current": _with(f"select r.id road_id, r.\"name\", l.\"level\", {_STATE.format('l.\"level\"')} state, case when l.\"level\">=9 then 'crit' when l.\"level\">=7 then 'alert' when l.\"level\">=5 then 'warn' else 'ok' end tone from road r join ({_LATEST}) l on l.road_id=r.id where district_id=7", "road", "condition"),
@@ -203,17 +209,25 @@ ORACLES: dict[str, str] = {
     "export_totals": _with("select unnest(['roads','road km']) \"name\", unnest([count(*)::double, sum(length_km)::double]) \"value\" from road union all select unnest(['incidents','open incidents','cargo incidents']), unnest([count(*)::double, (count(*) filter (resolved_at is null))::double, (count(*) filter (affects_cargo))::double]) from incident union all select unnest(['flows','volume','vehicles']), unnest([count(*)::double, sum(volume_tons)::double, sum(vehicle_count)::double]) from flow union all select unnest(['routes','trucks']), unnest([count(*)::double, sum(trucks)::double]) from route", "road", "incident", "flow", "route"),
     "facility_layer": _with("select '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||lon::varchar||','||lat::varchar||']},\"properties\":{\"id\":'||id||',\"name\":\"'||\"name\"||'\",\"type\":\"'||\"type\"||'\"}}' feature from (select * from facility where lon is not null order by id limit 5000)", "facility"),
     "district_layer": _with(f"select '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":['||lon::varchar||','||lat::varchar||']}},\"properties\":{{\"district_id\":'||district_id||',\"name\":\"'||\"name\"||'\",\"objects\":'||objects||',\"incidents\":'||incidents||'}}}}' feature from ({_PROFILE})", *_PROFILE_VIEWS),
-    "route_layer": _with("select '{\"type\":\"Feature\",\"geometry\":{\"type\":\"LineString\",\"coordinates\":[['||o.lon::varchar||','||o.lat::varchar||'],['||e.lon::varchar||','||e.lat::varchar||']]},\"properties\":{\"id\":'||r.id||',\"route_type\":\"'||route_type||'\",\"trucks\":'||trucks||'}}' feature from route r join district o on origin_id=o.id join district e on destination_id=e.id order by r.id limit 5000", "route", "district"),
-    "layer_collection": _with("select least(count(*),5000) features from route", "route"),
+    "route_layer": _with('select \'{"type":"Feature","geometry":\'||\'{"type":"LineString","coordinates":[[\'||xs[1]::varchar||\',\'||ys[1]::varchar||\'],[\'||xs[2]::varchar||\',\'||ys[2]::varchar||\'],[\'||xs[3]::varchar||\',\'||ys[3]::varchar||\']]}\'||\',"properties":{"id":\'||id||\',"route_type":"\'||route_type||\'","trucks":\'||trucks||\'}}\' feature from route where xs is not null order by id limit 5000', 'route'),
+    "layer_collection": _with("""select '{"type":"FeatureCollection","count":'||count(*)||',"features":['||string_agg(feature, ',' order by district_id)||']}' "collection" from (select district_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":['||lon::varchar||','||lat::varchar||']},"properties":{"district_id":'||district_id||',"name":"'||"name"||'","objects":'||objects||',"incidents":'||incidents||'}}' feature from (PROFILE))""".replace("PROFILE", _PROFILE), *_PROFILE_VIEWS),
     "road_layer": _with(f"select '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"LineString\",\"coordinates\":[['||(37+(30+r.id%60)/100.0)::double::varchar||','||(55+(50+r.id%40)/100.0)::double::varchar||'],['||(37+(31+r.id%60)/100.0)::double::varchar||','||(55+(51+r.id%40)/100.0)::double::varchar||']]}},\"properties\":{{\"id\":'||r.id||',\"name\":\"'||r.\"name\"||'\"'||coalesce(',\"level\":'||\"level\"||',\"state\":\"'||{_STATE.format('\"level\"')}||'\"','')||'}}}}' feature from road r left join ({_LATEST}) l on l.road_id=r.id where geom is not null", "road", "condition"),
     "api_district_summary": _with(_PROFILE, *_PROFILE_VIEWS),
     "api_types": _with('select "type", count(*) objects, coalesce(sum(capacity_tons),0)::double capacity from facility group by 1', "facility"),
     "api_sources": _with('select id, "name", is_active from source', "source"),
-    "api_cargo_categories": _with('select "name", hazard_class, hazard_class>0 is_hazardous from category', "category"),
+    "api_cargo_categories": _with('select "name", hazard_class, hazard_class>0 is_hazardous, [\'not hazardous\',\'explosives\',\'gases\',\'flammable liquids\',\'flammable solids\',\'oxidisers\',\'toxic substances\',\'radioactive material\',\'corrosives\',\'other hazards\'][hazard_class+1] hazard_label from category', "category"),
     "api_object_detail": _with('select f.id, f."name", f."type", d."name" district, address, operating_hours, capacity_tons::double capacity, f.lon, f.lat from facility f join district d on f.district_id=d.id where f.id=42', "facility", "district"),
     "api_load_index": _with_index('select "rank", district_id, "name", score, capacity_part, flow_part, congestion_part, incidents_part, capacity, flow, congestion, incidents from ranked'),
-    "api_object_list": _with("select n \"count\", greatest(1,(n+19)//20)::bigint pages, 2::bigint page, case when greatest(1,(n+19)//20)>2 then 3::bigint end as \"next\", 1::bigint previous from (select count(*) n from facility)", "facility"),
+    "api_object_list": _with('select n "count", greatest(1,(n+19)//20)::bigint pages, 2::bigint page, case when greatest(1,(n+19)//20)>2 then 3::bigint end as "next", 1::bigint previous, (select to_json(list({\'id\':id,\'name\':"name",\'type\':"type",\'district\':district,\'capacity\':capacity,\'geometry\':geometry} order by "name", id))::varchar from (select f.id, f."name", f."type", d."name" district, capacity_tons::double capacity, case when f.lon is not null then \'{"type":"Point","coordinates":[\'||f.lon::varchar||\',\'||f.lat::varchar||\']}\' end geometry from facility f join district d on f.district_id=d.id order by f."name", f.id limit 20 offset 20)) results from (select count(*) n from facility)', 'facility', 'district'),
     "api_forecast_district": _with_trend(", z as (select max(\"month\") m, max(x) n, any_value(sl) sl, any_value(ic) ic from u), q as (select st::int step, (m+to_months(st::int))::date as \"month\", ic+sl*(n+st) tr from z, range(1,5) g(st)) select step, q.\"month\", round(greatest(tr+coalesce(y.season,0),0),1) forecast, round(greatest(tr,0),1) trend from q left join (select distinct extract(month from \"month\") k, first_value(season) over (partition by extract(month from \"month\") order by \"month\") season from u) y on k=extract(month from q.\"month\")", "where district_id=7"),
+    "incident_layer": _with('select \'{"type":"Feature","geometry":\'||\'{"type":"Point","coordinates":[\'||lon::varchar||\',\'||lat::varchar||\']}\'||\',"properties":{"id":\'||id||\',"incident_type":"\'||incident_type||\'","severity":\'||severity||\',"is_open":\'||(resolved_at is null)::varchar||\'}}\' feature from (select * from incident where lon is not null order by reported_at desc, id desc limit 5000)', 'incident'),
+    "open_incident_layer": _with('select \'{"type":"Feature","geometry":\'||\'{"type":"Point","coordinates":[\'||lon::varchar||\',\'||lat::varchar||\']}\'||\',"properties":{"id":\'||id||\',"incident_type":"\'||incident_type||\'","severity":\'||severity||\',"is_open":\'||(resolved_at is null)::varchar||\'}}\' feature from (select * from incident where lon is not null and resolved_at is null and affects_cargo order by reported_at desc, id desc limit 5000)', 'incident'),
+    "titled_features": _with('select \'{"type":"Feature","geometry":\'||\'{"type":"LineString","coordinates":[[\'||(37+(30+r.id%60)/100.0)::double::varchar||\',\'||(55+(50+r.id%40)/100.0)::double::varchar||\'],[\'||(37+(31+r.id%60)/100.0)::double::varchar||\',\'||(55+(51+r.id%40)/100.0)::double::varchar||\']]}\'||\',"properties":{"Name":"\'||r."name"||\'","Lanes":"\'||lanes||\'","Length, km":"\'||(1+r.id%40)||\'"}}\' feature from road r where geom is not null', 'road'),
+    "area_layer": 'select \'{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[\'||\'[\'||\'[\'||round(x+-0.03,4)::double::varchar||\',\'||round(y+-0.03,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.03,4)::double::varchar||\',\'||round(y+-0.03,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.03,4)::double::varchar||\',\'||round(y+0.03,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+-0.03,4)::double::varchar||\',\'||round(y+0.03,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+-0.03,4)::double::varchar||\',\'||round(y+-0.03,4)::double::varchar||\']\'||\']\'||case when n%3=0 then \',\'||\'[\'||\'[\'||round(x+-0.01,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.01,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.01,4)::double::varchar||\',\'||round(y+0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+-0.01,4)::double::varchar||\',\'||round(y+0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+-0.01,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\']\' else \'\' end||\']\'||case when n%4=0 then \',[\'||\'[\'||\'[\'||round(x+0.04,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.060000000000000005,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.060000000000000005,4)::double::varchar||\',\'||round(y+0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.04,4)::double::varchar||\',\'||round(y+0.01,4)::double::varchar||\']\'||\',\'||\'[\'||round(x+0.04,4)::double::varchar||\',\'||round(y+-0.01,4)::double::varchar||\']\'||\']\'||\']\' else \'\' end||\']},"properties":{"id":\'||n||\',"name":"\'||n_name||\'"}}\' feature from (select n_nationkey n, n_name, cast(37.3 as double)+cast(n_nationkey%5 as double)*cast(0.12 as double) x, cast(55.5 as double)+cast(n_nationkey//5 as double)*cast(0.1 as double) y from nation) where n%8<>7',
+    "report_note": _with("select n total, least(n,400)::bigint shown, greatest(n-400,0)::bigint left_out, case when n>400 then 'The first '||least(n,400)||' of '||n||' rows are shown.' end note from (select count(*) n from run)", 'run'),
+    "run_states": _with('select status, count(*) runs from run group by 1', 'run'),
+    "geojson_head": _with('select \'{"type":"FeatureCollection","name":"Roads","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},"metadata":{"system":"freightlens","generated_at":"\'||strftime(tick,\'%Y-%m-%dT%H:%M:%S\')||\'","count":\'||n||\'}}\' head from clock, (select count(geom) n from road)', 'clock', 'road'),
+    "forecast_chart": _with_trend(""", z as (select max("month") m, max(x) n, any_value(sl) sl, any_value(ic) ic from u), q as (select (m+to_months(st::int))::date as "month", ic+sl*(n+st) tr from z, range(1,7) g(st)), p as (select q."month", null fact, round(greatest(tr+coalesce(y.season,0),0),1) predicted from q left join (select distinct extract(month from "month") k, first_value(season) over (partition by extract(month from "month") order by "month") season from u) y on k=extract(month from q."month") union all select "month", volume, case when "month"=m then volume end from u, z) select '{"labels":['||string_agg('"'||strftime("month",'%m.%y')||'"', ',' order by "month")||'],"fact":['||string_agg(coalesce(cast(fact as decimal(20,2))::varchar,'null'), ',' order by "month")||'],"predicted":['||string_agg(coalesce(cast(predicted as decimal(20,2))::varchar,'null'), ',' order by "month")||']}' chart from p"""),
 }
 ORACLES["quality_total"] = ORACLES["quality_checks"].replace('select "rule", found, total,', 'select sum(found)::bigint issues_total from (select "rule", found, total,', 1) + ")"
 ORACLES = {name: _spelled(sql) for name, sql in ORACLES.items()}

@@ -44,6 +44,11 @@ def page(df: DataFrame, p: Params, order: list[Column]) -> DataFrame:
     return P.paged(df, order, size, max(1, P.int_param(p.get("page"), 1)))
 
 
+def place(lon: str, lat: str) -> Column:
+    """GeoJSON of a point in two columns, null if either is missing."""
+    return F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))))
+
+
 def districts(m: Freight, p: Params) -> DataFrame:
     return page(m.district.withColumn("density", d.quotient(F.col("population"), F.col("area_sq_km"))).withColumn("area_sq_km", F.col("area_sq_km").cast("double")), p, [F.col("name")])
 
@@ -57,7 +62,7 @@ def types(m: Freight, p: Params) -> DataFrame:
 
 
 def cargo_categories(m: Freight, p: Params) -> DataFrame:
-    return m.category.withColumn("is_hazardous", d.hazard(F.col("hazard_class"))).orderBy("name")
+    return m.category.withColumns({"is_hazardous": d.hazard(F.col("hazard_class")), "hazard_label": d.hazard_label(F.col("hazard_class"))}).orderBy("name")
 
 
 def object_detail(m: Freight, p: Params) -> DataFrame:
@@ -65,7 +70,7 @@ def object_detail(m: Freight, p: Params) -> DataFrame:
     rows = m.facility.where(F.col("id") == P.int_param(p.get("id"), -1))
     if rows.isEmpty():
         raise NotFound("no such facility")
-    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
+    names = m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district"))
     return rows.join(names, "district_id").select("id", "name", "type", "district", "address", "operating_hours", F.col("capacity_tons").cast("double").alias("capacity"), "lon", "lat")
 
 
@@ -76,8 +81,8 @@ def sources(m: Freight, p: Params) -> DataFrame:
 def objects(m: Freight, p: Params) -> DataFrame:
     rows = P.equal_if_given(m.facility, district_id=P.int_param(p.get("district")), type=p.get("type"))
     rows = P.search(rows, p.get("q"), "name", "address")
-    names = F.broadcast(m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district")))
-    return page(rows.join(names, "district_id").select("id", "name", "type", "district", F.col("capacity_tons").cast("double").alias("capacity")), p, [F.col("name"), F.col("id")])
+    names = m.district.select(F.col("id").alias("district_id"), F.col("name").alias("district"))
+    return page(rows.join(names, "district_id").select("id", "name", "type", "district", F.col("capacity_tons").cast("double").alias("capacity"), place("lon", "lat").alias("geometry")), p, [F.col("name"), F.col("id")])
 
 
 def nearby(m: Freight, p: Params) -> DataFrame:
@@ -91,7 +96,7 @@ def nearby(m: Freight, p: Params) -> DataFrame:
 
 def roads(m: Freight, p: Params) -> DataFrame:
     rows = P.equal_if_given(m.road, district_id=P.int_param(p.get("district")), road_class=P.choice_param(p.get("class"), ROAD_CLASSES))
-    return page(rows.select("id", "name", "road_class", "district_id", "lanes", "speed_limit_kmh"), p, [F.col("name"), F.col("id")])
+    return page(rows.select("id", "name", "road_class", "district_id", "lanes", "speed_limit_kmh", g.wkt_to_geojson(F.col("geom")).alias("geometry")), p, [F.col("name"), F.col("id")])
 
 
 def incidents(m: Freight, p: Params) -> DataFrame:
@@ -104,12 +109,12 @@ def incidents(m: Freight, p: Params) -> DataFrame:
     if severity := P.int_param(p.get("severity")):
         rows = rows.where(F.col("severity") >= severity)
     names = m.road.select(F.col("id").alias("road_id"), F.col("name").alias("road"))
-    return page(rows.join(names, "road_id", "left").select("id", "incident_type", "severity", "affects_cargo", "road", "reported_at"), p, [F.desc("reported_at"), F.desc("id")])
+    return page(rows.join(names, "road_id", "left").select("id", "incident_type", "severity", "affects_cargo", "road", "reported_at", place("lon", "lat").alias("geometry")), p, [F.desc("reported_at"), F.desc("id")])
 
 
 def routes(m: Freight, p: Params) -> DataFrame:
     rows = P.equal_if_given(m.route, route_type=P.choice_param(p.get("type"), ROUTE_TYPES))
-    return page(rows.select("id", "origin_id", "destination_id", "route_type", F.col("distance_km").cast("long").alias("distance_km"), "trucks"), p, [F.col("id")])
+    return page(rows.select("id", "origin_id", "destination_id", "route_type", F.col("distance_km").cast("long").alias("distance_km"), "trucks", g.wkt_to_geojson(F.col("geom")).alias("geometry")), p, [F.col("id")])
 
 
 def flows(m: Freight, p: Params) -> DataFrame:
@@ -121,7 +126,7 @@ def flows(m: Freight, p: Params) -> DataFrame:
 
 
 def etl_runs(m: Freight, p: Params) -> DataFrame:
-    names = F.broadcast(m.source.select(F.col("id").alias("source_id"), F.col("name").alias("source")))
+    names = m.source.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     return page(m.run.join(names, "source_id", "left").select("id", "source", "status", "records_loaded", "records_errors"), p, [F.desc("id")])
 
 

@@ -95,6 +95,7 @@ class Freight:
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("period_date"),
             F.col("l_returnflag").alias("direction"), F.col("l_extendedprice").cast("decimal(14,2)").alias("volume_tons"),
             F.col("l_quantity").cast("long").alias("vehicle_count"), (30 + F.col("l_linenumber") * 5).cast("int").alias("avg_speed_kmh"), "l_orderkey", "l_partkey",
+            null_if(F.col("l_linenumber") == 7, (F.col("l_suppkey") % 8).cast("int")).alias("source_id"),
         )
 
     @cached_property
@@ -132,13 +133,14 @@ class Freight:
             null_if(u % 29 == 0, (u % 25).cast("int")).alias("district_id"), (1 + u % 6).cast("int").alias("lanes"),
             (40 + 10 * (u % 7)).cast("int").alias("speed_limit_kmh"), (1 + u % 40).cast("decimal(8,2)").alias("length_km"),
             null_if(u % 13 == 5, F.format_string("LINESTRING (37.%d 55.%d, 37.%d 55.%d)", 30 + u % 60, 50 + u % 40, 31 + u % 60, 51 + u % 40)).alias("geom"),
+            null_if(u % 9 == 8, (u % 8).cast("int")).alias("source_id"),
         )
 
     @cached_property
     def condition(self) -> DataFrame:
         level = F.least(F.lit(10), F.floor(F.col("value") / 20).cast("int"))
         return self.table("events").select(
-            F.col("event_id").alias("id"), F.col("user_id").alias("road_id"), F.col("ts").alias("recorded_at"), level.alias("level"),
+            F.col("event_id").alias("id"), F.col("user_id").alias("road_id"), F.col("ts").alias("recorded_at"), level.alias("level"), null_if(F.col("event_id") % 11 == 7, (F.col("event_id") % 8).cast("int")).alias("source_id"),
         ).withColumn("speed", (60 - 4 * F.col("level")).cast("int"))
 
     @cached_property
@@ -148,6 +150,8 @@ class Freight:
             e.alias("id"), F.col("ts").alias("reported_at"), null_if(e % 4 == 0, F.expr("ts + make_dt_interval(0, k)")).alias("resolved_at"),
             F.concat(F.lit("type "), (F.col("k") % 6).cast("string")).alias("incident_type"), (1 + F.col("k") % 5).cast("int").alias("severity"),
             null_if(e % 31 == 0, F.col("user_id")).alias("road_id"), (F.col("k") % 2 == 1).alias("affects_cargo"),
+            null_if(e % 37 == 0, F.lit(37.3) + ((e * 7919) % 1000).cast("double") / F.lit(1000.0) * F.lit(0.6)).alias("lon"),
+            null_if(e % 37 == 0, F.lit(55.5) + ((e * 104729) % 1000).cast("double") / F.lit(1000.0) * F.lit(0.5)).alias("lat"), null_if(e % 5 == 4, (e % 8).cast("int")).alias("source_id"),
         )
 
     @cached_property
@@ -167,9 +171,15 @@ class Freight:
             .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("trucks"))
         )
         c, s = F.col("c_nationkey").cast("int"), F.col("s_nationkey").cast("int")
+        # a line of five vertices between the ends' centres, every other one beside the straight line
+        x = lambda n: F.lit(37.3) + (n % 5).cast("double") * F.lit(0.12)
+        y = lambda n: F.lit(55.5) + F.floor(n / 5).cast("double") * F.lit(0.1)
+        way = [(x(c) + (x(s) - x(c)) * F.lit(i / 4), y(c) + (y(s) - y(c)) * F.lit(i / 4) + F.lit(0.01 * (i % 2))) for i in range(5)]
+        line = F.format_string("LINESTRING (" + ", ".join(["%.4f %.4f"] * 5) + ")", *[v for point in way for v in point])
         return pairs.select(
             (c * 100 + s).alias("id"), c.alias("origin_id"), s.alias("destination_id"), pick(ROUTE_TYPES, (c + s) % 3).alias("route_type"),
             (50 + (c * s * 13) % 900).alias("distance_km"), (null_if((c + s) % 9 == 4, 2 + (c + s) % 12)).alias("duration_h"), F.col("trucks"),
+            null_if((c * 7 + s) % 11 == 3, line).alias("geom"), null_if((c * s) % 7 == 6, ((c + s) % 8).cast("int")).alias("source_id"),
         )
 
     @cached_property
@@ -183,8 +193,22 @@ class Freight:
 
     @cached_property
     def source(self) -> DataFrame:
-        i = F.col("id").cast("int")
-        return self.spark.range(8).select(i.alias("id"), F.concat(F.lit("source "), i.cast("string")).alias("name"), (i != 5).alias("is_active"))
+        """The sources that the loader's runs name."""
+        i = (F.col("o_custkey") % 8).cast("int")
+        return self.table("orders").select(i.alias("id")).distinct().select("id", F.concat(F.lit("source "), F.col("id").cast("string")).alias("name"), (F.col("id") != 5).alias("is_active"))
+
+    @cached_property
+    def boundary(self) -> DataFrame:
+        """Districts with a boundary: squares around the centre, every third with a hole, every fourth of two parts, some without."""
+        n, x, y = F.col("n_nationkey"), F.lit(37.3) + (F.col("n_nationkey") % 5).cast("double") * F.lit(0.12), F.lit(55.5) + F.floor(F.col("n_nationkey") / 5).cast("double") * F.lit(0.1)
+
+        def square(shift: float, half: float) -> Column:
+            corners = [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
+            return F.format_string("(" + ", ".join(["%.4f %.4f"] * 5) + ")", *[v for dx, dy in corners for v in (x + F.lit(shift + dx), y + F.lit(dy))])
+
+        first = F.when(n % 3 == 0, F.concat_ws(", ", square(0.0, 0.03), square(0.0, 0.01))).otherwise(square(0.0, 0.03))
+        parts = F.when(n % 4 == 0, F.concat(F.lit("("), first, F.lit("), ("), square(0.05, 0.01), F.lit(")"))).otherwise(F.concat(F.lit("("), first, F.lit(")")))
+        return self.table("nation").select(n.cast("int").alias("id"), F.col("n_name").alias("name"), null_if(n % 8 == 7, F.concat(F.lit("MULTIPOLYGON ("), parts, F.lit(")"))).alias("geom"))
 
     def now(self) -> Column:
         """The latest event's instant, as a scalar subquery."""

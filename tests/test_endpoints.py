@@ -60,7 +60,7 @@ def test_typology_names_every_district_once(m):
 
 def test_file_name(spark):
     name = K.file_name(F.lit("Übersicht: Lager & Häfen"), F.to_timestamp(F.lit("2025-03-04 05:06:07")), "csv")
-    assert spark.range(1).select(name).first()[0] == "ubersicht-lager-hafen-20250304-0506.csv"
+    assert spark.range(1).select(name).first()[0] == "ubersicht-lager-hafen-20250304-050607.csv"
 
 
 def test_report_is_limited(m):

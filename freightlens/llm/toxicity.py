@@ -27,7 +27,7 @@ from .common import id_crc32, remembered, table
 
 THRESHOLD = 0.5
 TRAIN_DOCS = 6000
-TRAIN_FEATURES = 8_000_000
+TRAIN_FEATURES = 6_000_000
 PASSES = 3
 #: Keys of fewer labelled texts than this have no weight.
 SEEN_IN = 4
@@ -118,6 +118,11 @@ def fit(texts: list[np.ndarray], labels: list[int], passes: int = PASSES, seen_i
     """Weights from texts (their distinct keys) and labels; keys of fewer than ``seen_in`` texts get none."""
     if not texts:
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0)
+    # most keys are rare: those whose low bits few texts have go first, in little memory
+    low, spread = np.uint64((1 << 22) - 1), np.zeros(1 << 22, np.int32)
+    for t in texts:
+        spread[t & low] += 1
+    texts = [t[spread[t & low] >= seen_in] for t in texts]
     keys, place, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
     often = count >= seen_in
     number = np.where(often, np.cumsum(often), 0)[place]  # 0: the constant
@@ -163,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most: int
         if total + r["n"] <= most:
             total += r["n"]
             rows.append((np.frombuffer(bytes(r["keys"]), np.uint64), r["toxic"]))
-    return fit([k for k, _ in rows], [y for _, y in rows])
+    keys, marks = [k for k, _ in rows], [y for _, y in rows]
+    del rows
+    return fit(keys, marks)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

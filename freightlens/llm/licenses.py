@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,8 +201,12 @@ class Scanner:
                     found.append((-score, -matched / len(template), self.names[t], matched, begin + a, begin + b))
                 group = [d]
         out: list[tuple] = []
+        starts, ends = [], []  # of those kept, which are disjoint, in order
         for _, coverage, name, matched, a, b in sorted(found):
-            if all(b <= x or y <= a for *_, x, y in out):
+            at = bisect_left(starts, b)
+            if not at or ends[at - 1] <= a:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 out.append((name, -coverage, matched, a, b))
         if not out:
             return []

@@ -11,7 +11,8 @@ The labelled text is a bounded sample: of each language ``DOCS_PER_LANG`` docume
 ``LONGEST_DOC`` characters, of which ``CHARS_PER_LANG`` enter the automaton (fewer if there
 are many languages: each gets an equal share of ``CHARS_IN_ALL``). An automaton of n characters has
 less than 2n states and 3n edges, held in arrays of 4 bytes an edge or state and 4 more an
-edge for its character, so all together take at most 40 bytes a character, 60 MB, whatever the alphabets.
+edge for its character, so all together take at most 40 bytes a character, 60 MB, whatever the alphabets. The words that a
+worker remembers take another ``BYTES_KEPT``, fewer words the more languages there are.
 ``MOST_LANGS`` bounds the number of languages, the most frequent ones.
 """
 
@@ -38,8 +39,8 @@ CHARS_IN_ALL = 1_500_000
 #: Languages that are learned, the most frequent ones: each has a share of 150 characters at least.
 MOST_LANGS = 10_000
 UNKNOWN = "und"
-#: Words that a worker remembers; longer words than this are parsed each time.
-WORDS_KEPT = 200_000
+#: Bytes of the words that a worker remembers, their counts for all languages included; longer words than LONGEST_KEPT are parsed each time.
+BYTES_KEPT = 60_000_000
 LONGEST_KEPT = 64
 #: How fast the score falls with every phrase more.
 SHARPNESS = 0.5
@@ -152,13 +153,14 @@ class Model:
 class Counts(dict):
     """Packed phrase counts by word, made when first asked for."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, bytes_kept: int = BYTES_KEPT) -> None:
         self.model = model
+        self.most = max(1, bytes_kept // (300 + len(model.langs) * _FIELD // 8))
 
     def __missing__(self, word: str) -> int:
         found = self.model.packed(word)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = found
         return found

@@ -166,15 +166,15 @@ def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, size: int, least: int = 1) -> Iterator[list[tuple[int, bytes]]]:
-    """Blocks of folded items of about ``size`` bytes, one on the driver at a time."""
+def _blocks(benchmark: DataFrame, size: int, least: int = 1) -> Iterator[tuple[bool, list[tuple[int, bytes]]]]:
+    """Blocks of folded items of about ``size`` bytes, one on the driver at a time, and whether there are several."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-total // size))
     for i in range(number):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == i).collect()
         items = sorted({(r["item_id"] if r["item_id"] is not None else -1, fold(r["text"])) for r in mine})
-        yield [(key, item) for key, item in items if len(item) >= least]
+        yield number > 1, [(key, item) for key, item in items if len(item) >= least]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,10 +186,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     ``least`` bytes are found as whole words without edits; null items and those that fold to nothing
     aren't searched; a null item_id counts as -1. Null and empty texts have none. Repeated documents each get their
     rows; repeated items count once. Other columns are ignored. With an empty
-    table the result is empty.
+    table the result is empty. Of a benchmark of several blocks each takes a pass over the documents.
     """
     found = []
-    for items in _blocks(benchmark, block_bytes):
+    for several, items in _blocks(benchmark, block_bytes):
         name = hashlib.sha256(repr((items, rate, least)).encode()).hexdigest()
 
         def each(batches: Iterator[pa.RecordBatch], items: list = items, name: str = name) -> Iterator[pa.RecordBatch]:
@@ -213,9 +213,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "n_matches", "distance", "start", "end"])
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, _SCHEMA)
-        found.append(part)
-    if len(found) > 1:  # one block's automaton in a worker at a time
-        found = [cut_lineage(part) for part in found]
+        # of several blocks each has run before the next comes, so the driver and a worker hold one
+        found.append(cut_lineage(part) if several else part)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -243,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR
     what the one before kept, read back from the shared checkpoint folder, so one block is held at a time.
     """
     out = docs
-    for number, items in enumerate(_blocks(benchmark, block_bytes, 1 if short_items else least)):
+    for number, (_, items) in enumerate(_blocks(benchmark, block_bytes, 1 if short_items else least)):
         name = hashlib.sha256(repr((items, rate, least)).encode()).hexdigest()
 
         if number:

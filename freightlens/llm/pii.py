@@ -4,7 +4,7 @@ The field scores whole candidate segments, not single tokens: digit counts,
 check sums, shapes, octets and cue words belong to a span as a whole. Dynamic
 programming over the tokens of a zone then chooses boundaries and kinds
 together; a segment has at most ``LONGEST`` tokens. Every entity has an at-sign
-(plain or spelled out), at least seven digits, or is four numbers joined by dots
+(plain or spelled out), at least seven digits in at most ``MOST_GROUPS`` numbers, or is four numbers joined by dots
 (plain, bracketed or spaced), of any number of digits; zones without these hold
 none and only the others are decoded. The field is trained here, by
 conditional likelihood, on written-out examples of every kind, of spellings
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
+#: Numbers in a segment of digits at most: a phone number of country, area and four pairs has six.
+MOST_GROUPS = 6
 EXAMPLES = 1000
 ROUNDS = 12
 
@@ -44,6 +47,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile("[0-9]")
+_NUMBER = re.compile("[0-9]+")
+_NUMBER_BEFORE = re.compile(r"[0-9]([\s,;|/.-]{1,3})$")
+_NUMBER_AFTER = re.compile(r"([\s,;|/.-]{1,3})[0-9]")
+_BETWEEN = re.compile(r"(?<=[0-9])[^0-9]+(?=[0-9])")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _DIGITS_ZONE = re.compile(r"\+?[(\[]?[0-9](?:[ ().\[\]-]{0,3}[0-9]){6,}")
 _DOTTED_ZONE = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3,}(?![0-9])")
@@ -173,47 +180,85 @@ def segment_features(text: str, start: int, end: int) -> list[str]:
         found.append("cut right")
     if _SPELLED_DOT.match(text, end):
         found.append("goes on")
+    if digits and "@" not in span:
+        groups = [len(g) for g in _NUMBER.findall(span)]
+        found.append("groups=" + "-".join(map(str, groups)))
+        if len(groups) > 2 and max(groups) < 3:
+            found.append("short groups")
+        before, after = _NUMBER_BEFORE.search(text[max(0, start - 4) : start]), _NUMBER_AFTER.match(text, end)
+        found += ["number before"] * bool(before) + ["number after"] * bool(after)
+        inner = _BETWEEN.findall(span)
+        if (before and before[1] in inner) or (after and after[1] in inner):  # one of a row of numbers
+            found += ["in a row", "in a row, " + ("luhn" if "luhn" in found else f"digits={min(len(digits), 20)}")]
     before = re.findall(r"[^\W\d_]+", text[max(0, start - 16) : start].lower())
     if before and before[-1] in _CUE:
         found.append("cue=" + _CUE[before[-1]])
     return found
 
 
+class Zone:
+    """Token edges of a stretch of text, and running counts over its tokens that tell candidate segments."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text = text
+        self.edges = array("q", [start, *(m.end() for m in _TOKEN.finditer(text, start, end))])
+        self.digits, self.groups, self.at, self.dots = (array("q", [0]) for _ in range(4))
+        self.joint: list[str] = [""] * len(self.edges)  # of a number's first edge and of the edge after a number: what joins it to its neighbour
+        last = -1
+        for k, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
+            number = text[a].isascii() and text[a].isdigit()
+            self.digits.append(self.digits[-1] + (b - a) * number)
+            self.groups.append(self.groups[-1] + number)
+            self.at.append(self.at[-1] + (text[a:b] in ("@", "at")))
+            self.dots.append(self.dots[-1] + (text[a] == "."))
+            if number:
+                if last >= 0 and a - self.edges[last] <= 3:
+                    self.joint[last] = self.joint[k] = text[self.edges[last] : a]
+                last = k + 1
+
+    def ending(self, j: int) -> Iterator[int]:
+        """First tokens of the candidate segments that end before token j: one at-sign, 7 to 19 digits in at most ``MOST_GROUPS`` numbers, or fewer digits with three dots."""
+        text, edges = self.text, self.edges
+        if text[edges[j] - 1].isspace():
+            return
+        for i in range(max(0, j - LONGEST), j):
+            if text[edges[i]].isspace():
+                continue
+            digits = self.digits[j] - self.digits[i]
+            # the middle of a row of numbers that are all joined alike is no candidate
+            if (joint := self.joint[i]) and joint == self.joint[j] and joint in self.joint[i + 1 : j]:
+                continue
+            if self.at[j] - self.at[i] == 1 or (7 <= digits <= 19 and self.groups[j] - self.groups[i] <= MOST_GROUPS) or (4 <= digits < 7 and self.dots[j] - self.dots[i] == 3):
+                yield i
+
+
 def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
     """Token edges of a zone and its candidate segments (first token, one past the last, features)."""
-    edges = [start] + [start + m.end() for m in _TOKEN.finditer(text[start:end])]
-    digits, at = [0], [0]
-    for a, b in zip(edges, edges[1:], strict=False):
-        digits.append(digits[-1] + (b - a if text[a].isascii() and text[a].isdigit() else 0))
-        at.append(at[-1] + (text[a:b] in ("@", "at")))
-    out = []
-    for i in range(len(edges) - 1):
-        if text[edges[i]].isspace():
-            continue
-        for j in range(i + 1, min(i + LONGEST, len(edges) - 1) + 1):
-            if (7 <= digits[j] - digits[i] <= 19 or at[j] - at[i] == 1 or 4 <= digits[j] - digits[i] < 7 and text[edges[i] : edges[j]].count(".") == 3) and not text[edges[j] - 1].isspace():
-                out.append((i, j, segment_features(text, edges[i], edges[j])))
-    return edges, out
+    zone = Zone(text, start, end)
+    edges = list(zone.edges)
+    return edges, [(i, j, segment_features(text, edges[i], edges[j])) for j in range(1, len(edges)) for i in zone.ending(j)]
 
 
 def decode(weights: dict[str, list[float]], text: str, start: int, end: int) -> list[Span]:
-    """The best segmentation of a zone; tokens outside segments score zero."""
-    edges, candidates = segments(text, start, end)
-    by_end: dict[int, list] = {}
-    for i, j, names in candidates:
-        score = [sum(c) for c in zip(*(weights[n] for n in names if n in weights), strict=True)]
-        if score:
-            by_end.setdefault(j, []).append((i, max(range(len(KINDS)), key=score.__getitem__), max(score)))
-    best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
+    """The best segmentation of a zone; tokens outside segments score zero.
+
+    A candidate is scored when the program comes to its end, and forgotten; of each token the best segment that ends there is kept.
+    """
+    zone = Zone(text, start, end)
+    edges = zone.edges
+    best, begin, label = array("d", [0.0]), array("q", [0]), array("b", [-1])
     for j in range(1, len(edges)):
-        top = (best[j - 1][0], j - 1, -1)
-        for i, kind, score in by_end.get(j, ()):
-            if best[i][0] + score > top[0]:
-                top = (best[i][0] + score, i, kind)
-        best.append(top)
+        top = (best[j - 1], j - 1, -1)
+        for i in zone.ending(j):
+            score = [sum(c) for c in zip(*(weights[n] for n in segment_features(text, edges[i], edges[j]) if n in weights), strict=True)]
+            if score and best[i] + (most := max(score)) > top[0]:
+                top = (best[i] + most, i, score.index(most))
+        best.append(top[0])
+        begin.append(top[1])
+        label.append(top[2])
     out, j = [], len(edges) - 1
     while j:
-        _, i, kind = best[j]
+        i, kind = begin[j], label[j]
         if kind >= 0:
             out.append((KINDS[kind], edges[i], edges[j]))
         j = i
@@ -251,7 +296,13 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[Span]]]:
         a, b, c = number(3), number(3), number(4)
         return r.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}"])
 
+    def numbers() -> str:
+        sizes = r.choice([(1, 1), (2, 2), (1, 2), (1, 3), (2, 3), (3, 3), (1, 4), (4, 4), (4, 4), (2, 5), (3, 5)])
+        return r.choice([" ", " ", " ", ", ", "-", " - ", "; ", " | ", "  "]).join(number(r.randint(*sizes)) for _ in range(r.choice([3, 4, 5, 6, 7, 8, 10, 12, 20])))
+
     def other() -> str:
+        if r.random() < 0.4:
+            return numbers()
         long = number(16)
         return r.choice([
             long if not luhn(long) else long[:-1] + str((int(long[-1]) + 1) % 10), number(r.randint(7, 12)), number(r.randint(20, 24)),

@@ -26,8 +26,8 @@ from .byte_words import WordRun, word_runs
 from .common import id_crc32, remembered, table
 
 THRESHOLD = 0.5
-TRAIN_DOCS = 6000
-TRAIN_FEATURES = 6_000_000
+TRAIN_DOCS = 3500
+TRAIN_FEATURES = 5_000_000
 PASSES = 3
 #: Keys of fewer labelled texts than this have no weight.
 SEEN_IN = 4

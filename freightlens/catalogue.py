@@ -11,11 +11,13 @@ from freightlens.functions import derived as d
 from freightlens.functions import geometry as g
 from freightlens.operators import aggregates as A
 from freightlens.operators import filters as P
+from freightlens.operators import paging, spatial_index, trigrams
 from freightlens.oracles import ORACLES
 from freightlens.plans import analytics as M
 from freightlens.plans.endpoints import ask, listed
 from freightlens.sources import sinks as K
 from freightlens.sources.model import Freight
+from freightlens.sources.workspace import built
 
 CENTRE = (37.6173, 55.7558)
 BOX = (37.4, 55.6, 37.7, 55.8)
@@ -218,6 +220,47 @@ def zscore(m: Freight) -> DataFrame:
     return M.z_scores(m.facility.select("id", F.col("capacity_tons").cast("double").alias("c")), ["c"]).select("id", F.round("c_z", 6).alias("z"))
 
 
+PAGE_ORDER = [("capacity_tons", True), ("id", False)]
+
+
+def _pages(m: Freight) -> paging.Pages:
+    rows = m.facility.select("id", "name", "capacity_tons")
+    return paging.Pages(m.spark, built(m.spark, "pages", m.sf_dir, lambda path: paging.write_pages(rows, path, PAGE_ORDER, ranges=16)), PAGE_ORDER)
+
+
+def deep_page(m: Freight, which: str) -> DataFrame:
+    """The first, the middle or the last page of all facilities by capacity."""
+    pages = _pages(m)
+    number = {"first": 1, "middle": (pages.last(25) + 1) // 2, "last": pages.last(25)}[which]
+    return pages.page(25, number).select("id", "name", F.col("capacity_tons").cast("double").alias("capacity"))
+
+
+def _points(m: Freight) -> spatial_index.SpatialIndex:
+    rows = m.facility.select("id", "name", "lon", "lat")
+    return spatial_index.SpatialIndex(m.spark, built(m.spark, "facility_cells", m.sf_dir, lambda path: spatial_index.write_indexed(rows, path, spatial_index.point_bounds())))
+
+
+def box_indexed(m: Freight) -> DataFrame:
+    return _points(m).in_box(BOX).select("id", "lon", "lat")
+
+
+def nearest_indexed(m: Freight) -> DataFrame:
+    return _points(m).nearest(*CENTRE, radius_km=8, limit=20).select("id", F.round("distance_km", 2).alias("distance_km"))
+
+
+def roads_in_box(m: Freight) -> DataFrame:
+    """Roads whose bounds meet a box, by an index over their lines."""
+    build = lambda path: spatial_index.write_indexed(m.road.select("id", "name", "geom"), path, g.bounds(g.rings(F.col("geom"))))
+    return spatial_index.SpatialIndex(m.spark, built(m.spark, "road_cells", m.sf_dir, build)).in_box(BOX).select("id", "name")
+
+
+def trigram_search(m: Freight) -> DataFrame:
+    """Facilities with a term in their name or address, by the trigram index."""
+    rows = m.facility.select("id", "name", "address")
+    path = built(m.spark, "facility_trigrams", m.sf_dir, lambda path: trigrams.write_trigrams(rows, path, "id", ["name", "address"]))
+    return trigrams.TrigramIndex(m.spark, path).search(rows, "EET 4", "id", "name", "address").select("id", "name", "address")
+
+
 def export_objects(m: Freight) -> DataFrame:
     return K.export_objects(m, kind="MACHINERY", q="street 1")
 
@@ -229,9 +272,10 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
         filter_flags, filter_located, filter_whole_day, filter_empty_address, fk_path_filter, filter_keys, sort_whitelist, page_window, page_envelope,
         top_objects, recent_incidents, same_district_objects, derived_ratios, route_ratios, flow_loads, congestion_states, severity_states, speed_ratios,
         durations, error_rates, text_functions, month_labels, fk_labels, roads_latest, category_shares, bbox_filter, nearest_radius, district_distances,
-        extent, line_metrics, wkt_roundtrip, minmax, zscore, export_objects,
+        extent, line_metrics, wkt_roundtrip, minmax, zscore, export_objects, box_indexed, nearest_indexed, roads_in_box, trigram_search,
     )
 } | {
+    "deep_page_first": lambda m: deep_page(m, "first"), "deep_page_middle": lambda m: deep_page(m, "middle"), "deep_page_last": lambda m: deep_page(m, "last"),
     "dashboard_summary": A.dashboard, "district_profile": lambda m: A.district_profiles(m).withColumn("area_sq_km", F.col("area_sq_km").cast("double")), "latest_per_road": A.latest_per_road, "current_congestion": A.current_congestion,
     "state_distribution": A.state_distribution, "flow_timeseries": A.flow_timeseries, "flow_by_category": A.flow_by_category, "flow_by_direction": A.flow_by_direction,
     "flow_timeseries_filtered": lambda m: A.flow_timeseries(m, district=7, direction="R"), "objects_by_type": A.objects_by_type, "incident_stats": A.incident_statistics,

@@ -230,4 +230,13 @@ ORACLES: dict[str, str] = {
     "forecast_chart": _with_trend(""", z as (select max("month") m, max(x) n, any_value(sl) sl, any_value(ic) ic from u), q as (select (m+to_months(st::int))::date as "month", ic+sl*(n+st) tr from z, range(1,7) g(st)), p as (select q."month", null fact, round(greatest(tr+coalesce(y.season,0),0),1) predicted from q left join (select distinct extract(month from "month") k, first_value(season) over (partition by extract(month from "month") order by "month") season from u) y on k=extract(month from q."month") union all select "month", volume, case when "month"=m then volume end from u, z) select '{"labels":['||string_agg('"'||strftime("month",'%m.%y')||'"', ',' order by "month")||'],"fact":['||string_agg(coalesce(cast(fact as decimal(20,2))::varchar,'null'), ',' order by "month")||'],"predicted":['||string_agg(coalesce(cast(predicted as decimal(20,2))::varchar,'null'), ',' order by "month")||']}' chart from p"""),
 }
 ORACLES["quality_total"] = ORACLES["quality_checks"].replace('select "rule", found, total,', 'select sum(found)::bigint issues_total from (select "rule", found, total,', 1) + ")"
+
+def _deep_page(number: str) -> str:
+    return _with(f'select id, "name", capacity_tons::double capacity from (select *, row_number() over (order by capacity_tons desc nulls last, id)-1 place, (count(*) over ()+24)//25 pages from facility) where place//25+1=({number})', "facility")
+
+
+ORACLES |= {"deep_page_first": _deep_page("1"), "deep_page_middle": _deep_page("(pages+1)//2"), "deep_page_last": _deep_page("pages")}
+ORACLES |= {"box_indexed": ORACLES["bbox_filter"], "nearest_indexed": ORACLES["nearest_radius"]}
+ORACLES["roads_in_box"] = _with('select id, "name" from road where geom is not null and 37+(30+id%60)/100.0<=37.7 and 37+(31+id%60)/100.0>=37.4 and 55+(50+id%40)/100.0<=55.8 and 55+(51+id%40)/100.0>=55.6', "road")
+ORACLES["trigram_search"] = _with("select id, \"name\", address from facility where contains(lower(\"name\"),'eet 4') or contains(lower(coalesce(address,'')),'eet 4')", "facility")
 ORACLES = {name: _spelled(sql) for name, sql in ORACLES.items()}

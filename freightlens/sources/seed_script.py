@@ -7,10 +7,13 @@ turned into typed columns by table. Bad rows are counted and kept apart, never f
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -22,7 +25,7 @@ ORDER = tuple(SCHEMAS)
 _NAME = r'(?:"[^"]+"|[A-Za-z_]\w*)'
 HEAD = rf"(?i)^\s*insert\s+into\s+(?:{_NAME}\s*\.\s*)?({_NAME})\s*\(([^()]*)\)\s*values\s*(\(.*)$"
 DEFAULTS = {"string": "", "int": 0, "boolean": False}
-_TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
+_TOKEN = re.compile(r"'(?:[^']|'')*'|[(),']|[^'(),]+")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _CALL = re.compile(r"(\w+)\s*\((.*)\)", re.S)
 #: A time of day with an offset from UTC.
@@ -33,6 +36,8 @@ def value_rows(text: str) -> list[list[str]]:
     """Rows of raw values in "(a, b), (c, d);"; commas in quotes (a doubled quote is a quote) and inner parentheses don't part."""
     rows, depth, own, piece = [], 0, [], []
     for token in _TOKEN.findall(text):
+        if token == "'":
+            raise ValueError("unpaired quote")
         depth += (token == "(") - (token == ")")
         if token == "(" and depth == 1:
             own, piece = [], []
@@ -107,11 +112,18 @@ def _typed(field: T.StructField) -> Column:
     return F.when(raw.rlike(OFFSET), raw.try_cast("timestamp")).otherwise(F.to_utc_timestamp(raw.try_cast("timestamp_ntz").cast("timestamp"), LOCAL_ZONE))
 
 
-def read_script(spark: SparkSession, path: str) -> DataFrame:
-    """Every row of the INSERT lines: ``line`` (grows through the file), ``nth`` in the line, ``table``, ``fields`` and ``error``.
+_STATEMENT = re.compile(HEAD.replace("(?i)", "").removesuffix("$") + r"\Z", re.I | re.S)
+_REMARK = re.compile(r"('(?:[^']|'')*')|--[^\n]*|/\*.*?\*/", re.S)
 
-    A value that doesn't fit its column's type is an error of its row.
-    """
+
+def parse_statement(text: str) -> list[tuple[str, dict | None, str | None]]:
+    """(table, fields, error) of each row of an INSERT statement that may span lines and hold remarks; nothing for another statement."""
+    found = _STATEMENT.match(_REMARK.sub(lambda m: m[1] or " ", text))
+    return [(found[1].strip('"').lower(), *row) for row in parse_rows(found[2], found[3])] if found else []
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of the INSERT lines: ``line`` (grows through the file), ``nth`` in the line, ``part`` of the file, ``table``, ``fields`` and ``error``."""
     parsed = "array<struct<fields:map<string,string>,error:string>>"
 
     @F.pandas_udf(parsed)
@@ -122,34 +134,62 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     part = lambda i: F.regexp_extract("value", HEAD, i)
     name = F.lower(F.replace(part(1), F.lit('"'), F.lit("")))
     lines = text.where(F.col("value").rlike(HEAD))
-    present = {r[0] for r in lines.select(name.alias("table")).where(F.col("table").isin(*SCHEMAS)).distinct().collect()}  # known tables only
     found = lines.select("line", name.alias("table"), F.posexplode(parse(part(2), part(3))).alias("nth", "row"))
-    rows = found.select("line", "nth", "table", "row.fields", "row.error")
-    misfit = F.lit(None).cast("string")
-    for table in present:
-        ddl = SCHEMAS[table]
-        wrong = F.concat_ws(", ", *[F.when(F.try_element_at("fields", F.lit(f.name)).isNotNull() & _typed(f).isNull(), f.name) for f in T.StructType.fromDDL(ddl).fields])
-        misfit = F.when((F.col("table") == table) & (wrong != ""), F.concat(F.lit("misfit in "), wrong)).otherwise(misfit)
-    return rows.withColumn("error", F.coalesce("error", misfit))
+    return found.select("line", "nth", F.shiftright("line", 33).alias("part"), "table", "row.fields", "row.error")
 
 
-def typed_table(rows: DataFrame, table: str, required: tuple[str, ...] = ("name", "code")) -> DataFrame:
-    """Good rows of one table with its declared types. Unknown columns are dropped, required ones get a default for null.
+def read_statements(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The same by the splitting reader: statements may span lines, and one file is read by many tasks."""
+    from freightlens.sources.split_files import BYTE_BITS, SqlScript, split_frame
 
-    Naive timestamps are local time and become UTC. Where the script gives no id, rows are numbered from 1 in
-    its order: inside each partition of lines, shifted by the rows of the partitions before.
-    """
-    schema = T.StructType.fromDDL(SCHEMAS[table])
-    out = rows.where((F.col("table") == table) & F.col("error").isNull())
+    place = F.col("line").bitwiseAND(F.lit((1 << BYTE_BITS) - 1))
+    return split_frame(spark, path, SqlScript, split_bytes).withColumn("part", F.shiftright("line", BYTE_BITS) * 1_000_000 + (place / F.lit(split_bytes)).cast("long"))
+
+
+def misfits(table: str) -> Column:
+    """The columns of a row whose value doesn't fit the declared type; empty if all fit."""
+    return F.concat_ws(", ", *[F.when(F.try_element_at("fields", F.lit(f.name)).isNotNull() & _typed(f).isNull(), f.name) for f in T.StructType.fromDDL(SCHEMAS[table]).fields])
+
+
+def _fitted(rows: DataFrame, table: str) -> DataFrame:
+    wrong = misfits(table)
+    return rows.withColumn("error", F.coalesce("error", F.when(wrong != "", F.concat(F.lit("misfit in "), wrong))))
+
+
+def read_script(spark: SparkSession, path: str) -> DataFrame:
+    """``read_rows``, where a value that doesn't fit its column's type is an error of its row."""
+    rows = read_rows(spark, path)
+    known = F.lit(None).cast("string")
+    for table in SCHEMAS:
+        wrong = misfits(table)
+        known = F.when(F.col("table") == table, F.when(wrong != "", F.concat(F.lit("misfit in "), wrong))).otherwise(known)
+    return rows.withColumn("error", F.coalesce("error", known))
+
+
+def typed_columns(table: str, required: tuple[str, ...] = ("name", "code")) -> list[Column]:
+    """A table's columns in their declared types; required ones get a default for null."""
     columns = []
-    for field in schema.fields:
+    for field in T.StructType.fromDDL(SCHEMAS[table]).fields:
         value, kind = _typed(field), field.dataType.simpleString()
         columns.append((F.coalesce(value, F.lit(DEFAULTS[kind])) if field.name in required and kind in DEFAULTS else value).alias(field.name))
-    numbered = out.select("line", "nth", F.shiftright("line", 33).alias("part"), *columns)
-    counts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition of the file
+    return columns
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``place`` of each row in the script's order, from 1: inside each part of the file, shifted by the rows of the parts before."""
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each part of the file
     shifts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     place = F.col("shift") + F.row_number().over(Window.partitionBy("part").orderBy("line", "nth"))
-    return numbered.join(F.broadcast(shifts), "part").withColumn("id", F.coalesce("id", place.cast("int"))).select(*schema.names)
+    return rows.join(shifts, "part").withColumn("place", place.cast("int"))
+
+
+def typed_table(rows: DataFrame, table: str, required: tuple[str, ...] = ("name", "code")) -> DataFrame:
+    """Good rows of one table with its declared types. Unknown columns are dropped, required ones get a default for null.
+
+    Naive timestamps are local time and become UTC. Where the script gives no id, rows are numbered from 1 in its order.
+    """
+    own = numbered(rows.where((F.col("table") == table) & F.col("error").isNull()))
+    return own.select("place", *typed_columns(table, required)).withColumn("id", F.coalesce("id", "place")).drop("place")
 
 
 def journal(rows: DataFrame) -> DataFrame:
@@ -163,29 +203,55 @@ def first_errors(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.where("error IS NOT NULL").orderBy("line").limit(k).select("line", "table", "error")
 
 
-def load(spark: SparkSession, path: str, out_dir: str) -> DataFrame:
+def _observed(table: str) -> list[Column]:
+    own = F.col("table") == table
+    return [
+        F.count_if(own).alias(f"{table}.rows"), F.count_if(own & F.col("error").isNotNull()).alias(f"{table}.bad"),
+        F.count_if(own & F.col("error").isNull() & F.try_element_at("fields", F.lit("id")).isNull()).alias(f"{table}.without_id"),
+    ]
+
+
+def load(spark: SparkSession, path: str, out_dir: str, read: Callable[[SparkSession, str], DataFrame] = read_rows) -> DataFrame:
     """Write every table of the script as Parquet, replacing what is there; returns the journal.
 
-    The load itself becomes one more row of ``etl_log``. Results that were cached before the load are dropped.
+    The script is parsed in one job, which writes its rows by table and observes their numbers; each table that it names is
+    then one job, which observes the misfits as it writes (one more where rows must be numbered). The load itself
+    becomes one more row of ``etl_log``. Cached results that were read from ``out_dir`` are dropped, others stay.
     """
     out_dir, started = out_dir.rstrip("/"), datetime.now(UTC).replace(tzinfo=None)
-    rows = read_script(spark, path).persist()
-    try:
-        found = journal(rows).collect()  # a row a table
-        present = {r["table"] for r in found}
-        for table in ORDER:  # a table that the script doesn't name becomes empty
-            new = typed_table(rows, table) if table in present else spark.createDataFrame([], SCHEMAS[table]).coalesce(1)
+    staged, seen = f"{out_dir}/_staged", Observation("rows of the script")
+    rows = read(spark, path).select("line", "nth", "part", "table", "fields", "error")
+    known = rows.where(F.col("table").isin(*SCHEMAS)).observe(seen, *[c for t in ORDER for c in _observed(t)])
+    known.write.mode("overwrite").partitionBy("table").parquet(staged)
+    counts = seen.get
+    layout = T.StructType([f for f in rows.schema.fields if f.name != "table"])
+    found = []
+    for table in ORDER:
+        total, bad = counts[f"{table}.rows"], counts[f"{table}.bad"]
+        if not total:
+            continue
+        fitted, fits = _fitted(spark.read.schema(layout).parquet(f"{staged}/table={table}"), table), Observation(f"rows of {table}")
+        own = fitted.observe(fits, F.count_if(F.col("error").isNotNull()).alias("bad"))
+        own = own.where("error IS NULL")
+        if counts[f"{table}.without_id"]:
+            own = numbered(fitted.where("error IS NULL"))
+            bad = fitted.agg(F.count_if(F.col("error").isNotNull())).first()[0] if total > bad else bad
+            new = own.select("place", *typed_columns(table)).withColumn("id", F.coalesce("id", "place")).drop("place")
             new.write.mode("overwrite").parquet(f"{out_dir}/{table}.parquet")
-    finally:
-        rows.unpersist()
-    log, errors = f"{out_dir}/etl_log.parquet", sum(r["records_errors"] for r in found)
-    last = spark.read.parquet(log).agg(F.max("id")).first()[0] or 0
-    own = (last + 1, started, datetime.now(UTC).replace(tzinfo=None), None, f"seed:{path.rsplit('/', 1)[-1]}", sum(r["records_loaded"] for r in found), errors, "partial" if errors else "success", None)
-    names = T.StructType.fromDDL(SCHEMAS["etl_log"]).names
-    text = [None if x is None else str(x) for x in own]
-    row = spark.createDataFrame([text], ", ".join(f"{n} string" for n in names))
-    row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SCHEMAS["etl_log"]).fields]).write.mode("append").parquet(log)
-    spark.catalog.clearCache()
+        else:
+            own.select(*typed_columns(table)).write.mode("overwrite").parquet(f"{out_dir}/{table}.parquet")
+            bad = fits.get["bad"]
+        found.append((table, total - bad, bad, "partial" if bad else "success"))
+    absent = [t for t in ORDER if not counts[f"{t}.rows"]]  # a table that the script doesn't name becomes empty
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(inheritable_thread_target(spark)(lambda t: spark.createDataFrame([], SCHEMAS[t]).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/{t}.parquet")), absent))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    log, errors = f"{out_dir}/etl_log.parquet", sum(bad for _, _, bad, _ in found)
+    last = spark.read.schema(SCHEMAS["etl_log"]).parquet(log).agg(F.max("id")).first()[0] or 0 if "etl_log" not in absent else 0
+    own = (last + 1, started, datetime.now(UTC).replace(tzinfo=None), None, f"seed:{path.rsplit('/', 1)[-1]}", sum(good for _, good, _, _ in found), errors, "partial" if errors else "success", None)
+    spark.createDataFrame([own], SCHEMAS["etl_log"]).coalesce(1).write.mode("append").parquet(log)
+    spark.catalog.refreshByPath(out_dir)
     return spark.createDataFrame(found, "table string, records_loaded long, records_errors long, status string")
 
 

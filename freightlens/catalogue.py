@@ -14,10 +14,13 @@ from freightlens.operators import filters as P
 from freightlens.operators import paging, spatial_index, trigrams
 from freightlens.oracles import ORACLES
 from freightlens.plans import analytics as M
+from freightlens.plans import incremental
 from freightlens.plans.endpoints import ask, listed
+from freightlens.sources import seed_script
 from freightlens.sources import sinks as K
 from freightlens.sources.model import Freight
 from freightlens.sources.workspace import built
+from freightlens.streaming import live
 
 CENTRE = (37.6173, 55.7558)
 BOX = (37.4, 55.6, 37.7, 55.8)
@@ -261,6 +264,27 @@ def trigram_search(m: Freight) -> DataFrame:
     return trigrams.TrigramIndex(m.spark, path).search(rows, "EET 4", "id", "name", "address").select("id", "name", "address")
 
 
+def monthly_incremental(m: Freight) -> DataFrame:
+    """The monthly series from sums that are kept by file; here the first refresh reads all files."""
+    def build(path: str) -> None:
+        incremental.MonthlySums(m.spark, f"{m.sf_dir}/lineitem.parquet", path).refresh()
+
+    return incremental.MonthlySums(m.spark, f"{m.sf_dir}/lineitem.parquet", built(m.spark, "monthly_sums", m.sf_dir, build)).series()
+
+
+def congestion_episodes(m: Freight) -> DataFrame:
+    return live.episodes(m.condition).select("road_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ends").cast("timestamp_ntz").alias("ends"), "samples", "worst")
+
+
+def script_roundtrip(m: Freight) -> DataFrame:
+    """Roads written as INSERT statements over several lines each and read back by the splitting reader."""
+    quoted = F.concat(F.lit("'"), F.replace(F.col("name"), F.lit("'"), F.lit("''")), F.lit("'"))
+    line = F.concat(F.lit("INSERT INTO road_segments (id, name, lanes,\n  length_km, district_id) VALUES ("), F.concat_ws(", ", F.col("id").cast("string"), quoted, F.col("lanes").cast("string"), F.col("length_km").cast("string"), F.coalesce(F.col("district_id").cast("string"), F.lit("NULL"))), F.lit(");"))
+    path = built(m.spark, "road_script", m.sf_dir, lambda path: m.road.select(line).write.mode("overwrite").text(path))
+    rows = seed_script.typed_table(seed_script.read_statements(m.spark, path, 4096), "road_segments")
+    return rows.select("id", "name", "lanes", F.col("length_km").cast("double").alias("length_km"), "district_id")
+
+
 def export_objects(m: Freight) -> DataFrame:
     return K.export_objects(m, kind="MACHINERY", q="street 1")
 
@@ -272,7 +296,7 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
         filter_flags, filter_located, filter_whole_day, filter_empty_address, fk_path_filter, filter_keys, sort_whitelist, page_window, page_envelope,
         top_objects, recent_incidents, same_district_objects, derived_ratios, route_ratios, flow_loads, congestion_states, severity_states, speed_ratios,
         durations, error_rates, text_functions, month_labels, fk_labels, roads_latest, category_shares, bbox_filter, nearest_radius, district_distances,
-        extent, line_metrics, wkt_roundtrip, minmax, zscore, export_objects, box_indexed, nearest_indexed, roads_in_box, trigram_search,
+        extent, line_metrics, wkt_roundtrip, minmax, zscore, export_objects, monthly_incremental, congestion_episodes, script_roundtrip, box_indexed, nearest_indexed, roads_in_box, trigram_search,
     )
 } | {
     "deep_page_first": lambda m: deep_page(m, "first"), "deep_page_middle": lambda m: deep_page(m, "middle"), "deep_page_last": lambda m: deep_page(m, "last"),

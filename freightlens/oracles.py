@@ -237,6 +237,13 @@ def _deep_page(number: str) -> str:
 
 ORACLES |= {"deep_page_first": _deep_page("1"), "deep_page_middle": _deep_page("(pages+1)//2"), "deep_page_last": _deep_page("pages")}
 ORACLES |= {"box_indexed": ORACLES["bbox_filter"], "nearest_indexed": ORACLES["nearest_radius"]}
+ORACLES["monthly_incremental"] = ORACLES["flow_timeseries"]
+ORACLES["congestion_episodes"] = _with(
+    """, marks as (select road_id, recorded_at a, recorded_at+to_hours(case when "level">=9 then 6 else 3 end) e, "level" from condition where "level">=7),
+    runs as (select *, max(e) over (partition by road_id order by a, e rows between unbounded preceding and 1 preceding) reach from marks),
+    islands as (select *, count(*) filter (reach is null or a>reach) over (partition by road_id order by a, e rows unbounded preceding) n from runs)
+    select road_id, min(a) began, max(e) ends, count(*) samples, max("level") worst from islands group by road_id, n""", "condition").replace(") ,", "),")
+ORACLES["script_roundtrip"] = _with('select id::int id, "name", lanes, length_km::double length_km, district_id from road', "road")
 ORACLES["roads_in_box"] = _with('select id, "name" from road where geom is not null and 37+(30+id%60)/100.0<=37.7 and 37+(31+id%60)/100.0>=37.4 and 55+(50+id%40)/100.0<=55.8 and 55+(51+id%40)/100.0>=55.6', "road")
 ORACLES["trigram_search"] = _with("select id, \"name\", address from facility where contains(lower(\"name\"),'eet 4') or contains(lower(coalesce(address,'')),'eet 4')", "facility")
 ORACLES = {name: _spelled(sql) for name, sql in ORACLES.items()}

@@ -41,6 +41,8 @@ BANDS = 16
 BANDS_USED = 10
 #: Share of equal samples from which two documents are near (see ``near_groups``).
 LIKENESS = 0.8
+#: Fingerprints of one doc_id's texts that are remembered while its rows pass; those of more texts are made again.
+KNOWN_TEXTS = 10_000
 
 
 def make_walk() -> tuple[list[list[int]], np.ndarray]:
@@ -162,16 +164,25 @@ def name_of(mark: str) -> int:
     return xxhash.xxh64_intdigest(mark) - (1 << 63)
 
 
-def near_rows(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """``doc_id``, ``own`` (``name_of`` its fingerprint) and ``component_id`` of every row, as ``near_groups`` says."""
+def text_name(text: str) -> int:
+    """A signed 64-bit hash that tells the texts of one id apart."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``own`` (``name_of`` its fingerprint), ``body`` (the packed fingerprint), band ``keys`` and ``told`` (``text_name``) of every row, written once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body", "keys"])
+            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64())), pa.array([text_name(t.as_py() or "") for t in batch.column(1)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body", "keys", "told"])
+
+    return cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary, keys array<long>, told long"))
+
 
-    found = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary, keys array<long>"))
+def near_rows(found: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``doc_id``, ``own`` and ``component_id`` of every row that ``marked`` gives, as ``near_groups`` says."""
     nodes = found.select("own", "keys", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mark"))
     label = banded_classes(nodes, found.select("own", "body"), unpacked, lambda a, b: likeness(a, b) >= least)
     marks = found.groupBy("own").agg(F.min("doc_id").alias("first_id")).join(label, "own", "left").withColumn("label", F.coalesce("label", "own"))
@@ -188,16 +199,16 @@ def near_groups(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     documents. Links are found and verified by ``banding.banded_classes``: no pair of all members of a band is formed
     but where it is needed, and none that shares a band is lost. Other columns are ignored; an empty table gives no rows.
     """
-    return near_rows(docs, least).select("doc_id", "component_id")
+    return near_rows(marked(docs), least).select("doc_id", "component_id")
 
 
-def followed(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def followed(docs: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """Deal the rows so that each partition has successive documents, by descending doc_id.
 
-    Returns ``bucket, role, doc_id, text, own, component_id`` with rows sorted by bucket, role,
+    Returns ``bucket, role, doc_id, text, own, component_id, body`` with rows sorted by bucket, role,
     descending id and text: role 0 rows are the documents; the first role 1 row
-    of a bucket is the document after its last one (after the very last: the first). Rows of ``classes``
-    (``doc_id, own, component_id``) have a null text and stand before the documents of their id.
+    of a bucket is the document after its last one (after the very last: the first). Rows of ``notes``
+    (``doc_id, own, component_id, body``) have a null text and stand before the documents of their id.
     Bounds are ids of the table, so the row that a bucket needs from its neighbour is
     known by its id and sent to both. A null id comes last; null text is empty.
     """
@@ -225,11 +236,11 @@ def followed(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         return pd.Series(out)
 
     none = F.lit(None).cast("long")
-    dealt = rows.withColumn("to", targets(key)).select(F.explode("to").alias("to"), "doc_id", "text", none.alias("own"), none.alias("component_id"))
-    if classes is not None:
-        own = classes.withColumn("to", targets(key)[0])
-        dealt = dealt.unionByName(own.select("to", "doc_id", F.lit(None).cast("string").alias("text"), "own", "component_id"))
-    dealt = dealt.select((F.col("to") / 2).cast("int").alias("bucket"), (F.col("to") % 2).alias("role"), "doc_id", "text", "own", "component_id")
+    dealt = rows.withColumn("to", targets(key)).select(F.explode("to").alias("to"), "doc_id", "text", none.alias("own"), none.alias("component_id"), F.lit(None).cast("binary").alias("body"))
+    if notes is not None:
+        own = notes.withColumn("to", targets(key)[0])
+        dealt = dealt.unionByName(own.select("to", "doc_id", F.lit(None).cast("string").alias("text"), "own", "component_id", "body"))
+    dealt = dealt.select((F.col("to") / 2).cast("int").alias("bucket"), (F.col("to") % 2).alias("role"), "doc_id", "text", "own", "component_id", "body")
     return dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
@@ -240,7 +251,7 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     next document by descending doc_id. Returns ``doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id``, one
     row for each row of ``docs``. The last is the group of near documents by bands and verification
-    (``near_groups``); it comes to the documents through the one shuffle of their texts. Null texts are empty; rows that repeat an id
+    (``near_groups``); it comes to the documents through the one shuffle of their texts, and so do their fingerprints, which are made once. Null texts are empty; rows that repeat an id
     follow one another by text; a null id comes last. Other columns are ignored;
     an empty table gives no rows.
     """
@@ -248,19 +259,23 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # doc_id, text, fingerprint and component of the row that awaits its next
-        of_id, named = None, {}  # components by fingerprint of the rows of one doc_id that aren't their doc_id
+        of_id, named, known = None, {}, {}  # of one doc_id: components by fingerprint that aren't the doc_id, and fingerprints by text
         for batch in batches:
             rows = []
-            for bucket, role, doc, text, name, component in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for bucket, role, doc, text, name, component, body in zip(*(batch.column(i) for i in range(7)), strict=True):
                 bucket, role, doc, text, name = bucket.as_py(), role.as_py(), doc.as_py(), text.as_py(), name.as_py()
                 if text is None:
                     if (bucket, doc) != of_id:
-                        of_id, named = (bucket, doc), {}
-                    named[name] = component.as_py()
+                        of_id, named, known = (bucket, doc), {}, {}
+                    if body.is_valid and len(known) < KNOWN_TEXTS:
+                        known[name] = body.as_py()
+                    elif not body.is_valid:
+                        named[name] = component.as_py()
                     continue
                 if before is None and role:
                     continue
-                mark = fingerprint(text)
+                made = known.get(text_name(text)) if (bucket, doc) == of_id and not role else None
+                mark = fingerprint(text) if made is None else unpacked(made)
                 if before is not None:
                     own_id, own, own_mark, own_component = before
                     third = len(own) // 3
@@ -273,8 +288,10 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
 
-    classes = near_rows(docs, least).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).distinct()
-    return followed(docs, classes).mapInArrow(each, schema)
+    found = marked(docs)
+    classes = near_rows(found, least).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).distinct()
+    notes = found.select("doc_id", F.col("told").alias("own"), F.lit(None).cast("long").alias("component_id"), "body").unionByName(classes.withColumn("body", F.lit(None).cast("binary")))
+    return followed(docs, notes).mapInArrow(each, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _BUILT: dict[tuple[str, str], str] = {}
@@ -34,3 +34,11 @@ def built(spark: SparkSession, name: str, about: str, build: Callable[[str], obj
         build(path)
         _BUILT[key] = path
     return _BUILT[key]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there; a lost executor costs none."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

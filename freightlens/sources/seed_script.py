@@ -24,7 +24,14 @@ ORDER = tuple(SCHEMAS)
 # The statement's head: a name, quoted or not, that may have a schema before it; a list of columns; then rows of values.
 _NAME = r'(?:"[^"]+"|[A-Za-z_]\w*)'
 HEAD = rf"(?i)^\s*insert\s+into\s+(?:{_NAME}\s*\.\s*)?({_NAME})\s*\(([^()]*)\)\s*values\s*(\(.*)$"
-DEFAULTS = {"string": "", "int": 0, "boolean": False}
+# What a column that can't be null takes for NULL or if it isn't named; "now" is the instant of the load.
+DEFAULTS = {
+    "districts": {"name": "", "short_name": ""}, "infrastructure_types": {"code": "", "name": ""}, "cargo_categories": {"code": "", "name": "", "hazard_class": 0},
+    "data_sources": {"code": "", "name": "", "source_type": "", "is_active": True}, "infrastructure_objects": {"name": "", "created_at": "now", "updated_at": "now"},
+    "road_segments": {"name": "", "road_class": ""}, "cargo_routes": {"name": "", "route_type": ""}, "freight_flow_stats": {"period_type": "month", "direction": ""},
+    "traffic_conditions": {"incident_flag": False}, "traffic_incidents": {"incident_type": "", "severity": 1, "affects_cargo": False},
+    "etl_log": {"started_at": "now", "target_table": "", "records_loaded": 0, "records_errors": 0, "status": "running"},
+}
 _TOKEN = re.compile(r"'(?:[^']|'')*'|[(),']|[^'(),]+")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _CALL = re.compile(r"(\w+)\s*\((.*)\)", re.S)
@@ -166,12 +173,13 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("error", F.coalesce("error", known))
 
 
-def typed_columns(table: str, required: tuple[str, ...] = ("name", "code")) -> list[Column]:
-    """A table's columns in their declared types; required ones get a default for null."""
+def typed_columns(table: str) -> list[Column]:
+    """A table's columns in their declared types; those that can't be null get their default for null."""
     columns = []
     for field in T.StructType.fromDDL(SCHEMAS[table]).fields:
-        value, kind = _typed(field), field.dataType.simpleString()
-        columns.append((F.coalesce(value, F.lit(DEFAULTS[kind])) if field.name in required and kind in DEFAULTS else value).alias(field.name))
+        value, default = _typed(field), DEFAULTS[table].get(field.name)
+        filled = value if default is None else F.coalesce(value, F.current_timestamp() if default == "now" else F.lit(default))
+        columns.append(filled.alias(field.name))
     return columns
 
 
@@ -183,13 +191,13 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(shifts, "part").withColumn("place", place.cast("int"))
 
 
-def typed_table(rows: DataFrame, table: str, required: tuple[str, ...] = ("name", "code")) -> DataFrame:
-    """Good rows of one table with its declared types. Unknown columns are dropped, required ones get a default for null.
+def typed_table(rows: DataFrame, table: str) -> DataFrame:
+    """Good rows of one table with its declared types. Unknown columns are dropped; columns that can't be null get their default.
 
     Naive timestamps are local time and become UTC. Where the script gives no id, rows are numbered from 1 in its order.
     """
     own = numbered(rows.where((F.col("table") == table) & F.col("error").isNull()))
-    return own.select("place", *typed_columns(table, required)).withColumn("id", F.coalesce("id", "place")).drop("place")
+    return own.select("place", *typed_columns(table)).withColumn("id", F.coalesce("id", "place")).drop("place")
 
 
 def journal(rows: DataFrame) -> DataFrame:

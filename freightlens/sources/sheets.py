@@ -55,13 +55,9 @@ def cell(value: object, bold: bool = False) -> str:
     """A cell: numbers as such, words for booleans, nothing for null, text otherwise. Signs that XML can't hold are left out."""
     if value is None:
         return "<c/>"
-    if isinstance(value, bool):
-        value = "yes" if value else "no"
-    elif not bold and (isinstance(value, int) or type(value).__name__ in ("float", "Decimal")) and value == value and abs(value) != float("inf"):
+    if not bold and not isinstance(value, bool) and (isinstance(value, int) or type(value).__name__ in ("float", "Decimal")) and value == value and abs(value) != float("inf"):
         return f"<c><v>{value}</v></c>"
-    elif isinstance(value, datetime):
-        value = value.strftime("%d.%m.%Y %H:%M")
-    text = "".join(c for c in str(value) if c in "\t\n" or c >= " " and c not in "￾￿" and not "\ud800" <= c <= "\udfff")
+    text = as_text(value)
     return f'<c t="inlineStr"{" s=\"1\"" if bold else ""}><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
@@ -84,6 +80,52 @@ def write_book(target: object, titles: list[str], rows: Iterator[tuple], about:
     return count
 
 
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_TEXT_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+_FIXED_WORD = {
+    "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{_TEXT_TYPE}"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_RELS}/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+
+
+def as_text(value: object) -> str:
+    """A value in a document: words for booleans, day and minute for instants, nothing for null. Signs that XML can't hold are left out."""
+    if isinstance(value, bool):
+        value = "yes" if value else "no"
+    elif isinstance(value, datetime):
+        value = value.strftime("%d.%m.%Y %H:%M")
+    return "".join(c for c in ("" if value is None else str(value)) if c in "\t\n" or c >= " " and c not in "\ufffe\uffff" and not "\ud800" <= c <= "\udfff")
+
+
+def write_document(target: object, titles: list[str], rows: Iterator[tuple], about: dict[str, object], most: int = SHEET_ROWS) -> int:
+    """Write a text document of at most ``most`` rows: a table that tells of the report, then the table of rows; returns how many rows it took.
+
+    The number of rows stands after the table, as rows stream through.
+    """
+    def line(values: Iterator[object], bold: bool = False) -> bytes:
+        style = "<w:rPr><w:b/></w:rPr>" if bold else ""
+        cells = (f'<w:tc><w:p><w:r>{style}<w:t xml:space="preserve">{escape(as_text(v))}</w:t></w:r></w:p></w:tc>' for v in values)
+        return f"<w:tr>{''.join(cells)}</w:tr>".encode()
+
+    count = 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, body in _FIXED_WORD.items():
+            book.writestr(name, _HEAD + body)
+        with book.open("word/document.xml", "w", force_zip64=True) as text:
+            text.write(f'{_HEAD}<w:document xmlns:w="{_WORD}"><w:body><w:tbl>'.encode() + b"".join(line(pair) for pair in about.items()) + b"</w:tbl><w:p/><w:tbl>" + line(titles, True))
+            for row in rows:
+                text.write(line(row))
+                count += 1
+                if count == most:
+                    break
+            text.write(f"</w:tbl><w:p><w:r><w:t>rows: {count}</w:t></w:r></w:p></w:body></w:document>".encode())
+    return count
+
+
+#: How a report of each format is written.
+FORMATS = {"xlsx": write_book, "docx": write_document}
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
@@ -100,6 +142,7 @@ class SheetWriter(DataSourceWriter):
 
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.path, self.title, self.most = options["path"].rstrip("/"), options.get("title", "report"), int(options.get("sheet_rows", SHEET_ROWS))
+        self.form = options.get("form", "xlsx")
         self.names, self.job = schema.names, uuid.uuid4().hex
         self.titles = json.loads(options["titles"]) if options.get("titles") else schema.names
         self.note("pending")
@@ -118,7 +161,7 @@ class SheetWriter(DataSourceWriter):
         rows = (tuple(row) for row in iterator)
         first = next(rows, None)
         while first is not None:
-            name = f"{path}/_{self.job}-{part:05}-{TaskContext.get().taskAttemptId()}-{len(files):03}.xlsx"
+            name = f"{path}/_{self.job}-{part:05}-{TaskContext.get().taskAttemptId()}-{len(files):03}.{self.form}"
 
             def own(first: tuple = first) -> Iterator[tuple]:
                 yield first
@@ -126,7 +169,7 @@ class SheetWriter(DataSourceWriter):
                     yield row
 
             with system.open_output_stream(name) as file:
-                files.append((name, write_book(file, self.titles, own(), {"title": self.title, "part": part}, self.most)))
+                files.append((name, FORMATS[self.form](file, self.titles, own(), {"title": self.title, "part": part}, self.most)))
             first = next(rows, None)
         return Written(files)
 
@@ -136,7 +179,7 @@ class SheetWriter(DataSourceWriter):
         size = 0
         for n, (name, _) in enumerate(sorted(files)):
             size += system.get_file_info(name).size
-            system.move(name, f"{path}/{self.title}-{self.job[:8]}-{n:05}.xlsx")
+            system.move(name, f"{path}/{self.title}-{self.job[:8]}-{n:05}.{self.form}")
         self.clear()  # what lost attempts of tasks left
         self.note("done", rows=sum(n for _, n in files), bytes=size, files=len(files))
 
@@ -154,7 +197,7 @@ class SheetWriter(DataSourceWriter):
 
 
 class SheetSink(DataSource):
-    """The data source of ``xlsx_parts``; options: ``title``, ``titles`` (JSON list), ``sheet_rows``."""
+    """The data source of ``xlsx_parts``; options: ``title``, ``titles`` (JSON list), ``sheet_rows``, ``form`` (xlsx or docx)."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,11 +207,11 @@ class SheetSink(DataSource):
         return SheetWriter(dict(self.options), schema)
 
 
-def write_report(df: DataFrame, path: str, title: str, titles: dict[str, str] | None = None, sheet_rows: int = SHEET_ROWS) -> None:
-    """Write columns under their titles as workbooks in a folder; numbers stay numbers."""
+def write_report(df: DataFrame, path: str, title: str, titles: dict[str, str] | None = None, sheet_rows: int = SHEET_ROWS, form: str = "xlsx") -> None:
+    """Write columns under their titles as workbooks (numbers stay numbers) or text documents in a folder."""
     titles = titles or {c: c for c in df.columns}
     df.sparkSession.dataSource.register(SheetSink)
-    out = df.select(*titles).write.format("xlsx_parts").option("title", title).option("titles", json.dumps(list(titles.values()))).option("sheet_rows", sheet_rows)
+    out = df.select(*titles).write.format("xlsx_parts").option("title", title).option("titles", json.dumps(list(titles.values()))).option("sheet_rows", sheet_rows).option("form", form)
     out.mode("append").save(path)
 
 

@@ -67,3 +67,18 @@ def test_an_aborted_report_leaves_no_file(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     X.write_report(spark.range(0), str(tmp_path), "empty")
     assert [(r.status, r.rows, r.files) for r in X.ledger(spark, str(tmp_path)).collect()] == [("done", 0, 0)]
+
+
+def test_documents(spark, tmp_path):
+    df = spark.range(0, 25, 1, 2).select("id", F.concat(F.lit("<n> & "), "id").alias("name"), (F.col("id") > 3).alias("large"))
+    X.write_report(df, str(tmp_path), "list", {"name": "Name", "large": "Large"}, form="docx")
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    found = []
+    for f in os.listdir(tmp_path):
+        if f.endswith(".docx"):
+            first, second = ET.fromstring(zipfile.ZipFile(tmp_path / f).read("word/document.xml")).iter(word + "tbl")
+            rows = [["".join(t.text or "" for t in c.iter(word + "t")) for c in r.iter(word + "tc")] for r in second.iter(word + "tr")]
+            assert rows[0] == ["Name", "Large"] and "list" in ["".join(t.text or "" for t in c.iter(word + "t")) for c in first.iter(word + "tc")]
+            found += rows[1:]
+    assert sorted(found) == sorted([f"<n> & {i}", "yes" if i > 3 else "no"] for i in range(25))
+    assert [(r.status, r.rows) for r in X.ledger(spark, str(tmp_path)).collect()] == [("done", 25)]

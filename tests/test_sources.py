@@ -108,3 +108,14 @@ def test_geojson_features(spark, tmp_path, size, indent):
     assert [r.properties["name"] for r in rows] == [f["properties"]["name"] for f in features]
     assert [r.geom for r in rows][:4] == ["POINT (37.5 55.5)", "POINT (38.5 55.5)", "POINT (39.5 55.5)", None]
     assert rows[2].properties["n"] == "2" and json.loads(rows[2].properties["list"]) == [{"type": "Feature"}]
+
+
+def test_defaults(spark, tmp_path):
+    """Columns that can't be null take their defaults for NULL and where they aren't named; others stay null."""
+    (tmp_path / "s.sql").write_text("INSERT INTO traffic_incidents (id, severity, affects_cargo, description) VALUES (1, NULL, NULL, NULL);\nINSERT INTO cargo_categories (id, name) VALUES (1, NULL);\nINSERT INTO infrastructure_objects (id, created_at) VALUES (1, '2025-01-01 12:00:00');")
+    S.load(spark, str(tmp_path / "s.sql"), str(tmp_path / "out"))
+    read = lambda t: spark.read.parquet(str(tmp_path / f"out/{t}.parquet")).first()
+    r = read("traffic_incidents")
+    assert (r.severity, r.affects_cargo, r.incident_type, r.description, r.road_id) == (1, False, "", None, None)
+    assert tuple(read("cargo_categories")) == (1, "", "", 0)
+    assert str(read("infrastructure_objects").created_at) == "2025-01-01 09:00:00" and read("infrastructure_objects").updated_at is not None

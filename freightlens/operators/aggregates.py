@@ -58,7 +58,7 @@ def district_profiles(m: Freight) -> DataFrame:
     """Measures of every district: each fact is reduced to its district before the joins, so nothing fans out."""
     objects = m.facility.groupBy("district_id").agg(F.count(F.lit(1)).alias("objects"), F.sum("capacity_tons").cast("double").alias("capacity"))
     roads = m.road.where("district_id IS NOT NULL").groupBy("district_id").agg(F.count(F.lit(1)).alias("roads"), F.sum("length_km").cast("double").alias("road_km"))
-    flows = m.flow_core.groupBy("district_id").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"))
+    flows = m.flow_orders.groupBy("district_id").agg(F.sum("volume_tons").cast("double").alias("volume"), F.sum("vehicle_count").alias("vehicles"))
     of_road = m.road.where("district_id IS NOT NULL").select(F.col("id").alias("road_id"), "district_id")
     levels = m.condition.join(of_road, "road_id").groupBy("district_id").agg(F.sum("level").alias("s"), F.count("level").alias("n"))
     levels = levels.select("district_id", d.rounded_mean(F.col("s"), F.col("n")).alias("congestion"))

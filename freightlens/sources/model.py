@@ -112,11 +112,21 @@ class Freight:
         return self.table("part").select(F.col("p_type").alias("name")).distinct().select("name", (F.length("name") % 10).alias("hazard_class"))
 
     @cached_property
-    def flow_core(self) -> DataFrame:
-        """Flows with their district; orders and customers are reduced to district by order first."""
+    def flow_orders(self) -> DataFrame:
+        """Sums of each order's lines with the order's district: lines are reduced by the key that the join deals them by."""
+        lines = self.flow_lines.groupBy("l_orderkey").agg(F.sum("volume_tons").alias("volume_tons"), F.sum("vehicle_count").alias("vehicle_count"))
+        return lines.join(self._district_of_order, "l_orderkey")
+
+    @cached_property
+    def _district_of_order(self) -> DataFrame:
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("district_id"))
-        return self.flow_lines.join(orders.join(customers, "o_custkey").drop("o_custkey"), "l_orderkey")
+        return orders.join(customers, "o_custkey").drop("o_custkey")
+
+    @cached_property
+    def flow_core(self) -> DataFrame:
+        """Flows with their district; orders and customers are reduced to district by order first."""
+        return self.flow_lines.join(self._district_of_order, "l_orderkey")
 
     @cached_property
     def flow(self) -> DataFrame:

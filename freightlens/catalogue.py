@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def page_envelope(m: Freight) -> DataFrame:
     return P.envelope(m.facility.where("district_id = 7"), 25, 2)
 
 
+def default_orders(m: Freight) -> DataFrame:
+    """The first five rows of every entity in its default order."""
+    parts = []
+    for entity in P.ORDERINGS:
+        best = P.in_default_order(getattr(m, entity), entity).limit(5).agg(F.collect_list(F.col("id").cast("long")).alias("ids"))  # five rows, in order
+        parts.append(best.select(F.lit(entity).alias("entity"), F.posexplode("ids").alias("place", "id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def district_types(m: Freight) -> DataFrame:
+    """A district's facilities by type, with the district's name among the group's labels."""
+    names = m.district.where("id = 7").select(F.col("id").alias("district_id"), F.col("name").alias("district"))
+    return m.facility.join(names, "district_id").groupBy("district", "type").agg(F.count(F.lit(1)).alias("objects"), A.amount("capacity_tons").alias("capacity")).orderBy(F.desc("objects"), "type")
+
+
 def top_objects(m: Freight) -> DataFrame:
     return m.facility.orderBy(F.desc_nulls_last("capacity_tons"), "id").limit(8).select("id", F.col("capacity_tons").cast("double").alias("capacity"))
 
@@ -294,7 +310,7 @@ _QUERIES: dict[str, Callable[[Freight], DataFrame]] = {
     for f in (
         scan_project, point_lookup, filter_optional, search_or, search_wildcards, search_parts, filter_threshold, filter_range, filter_asof, filter_null,
         filter_flags, filter_located, filter_whole_day, filter_empty_address, fk_path_filter, filter_keys, sort_whitelist, page_window, page_envelope,
-        top_objects, recent_incidents, same_district_objects, derived_ratios, route_ratios, flow_loads, congestion_states, severity_states, speed_ratios,
+        default_orders, district_types, top_objects, recent_incidents, same_district_objects, derived_ratios, route_ratios, flow_loads, congestion_states, severity_states, speed_ratios,
         durations, error_rates, text_functions, month_labels, fk_labels, roads_latest, category_shares, bbox_filter, nearest_radius, district_distances,
         extent, line_metrics, wkt_roundtrip, minmax, zscore, export_objects, monthly_incremental, congestion_episodes, script_roundtrip, box_indexed, nearest_indexed, roads_in_box, trigram_search,
     )

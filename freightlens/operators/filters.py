@@ -90,6 +90,18 @@ def sorted_by(df: DataFrame, code: str | None, allowed: dict[str, list[tuple[str
     return df.orderBy(*keys, F.col(key))
 
 
+#: The order of each entity where none is asked for: column, descending; the last one tells rows apart.
+ORDERINGS: dict[str, list[tuple[str, bool]]] = {
+    "district": [("id", False)], "facility": [("name", False), ("id", False)], "road": [("name", False), ("id", False)], "route": [("id", False)],
+    "flow_lines": [("period_date", True), ("id", False)], "condition": [("recorded_at", True), ("id", False)], "incident": [("reported_at", True), ("id", False)], "run": [("started_at", True), ("id", False)],
+}
+
+
+def in_default_order(df: DataFrame, entity: str) -> DataFrame:
+    """Rows in their entity's default order; nulls last."""
+    return df.orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in ORDERINGS[entity]])
+
+
 def page_of(rows: int, size: int, page: int) -> int:
     """The page shown for a request: below 1 or beyond the end means the last."""
     last = max(1, -(-rows // size))

@@ -237,6 +237,9 @@ def _deep_page(number: str) -> str:
 
 ORACLES |= {"deep_page_first": _deep_page("1"), "deep_page_middle": _deep_page("(pages+1)//2"), "deep_page_last": _deep_page("pages")}
 ORACLES |= {"box_indexed": ORACLES["bbox_filter"], "nearest_indexed": ORACLES["nearest_radius"]}
+_ORDERS = {"district": "id", "facility": '"name", id', "road": '"name", id', "route": "id", "flow": "period_date desc, id", "condition": "recorded_at desc, id", "incident": "reported_at desc, id", "run": "started_at desc, id"}
+ORACLES["default_orders"] = _with(" union all ".join(f"(select '{'flow_lines' if t == 'flow' else t}' entity, (row_number() over (order by {o})-1)::int place, id::bigint id from {t} qualify place<5)" for t, o in _ORDERS.items()), *_ORDERS)
+ORACLES["district_types"] = _with('select d."name" district, "type", count(*) objects, coalesce(sum(capacity_tons),0)::double capacity from facility f join district d on f.district_id=d.id where d.id=7 group by 1,2', "facility", "district")
 ORACLES["monthly_incremental"] = ORACLES["flow_timeseries"]
 ORACLES["congestion_episodes"] = _with(
     """, marks as (select road_id, recorded_at a, recorded_at+to_hours(case when "level">=9 then 6 else 3 end) e, "level" from condition where "level">=7),

@@ -51,10 +51,12 @@ class MonthlySums:
         numbers = self._numbers()
         last = numbers[-1] if numbers else None
         now = versions(self.spark, self.source).persist()
-        fresh = now.join(self.manifest(last), ["file", "version"], "left_anti").select("file", "version").collect()  # the changed files' names
-        if fresh:
-            names = self.spark.createDataFrame([tuple(r) for r in fresh], "file string, version string")
-            rows = self.spark.read.parquet(*[r["file"] for r in fresh]).select("*", F.col("_metadata.file_path").alias("file")).join(F.broadcast(names), "file")
+        fresh = now.join(self.manifest(last), ["file", "version"], "left_anti")
+        changed = fresh.count()
+        if changed:
+            # at first the whole folder is read; later only the changed files, whose names the driver holds
+            folder = [self.source] if last is None else [r["file"] for r in fresh.select("file").collect()]
+            rows = self.spark.read.parquet(*folder).select("*", F.col("_metadata.file_path").alias("file")).join(fresh.select("file", "version"), "file")
             lines = rows.select(
                 "version", F.col("l_shipdate").cast("date").alias("period_date"), F.col("l_extendedprice").cast("decimal(14,2)").alias("volume_tons"),
                 F.col("l_quantity").cast("long").alias("vehicle_count"), (30 + F.col("l_linenumber") * 5).cast("long").alias("avg_speed_kmh"),
@@ -62,7 +64,7 @@ class MonthlySums:
             monthly_sums(lines).repartition("version").write.mode("append").parquet(f"{self.path}/sums")
         now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest={(last or 0) + 1}")
         now.unpersist()
-        return len(fresh)
+        return changed
 
     def series(self) -> DataFrame:
         """``month, volume, vehicles, speed`` as the full query gives them, from the kept sums."""

@@ -266,6 +266,6 @@ def load(spark: SparkSession, path: str, out_dir: str, read: Callable[[SparkSess
 def fill_centres(districts: DataFrame, centres: DataFrame, force: bool = False) -> DataFrame:
     """Centres by short name, only where missing unless forced; running it again changes nothing."""
     known = centres.select("short_name", F.col("center").alias("new_center"))
-    joined = districts.join(F.broadcast(known), "short_name", "left")
+    joined = districts.join(known, "short_name", "left")
     chosen = F.coalesce("new_center", "center") if force else F.coalesce("center", "new_center")
     return joined.withColumn("center", chosen).select(*districts.columns)

@@ -26,7 +26,7 @@ def wanted_incidents(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Stream-static join: each error event with the active subscriptions that its severity meets."""
     k = F.get_json_object("props", "$.k").cast("int")
     incidents = events.where("event_type = 'error'").select("event_id", (1 + k % 5).alias("severity"), (k % 2 == 1).alias("affects_cargo"))
-    s = F.broadcast(subscriptions.where("is_active"))
+    s = subscriptions.where("is_active")
     return incidents.join(s, (F.col("severity") >= F.col("min_severity")) & (~F.col("cargo_only") | F.col("affects_cargo")))
 
 

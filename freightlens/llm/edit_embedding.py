@@ -31,6 +31,7 @@ from .banding import banded_classes
 from .common import cut_lineage, remembered, shuffle_width, table
 
 PHASES = 256
+#: A power of two.
 CLASSES = 128
 SAMPLES = 64
 GRAM = 4
@@ -41,6 +42,9 @@ BANDS = 16
 BANDS_USED = 10
 #: Share of equal samples from which two documents are near (see ``near_groups``).
 LIKENESS = 0.8
+#: Characters of the texts that walk together, and the number of texts below which each walks alone.
+WALK_CHARS = 4_000_000
+FEW_TEXTS = 16
 #: Fingerprints of one doc_id's texts that are remembered while its rows pass; those of more texts are made again.
 KNOWN_TEXTS = 10_000
 
@@ -80,33 +84,92 @@ def places(length: int) -> tuple[np.ndarray, np.ndarray]:
     """The first SAMPLES places below ``length`` of the shared order, and their names; sorted by name."""
     top = (length - 1).bit_length()
     spots, names = remembered(("edit order", top), lambda: make_order(top))
-    first = np.flatnonzero(spots < length)[:SAMPLES]
+    first = np.flatnonzero(spots[: 4 * SAMPLES] < length)[:SAMPLES]
+    if len(first) < SAMPLES:
+        first = np.flatnonzero(spots < length)[:SAMPLES]
     first = first[np.argsort(names[first])]
     return spots[first], names[first]
 
 
-def fingerprint(text: str) -> str:
-    """Hexadecimal length of the written text, a dot, and 4 digits for each sample; "0." for the empty text."""
-    if not text:
-        return "0."
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    classes = codes % CLASSES
-    after, wait = remembered("edit walk", make_walk)
-    phase, phases = 0, []
+def walk_alone(classes: np.ndarray, phase: int) -> list[int]:
+    """The phase at every character of one text whose first has the phase given."""
+    after, _ = remembered("edit walk", make_walk)
+    phases = []
     keep = phases.append
     for row in map(after.__getitem__, classes.tolist()):
         keep(phase)
         phase = row[phase]
-    ends = np.cumsum(wait[classes, phases])
-    total = int(ends[-1])
-    spots, _ = places(total)
-    at = np.searchsorted(ends, spots, side="right")
-    mixed = np.zeros(len(at), dtype=np.uint64)
-    for step in range(GRAM):
-        near = np.minimum(at + step, len(codes) - 1)
-        mixed = (mixed ^ codes[near]) * np.uint64(0x9E3779B97F4A7C15)
+    return phases
+
+
+def walk_together(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Where the walk leaves every character of texts (code points, none empty; the longest first).
+
+    All texts take a step at a time together. Characters lie step by step: those of step i from ``starts[i]`` on, text by text.
+    The last steps, which few texts take, are made text by text.
+    """
+    after, wait = remembered("edit walk", make_walk)
+    next_phase = remembered("edit walk, flat", lambda: np.array(after, dtype=np.int32).ravel())
+    waits = wait.ravel()
+    lengths = np.array([len(t) for t in texts])
+    active = len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    starts = np.cumsum(active) - active
+    entry = np.empty(int(lengths.sum()), dtype=np.int32)
+    for j, text in enumerate(texts):
+        entry[starts[: len(text)] + j] = (text & (CLASSES - 1)) * PHASES
+    together = int(np.searchsorted(-active, 1 - FEW_TEXTS))
+    phases = np.zeros(len(texts), dtype=np.int32)
+    for start, many in zip(starts[:together].tolist(), active[:together].tolist(), strict=True):
+        step = entry[start : start + many]
+        step += phases[:many]
+        phases = next_phase.take(step)
+    for j in range(int(active[together]) if together < len(active) else 0):
+        entry[starts[together : lengths[j]] + j] += np.array(walk_alone(texts[j][together:] % CLASSES, int(phases[j])), dtype=np.int32)
+    return [np.cumsum(waits.take(entry[starts[:n] + j])) for j, n in enumerate(lengths.tolist())]
+
+
+def sampled(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """GRAM characters from each sampled place on of a text of these code points, whose walk leaves its characters at ``ends``."""
+    at = ends.searchsorted(places(int(ends[-1]))[0], side="right")
+    return codes[np.minimum(at[:, None] + np.arange(GRAM), len(codes) - 1)]
+
+
+def sample_hashes(grams: np.ndarray) -> str:
+    """4 hexadecimal digits for each row of characters."""
+    mixed = np.zeros(len(grams), dtype=np.uint64)
+    for codes in grams.T:
+        mixed = (mixed ^ codes) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return f"{total:x}." + (mixed >> np.uint64(48)).astype(">u2").tobytes().hex()
+    return (mixed >> np.uint64(48)).astype(">u2").tobytes().hex()
+
+
+def fingerprints(texts: list[str]) -> list[str]:
+    """For each text the hexadecimal length of the written text, a dot, and 4 digits for each sample; "0." for the empty text.
+
+    Texts of like length walk together, of at most ``WALK_CHARS`` characters in all (one text may have more).
+    """
+    marks = ["0."] * len(texts)
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+    at = 0
+    while at < len(order):
+        end, chars = at, 0
+        while end < len(order) and (end == at or chars + len(texts[order[end]]) <= WALK_CHARS):
+            chars += len(texts[order[end]])
+            end += 1
+        group = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype="<u4") for i in order[at:end]]
+        walks = walk_together(group)
+        grams = list(map(sampled, group, walks))
+        digits, place = sample_hashes(np.concatenate(grams)), 0
+        for i, ends, own in zip(order[at:end], walks, grams, strict=True):
+            marks[i] = f"{ends[-1]:x}.{digits[place : place + 4 * len(own)]}"
+            place += 4 * len(own)
+        at = end
+    return marks
+
+
+def fingerprint(text: str) -> str:
+    """The fingerprint of one text."""
+    return fingerprints([text])[0]
 
 
 def packed(mark: str) -> bytes:
@@ -174,8 +237,9 @@ def marked(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64())), pa.array([text_name(t.as_py() or "") for t in batch.column(1)], pa.int64())]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            marks = fingerprints(texts)
+            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64())), pa.array(list(map(text_name, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body", "keys", "told"])
 
     return cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary, keys array<long>, told long"))
@@ -257,11 +321,23 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        """The result of rows of doc_id, n_chars, edited text, fingerprint, the next text's fingerprint and component."""
+        out = [
+            (doc, n, hashlib.sha256(edited.encode()).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_mark), component)
+            for (doc, n, edited, mark, next_mark, component), edited_mark in zip(rows, fingerprints([r[2] for r in rows]), strict=True)
+        ]
+        columns = zip(*out, strict=True) if out else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # doc_id, text, fingerprint and component of the row that awaits its next
         of_id, named, known = None, {}, {}  # of one doc_id: components by fingerprint that aren't the doc_id, and fingerprints by text
         for batch in batches:
-            rows = []
+            rows, chars = [], 0
             for bucket, role, doc, text, name, component, body in zip(*(batch.column(i) for i in range(7)), strict=True):
                 bucket, role, doc, text, name = bucket.as_py(), role.as_py(), doc.as_py(), text.as_py(), name.as_py()
                 if text is None:
@@ -279,14 +355,14 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
                 if before is not None:
                     own_id, own, own_mark, own_component = before
                     third = len(own) // 3
-                    edited = own[: len(own) - third] + text[:third]
-                    edited_mark = fingerprint(edited)
-                    rows.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark), own_component))
+                    rows.append((own_id, len(own), own[: len(own) - third] + text[:third], own_mark, mark, own_component))
+                    chars += len(own)
+                    if chars >= WALK_CHARS:
+                        yield done(rows)
+                        rows, chars = [], 0
                 component = named.get(name_of(mark), doc) if (bucket, doc) == of_id else doc
                 before = None if role else (doc, text, mark, component)
-            columns = zip(*rows, strict=True) if rows else [[] for _ in range(8)]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
+            yield done(rows)
 
     found = marked(docs)
     classes = near_rows(found, least).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).distinct()

@@ -42,8 +42,9 @@ BANDS = 16
 BANDS_USED = 10
 #: Share of equal samples from which two documents are near (see ``near_groups``).
 LIKENESS = 0.8
-#: Characters of the texts that walk together, and the number of texts below which each walks alone.
-WALK_CHARS = 4_000_000
+#: Characters of the texts that are held at a time, of those that walk together, and the number of texts below which each walks alone.
+HELD_CHARS = 4_000_000
+WALK_CHARS = 1_000_000
 FEW_TEXTS = 16
 #: Fingerprints of one doc_id's texts that are remembered while its rows pass; those of more texts are made again.
 KNOWN_TEXTS = 10_000
@@ -102,7 +103,7 @@ def walk_alone(classes: np.ndarray, phase: int) -> list[int]:
     return phases
 
 
-def walk_together(texts: list[np.ndarray]) -> list[np.ndarray]:
+def walk_together(texts: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Where the walk leaves every character of texts (code points, none empty; the longest first).
 
     All texts take a step at a time together. Characters lie step by step: those of step i from ``starts[i]`` on, text by text.
@@ -125,7 +126,8 @@ def walk_together(texts: list[np.ndarray]) -> list[np.ndarray]:
         phases = next_phase.take(step)
     for j in range(int(active[together]) if together < len(active) else 0):
         entry[starts[together : lengths[j]] + j] += np.array(walk_alone(texts[j][together:] % CLASSES, int(phases[j])), dtype=np.int32)
-    return [np.cumsum(waits.take(entry[starts[:n] + j])) for j, n in enumerate(lengths.tolist())]
+    for j, n in enumerate(lengths.tolist()):
+        yield np.cumsum(waits.take(entry[starts[:n] + j]))
 
 
 def sampled(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,12 +159,11 @@ def fingerprints(texts: list[str]) -> list[str]:
             chars += len(texts[order[end]])
             end += 1
         group = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype="<u4") for i in order[at:end]]
-        walks = walk_together(group)
-        grams = list(map(sampled, group, walks))
-        digits, place = sample_hashes(np.concatenate(grams)), 0
-        for i, ends, own in zip(order[at:end], walks, grams, strict=True):
-            marks[i] = f"{ends[-1]:x}.{digits[place : place + 4 * len(own)]}"
-            place += 4 * len(own)
+        written = [(int(ends[-1]), sampled(codes, ends)) for codes, ends in zip(group, walk_together(group), strict=True)]
+        digits, place = sample_hashes(np.concatenate([grams for _, grams in written])), 0
+        for i, (total, grams) in zip(order[at:end], written, strict=True):
+            marks[i] = f"{total:x}.{digits[place : place + 4 * len(grams)]}"
+            place += 4 * len(grams)
         at = end
     return marks
 
@@ -235,12 +236,22 @@ def text_name(text: str) -> int:
 def marked(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``own`` (``name_of`` its fingerprint), ``body`` (the packed fingerprint), band ``keys`` and ``told`` (``text_name``) of every row, written once."""
 
+    def done(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
+        marks = fingerprints(texts)
+        columns = [pa.array(ids, pa.int64()), pa.array(map(name_of, marks), pa.int64()), pa.array(map(packed, marks), pa.binary()), pa.array(map(bands, marks), pa.list_(pa.int64())), pa.array(map(text_name, texts), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "own", "body", "keys", "told"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            marks = fingerprints(texts)
-            columns = [pa.array([name_of(m) for m in marks], pa.int64()), pa.array([packed(m) for m in marks], pa.binary()), pa.array(list(map(bands, marks)), pa.list_(pa.int64())), pa.array(list(map(text_name, texts)), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "body", "keys", "told"])
+            ids, texts, chars = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc)
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= HELD_CHARS:
+                    yield done(ids, texts)
+                    ids, texts, chars = [], [], 0
+            yield done(ids, texts)
 
     return cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, own long, body binary, keys array<long>, told long"))
 
@@ -357,7 +368,7 @@ def compare_edited(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
                     third = len(own) // 3
                     rows.append((own_id, len(own), own[: len(own) - third] + text[:third], own_mark, mark, own_component))
                     chars += len(own)
-                    if chars >= WALK_CHARS:
+                    if chars >= HELD_CHARS:
                         yield done(rows)
                         rows, chars = [], 0
                 component = named.get(name_of(mark), doc) if (bucket, doc) == of_id else doc

@@ -66,3 +66,11 @@ def test_rows_as_stepwise(spark):
         edited = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
         assert (found[i].fingerprint, found[i].edited_fingerprint, found[i].n_chars) == (stepwise(own), stepwise(edited), len(own))
         assert found[i].near_next == ee.likeness(stepwise(own), stepwise(after))
+
+
+def test_rows_of_more_characters_than_are_held(spark):
+    texts = [some_texts(1, k)[0] + letter * (ee.HELD_CHARS // 2 + k) for k, letter in enumerate("abc")] + ["short", None, "last"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in ee.compare_edited(docs).collect()}
+    assert [found[i].fingerprint for i in range(len(texts))] == [ee.fingerprint(t or "") for t in texts]
+    assert [found[i].n_chars for i in range(len(texts))] == [len(t or "") for t in texts]

@@ -130,6 +130,52 @@ def test_trigram_search_equals_search(spark, m, tmp_path_factory, term):
     assert sorted(r.id for r in index.search(rows, term, "id", "name", "address").collect()) == want
 
 
+def most_rows_of_a_task(spark, run):
+    """What ``run`` gives, and the most rows that a task of it wrote to and read from a shuffle."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    spark.sparkContext.setJobGroup(group := f"rows-{random.random()}", "")
+    found = run()
+    context.listenerBus().waitUntilEmpty(30_000)
+    spark.sparkContext._jsc.clearJobGroup()
+    store, tracker, wrote, read = context.statusStore(), spark.sparkContext.statusTracker(), 0, 0
+    for stage in {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 10_000)
+        for task in [tasks.apply(i).taskMetrics() for i in range(tasks.size())]:
+            if task.isDefined():
+                wrote, read = max(wrote, task.get().shuffleWriteMetrics().recordsWritten()), max(read, task.get().shuffleReadMetrics().recordsRead())
+    return found, wrote, read
+
+
+def test_trigrams_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """However large the table, and though one task reads it all, no task makes or sorts more than about PART_ROWS trigrams or counts more than about LOOKUP_ROWS."""
+    for name, most in (("PART_ROWS", 4_000), ("LOOKUP_ROWS", 1_000)):
+        monkeypatch.setattr(trigrams, name, most, raising=False)
+    df = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.concat(F.lit("Street "), F.col("id") % 97).alias("address"))
+    _, wrote, read = most_rows_of_a_task(spark, lambda: trigrams.write_trigrams(df, str(tmp_path), "id", ["name", "address"]))
+    written = spark.read.parquet(f"{tmp_path}/postings")
+    assert written.count() > 60_000 and wrote < 8_000 and read < 8_000
+    assert written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 8_000
+    index = trigrams.TrigramIndex(spark, str(tmp_path))
+    for term in ("customer", "street", "t", "s", "eet 4"):
+        want = {r.id for r in P.search(df, term, "name", "address").collect()}
+        keys, _, read = most_rows_of_a_task(spark, lambda: {r.key for r in index.candidates(term).collect()})
+        assert keys >= want and len(want) > 300 and read < 2_000
+        assert {r.id for r in index.search(df, term, "id", "name", "address").collect()} == want
+
+
+def test_trigrams_of_rows_that_share_a_key(spark, tmp_path):
+    """A key's rows are found by any of its texts, each key once among the candidates."""
+    rows = spark.createDataFrame([(1, "north gate"), (1, "north gate"), (1, "gate north"), (2, "north"), (2, "gate"), (3, "orth gate orth gate"), (4, "th g"), (None, "north gate")], "id long, name string")
+    trigrams.write_trigrams(rows, str(tmp_path), "id", ["name"])
+    index = trigrams.TrigramIndex(spark, str(tmp_path))
+    for term in ("north gate", "gate", "th g", "rth", "g", "th", "north", "gate north"):
+        keys = [r.key for r in index.candidates(term).collect()]
+        assert len(keys) == len(set(keys))
+        want = sorted(tuple(r) for r in P.search(rows.where("id is not null"), term, "name").collect())
+        assert sorted(tuple(r) for r in index.search(rows, term, "id", "name").collect()) == want
+
+
 def brute_windows(windows, points, most):
     out = []
     for wid, key, low, high in windows:
